@@ -49,7 +49,7 @@ SELECT {{keys}}, sec, q, slot, CASE WHEN slot = 'title' THEN string_agg(text, '
               min(pos) FILTER (label <> 'title') OVER (PARTITION BY {{keys}}) AS first_body,
               first_value(CASE WHEN label <> 'title' THEN label END IGNORE NULLS) OVER (PARTITION BY {{keys}} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first_body_label
             FROM {{src}} WHERE trim(text) <> '' AND label IN ({FIVE})
-          ) a) b) c) d) e) f GROUP BY ALL"""
+          ) a) b) c) d) e) f GROUP BY {{keys}}, sec, q, slot"""
 
 EXPECTED["gold_slots"] = _NEST.replace("{keys}", "doc_id").replace("{src}", "{gold_blocks}")
 EXPECTED["pred_slots"] = _NEST.replace("{keys}", "tag, doc_id").replace("{src}", "{pred_blocks}")
@@ -289,7 +289,7 @@ def _(v):
 @case(
     "n2_empty_sections",
     """SELECT tag, doc_id, CAST(sec AS BIGINT) AS sec, sec_title, sec = last_sec AS is_last FROM (
-      SELECT tag, doc_id, sec, sec_title, max(q) AS q, max(sec) OVER (PARTITION BY tag, doc_id) AS last_sec FROM {pred_questions} GROUP BY ALL) x WHERE q = 0""",
+      SELECT tag, doc_id, sec, sec_title, max(q) OVER (PARTITION BY tag, doc_id, sec) AS q, max(sec) OVER (PARTITION BY tag, doc_id) AS last_sec FROM {pred_questions}) x WHERE q = 0""",
 )
 def _(v):
     return N.empty_sections(pred_slots(v))
@@ -317,7 +317,7 @@ def _(v):
 # ---- rules -------------------------------------------------------------------------------
 
 
-@case("io4_rules", 'SELECT r."row", state, CAST(n_actions AS BIGINT) AS n_actions, count(x.sec) AS n FROM {rule_table} r LEFT JOIN (SELECT *, ' + _STATE + " AS state FROM {gold_questions} WHERE q > 0) x USING (state) GROUP BY ALL")
+@case("io4_rules", 'SELECT CAST(r."row" AS BIGINT) AS "row", state, CAST(n_actions AS BIGINT) AS n_actions, count(x.sec) AS n FROM {rule_table} r LEFT JOIN (SELECT *, ' + _STATE + " AS state FROM {gold_questions} WHERE q > 0) x USING (state) GROUP BY ALL")
 def _(v):
     return R.rule_hits(gold_slots(v), DOC)
 
@@ -334,7 +334,7 @@ def _(v):
     return R.fill(N.to_questions(pred_slots(v)))
 
 
-@case("r3_rule_hits", 'SELECT r."row", state, CAST(n_actions AS BIGINT) AS n_actions, count(x.sec) AS n FROM {rule_table} r LEFT JOIN (SELECT *, ' + _STATE + " AS state FROM {pred_questions} WHERE q > 0) x USING (state) GROUP BY ALL")
+@case("r3_rule_hits", 'SELECT CAST(r."row" AS BIGINT) AS "row", state, CAST(n_actions AS BIGINT) AS n_actions, count(x.sec) AS n FROM {rule_table} r LEFT JOIN (SELECT *, ' + _STATE + " AS state FROM {pred_questions} WHERE q > 0) x USING (state) GROUP BY ALL")
 def _(v):
     return R.rule_hits(pred_slots(v))
 

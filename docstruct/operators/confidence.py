@@ -74,7 +74,7 @@ def confidence_band(rows: DataFrame, keys: Sequence[str] = ("tag",), low: float
     """The band that holds the middle of the values, by linear interpolation. Equal values are
     counted before the percentile is taken, so a task holds distinct confidences only."""
     counted = rows.groupBy(*keys, "correct", "confidence").agg(F.count("*").alias("_n"))
-    band = F.percentile("confidence", F.array(F.lit(low), F.lit(high)), "_n")
+    band = F.percentile("confidence", F.array(F.lit(low), F.lit(high)), F.col("_n"))
     mean = F.sum(F.col("confidence") * F.col("_n")) / F.sum("_n")
     return counted.groupBy(*keys, "correct").agg(mean.alias("mean"), band.alias("band")).select(
         *keys, "correct", "mean", F.col("band")[0].alias("low"), F.col("band")[1].alias("high")
