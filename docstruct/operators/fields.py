@@ -47,10 +47,9 @@ def _as_text(v: Column) -> Column:
 
 def item_keys(item: Column) -> Column:
     """The normalised values that identify a list item, best first, the host's title last."""
-    fields = _as_map(item)
-    named = [fields[k] for k in ITEM_KEYS] + [_as_map(fields["host"])["title"]]
-    scalar = F.when(fields.isNull() & _as_list(item).isNull(), _as_text(item))
-    values = F.when(fields.isNotNull(), F.array(*[_as_text(v) for v in named])).otherwise(F.array(scalar))
+    paths = [f"$.{k}" for k in ITEM_KEYS] + ["$.host.title"]
+    scalar = F.when(_as_map(item).isNull() & _as_list(item).isNull(), _as_text(item))
+    values = F.array(*[F.try_variant_get(item, p, "string") for p in paths], scalar)
     return F.transform(F.filter(values, lambda v: ~is_empty_value(v)), norm_text)
 
 
@@ -122,10 +121,15 @@ def _step(df: DataFrame, keys: Sequence[str], paired: bool) -> DataFrame:
     df = df.withColumns({"_m": _as_map(F.col("v")), "_l": _as_list(F.col("v"))})
     if paired:
         df = df.withColumns({"_rm": _as_map(F.col("r")), "_rl": F.coalesce(_as_list(F.col("r")), F.array().cast("array<variant>"))})
-        # Each in its own projection, so the folds below read columns instead of computing anew.
-        df = df.withColumns({"_mk": F.transform("_l", item_keys), "_rk": F.transform("_rl", item_keys)})
-        df = df.withColumn("_own", F.when(F.col("_l").isNotNull(), key_owners(F.col("_rk"))))
-        df = df.withColumn("_to", F.when(F.col("_l").isNotNull(), pair_items(F.col("_mk"), F.col("_own"), F.size("_rl"))))
+        # Without a choice (no reference items, or one on each side) items keep their positions.
+        # Each step in its own projection, so the folds read columns instead of computing anew.
+        choice = (F.size("_rl") > 0) & (F.size("_l") + F.size("_rl") > 2)
+        df = df.withColumn("_pick", F.coalesce(choice & F.col("_l").isNotNull(), F.lit(False)))
+        df = df.withColumns({
+            "_mk": F.when(F.col("_pick"), F.transform("_l", item_keys)), "_rk": F.when(F.col("_pick"), F.transform("_rl", item_keys)),
+        })
+        df = df.withColumn("_own", F.when(F.col("_pick"), key_owners(F.col("_rk"))))
+        df = df.withColumn("_to", F.when(F.col("_pick"), pair_items(F.col("_mk"), F.col("_own"), F.size("_rl"))))
     no_node = F.lit(None).cast("variant")
 
     def member(e: Column) -> Column:
@@ -142,7 +146,7 @@ def _step(df: DataFrame, keys: Sequence[str], paired: bool) -> DataFrame:
         return F.struct(*parts)
 
     def item(x: Column, i: Column) -> Column:
-        j = F.get(F.col("_to"), i) if paired else i
+        j = F.coalesce(F.get(F.col("_to"), i), i) if paired else i
         parts = [
             F.concat(F.col("path"), F.lit("["), j.cast("string"), F.lit("]")).alias("path"),
             F.concat(F.col("mpath"), F.lit("["), i.cast("string"), F.lit("]")).alias("mpath"), x.alias("v"),
@@ -157,7 +161,9 @@ def _step(df: DataFrame, keys: Sequence[str], paired: bool) -> DataFrame:
         .when(F.col("_l").isNotNull(), F.transform("_l", item))
         .otherwise(F.array(F.struct(*here)))
     )
-    return df.select(*keys, F.inline(children))
+    # The outer form: the inner one would make the optimizer test the children's size first, which
+    # computes them again. An empty container's row of nulls is dropped afterwards.
+    return df.select(*keys, F.inline_outer(children)).where(F.col("path").isNotNull())
 
 
 def _flatten(df: DataFrame, keys: Sequence[str], depth: int, paired: bool) -> DataFrame:

@@ -178,11 +178,11 @@ def _spans(text: Column) -> Column:
             without_markers(F.regexp_extract(x, r"^#+ (.*)", 1)).alias("span"),
         ),
     )
+    def named(marker: str):
+        return lambda s: F.struct(F.lit(marker).alias("marker"), without_markers(s).alias("span"))
+
     marked = [
-        F.transform(
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(1)),
-            lambda s, m=marker: F.struct(F.lit(m).alias("marker"), without_markers(s).alias("span")),
-        )
+        F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), named(marker))
         for marker, pattern in SPAN_PATTERNS.items()
     ]
     return F.concat(headings, *marked)
