@@ -107,7 +107,8 @@ def scores(found: str) -> str:
 
 def judged(v: Views):
     ref = J.leaves(v("references"), keys=("doc_id",))
-    return J.judge(J.aligned_leaves(v("records"), v("references")), ref)
+    records = v("records")
+    return J.judge(J.aligned_leaves(records, v("references")), ref, J.split_invalid(records)[0])
 
 
 def outcomes(v: Views):

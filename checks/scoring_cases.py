@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import case
-from checks.structure_cases import DOC, TAGS, chunks, gold_slots, joined_runs, pred_slots
+from checks.structure_cases import DOC, TAGS, chunks, gold_slots, joined_runs, long, pred_slots
 from checks.views import EXPECTED, Views
 from docstruct.labels import LABELS
 from docstruct.operators import blocks as B
@@ -27,13 +27,7 @@ def has_large(v: Views) -> bool:
 
 def slots_at(v: Views, path: P.EvaluationPath):
     n = chunks(v)
-    pred = P.structure(v("pred_blocks"), path, chunks=n)
-    gold = N.nest(v("gold_blocks"), DOC, n)
-    if path.rules_applied:
-        from docstruct.operators.rules import apply_rules
-
-        gold = apply_rules(gold, DOC)
-    return gold, pred
+    return P.structure(v("gold_blocks"), path, DOC, n), P.structure(v("pred_blocks"), path, chunks=n)
 
 
 def matches(v: Views, path: P.EvaluationPath = P.PATH_A):
@@ -46,11 +40,11 @@ def conf(v: Views, path: P.EvaluationPath = P.PATH_A):
 
 
 def gold_items(v: Views):
-    return N.to_items(gold_slots(v), keys=DOC)
+    return N.to_items(gold_slots(v), keys=DOC, long_docs=long(v))
 
 
 def pred_items(v: Views):
-    return N.to_items(pred_slots(v))
+    return N.to_items(pred_slots(v), long_docs=long(v))
 
 
 # ---- expected values ---------------------------------------------------------------------
@@ -438,7 +432,7 @@ def _(v):
     return A.top_share(A.missing_by_doc(conf(v)))
 
 
-@case("a17_check_rows", "SELECT tag, true_label, all_n AS row_total, 1.0 AS row_sum, true AS ok FROM {matrix}")
+@case("a17_check_rows", "SELECT tag, true_label, all_n AS row_total, CAST(1 AS DOUBLE) AS row_sum, true AS ok FROM {matrix}")
 def _(v):
     return A.check_rows(conf(v))
 

@@ -23,6 +23,10 @@ def chunks(v: Views) -> int | None:
     return chunks_for(v("conversations"), ["conv_id"])
 
 
+def long(v: Views) -> bool:
+    return chunks(v) is not None
+
+
 def gold_slots(v: Views):
     return N.nest(v("gold_blocks"), DOC, chunks(v))
 
@@ -319,39 +323,39 @@ def _(v):
 
 @case("io4_rules", 'SELECT CAST(r."row" AS BIGINT) AS "row", state, CAST(n_actions AS BIGINT) AS n_actions, count(x.sec) AS n FROM {rule_table} r LEFT JOIN (SELECT *, ' + _STATE + " AS state FROM {gold_questions} WHERE q > 0) x USING (state) GROUP BY ALL")
 def _(v):
-    return R.rule_hits(gold_slots(v), DOC)
+    return R.rule_hits(gold_slots(v), DOC, long(v))
 
 
 @case("r1_state", f"SELECT tag, {_STATE} AS state, count(*) AS n FROM {{pred_questions}} WHERE q > 0 GROUP BY ALL")
 def _(v):
-    q = N.to_questions(pred_slots(v)).where("q > 0")
+    q = N.to_questions(pred_slots(v), long_docs=long(v)).where("q > 0")
     s = R.state(F.col("doc_title"), F.col("sec_title"), F.col("sec_desc"), F.col("question"))
     return q.select("tag", s.alias("state")).groupBy("tag", "state").agg(F.count("*").alias("n"))
 
 
 @case("r2_apply_rules", "SELECT tag, doc_id, doc_title, CAST(sec AS BIGINT) AS sec, sec_title, sec_desc, CAST(q AS BIGINT) AS q, question, answer FROM {pred_filled}")
 def _(v):
-    return R.fill(N.to_questions(pred_slots(v)))
+    return R.fill(N.to_questions(pred_slots(v), long_docs=long(v)), long_docs=long(v))
 
 
 @case("r3_rule_hits", 'SELECT CAST(r."row" AS BIGINT) AS "row", state, CAST(n_actions AS BIGINT) AS n_actions, count(x.sec) AS n FROM {rule_table} r LEFT JOIN (SELECT *, ' + _STATE + " AS state FROM {pred_questions} WHERE q > 0) x USING (state) GROUP BY ALL")
 def _(v):
-    return R.rule_hits(pred_slots(v))
+    return R.rule_hits(pred_slots(v), long_docs=long(v))
 
 
 @case("r4_convert_run", "SELECT tag, count(DISTINCT doc_id) AS n_docs FROM {pred_slots} GROUP BY ALL")
 def _(v):
-    return P.convert_run(pred_slots(v))[1]
+    return P.convert_run(pred_slots(v), long(v))[1]
 
 
 @case("r4_converted_items", "SELECT tag, doc_id, ord, text, label FROM {pred_items_b}")
 def _(v):
-    return N.to_items(P.convert_run(pred_slots(v))[0], dedup=False)
+    return N.to_items(P.convert_run(pred_slots(v), long(v))[0], dedup=False)
 
 
 @case("r5_rule_diff", "SELECT tag, doc_id, CAST(sec AS BIGINT) AS sec, CAST(q AS BIGINT) AS q, was, question AS now, source AS filled_from FROM {pred_filled} WHERE q > 0 AND was <> question")
 def _(v):
-    return R.rule_diff(pred_slots(v))
+    return R.rule_diff(pred_slots(v), long_docs=long(v))
 
 
 @case(
@@ -362,12 +366,12 @@ def _(v):
 )
 def _(v):
     old = gold_slots(v)
-    return R.rules_reproduce(old, old, DOC)
+    return R.rules_reproduce(old, old, DOC, long(v))
 
 
 @case("r7_fill_state", "SELECT tag, doc_id, CAST(sec AS BIGINT) AS sec, CAST(q AS BIGINT) AS q, trim(question) <> '' AS filled FROM {pred_questions} WHERE q > 0 AND contains(lower(sec_title), 'the')")
 def _(v):
-    return R.fill_state(pred_slots(v), "The")
+    return R.fill_state(pred_slots(v), "The", long_docs=long(v))
 
 
 # ---- flattening --------------------------------------------------------------------------
@@ -375,22 +379,22 @@ def _(v):
 
 @case("f1_to_items", "SELECT tag, doc_id, ord, text, label FROM {pred_items_a}")
 def _(v):
-    return N.to_items(pred_slots(v))
+    return N.to_items(pred_slots(v), long_docs=long(v))
 
 
 @case("f1_to_items_keep", "SELECT tag, doc_id, ord, text, label FROM {pred_items_b}")
 def _(v):
-    return N.to_items(R.apply_rules(pred_slots(v)), dedup=False)
+    return N.to_items(R.apply_rules(pred_slots(v), long_docs=long(v)), dedup=False)
 
 
 @case("f2_to_label_text", "SELECT tag, doc_id, ord, label, text FROM {pred_items_b}")
 def _(v):
-    return N.to_label_text(R.apply_rules(pred_slots(v)))
+    return N.to_label_text(R.apply_rules(pred_slots(v), long_docs=long(v)))
 
 
 @case("f3_to_questions", "SELECT tag, doc_id, doc_title, CAST(sec AS BIGINT) AS sec, sec_title, sec_desc, CAST(q AS BIGINT) AS q, question, answer FROM {pred_questions}")
 def _(v):
-    return N.to_questions(pred_slots(v))
+    return N.to_questions(pred_slots(v), long_docs=long(v))
 
 
 @case(
@@ -404,4 +408,4 @@ def _(v):
 
 @case("f5_item_summary", f"SELECT tag, doc_id, count(*) AS n_rows, {_COUNTS} FROM {{pred_items_a}} GROUP BY ALL")
 def _(v):
-    return N.item_summary(N.to_items(pred_slots(v)))
+    return N.item_summary(N.to_items(pred_slots(v), long_docs=long(v)))

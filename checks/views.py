@@ -124,6 +124,21 @@ SPLIT["words"] = (
         "(SELECT doc_id, line_no, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, line_no, string_split(line, ' ') AS ws FROM {lines}) a) b) c WHERE w <> ''",
     ),
 )
+_CHAR_ROWS = """
+SELECT doc_id, page_no, word_no AS of_word, k AS char_no, c AS text, CASE WHEN (doc_id + word_no) % 7 = 1 AND k % 3 <> 0 THEN 'Times-Bold' ELSE fontname END AS fontname,
+  size, x0 + (x1 - x0) * k / n AS x0, x0 + (x1 - x0) * (k + 1) / n AS x1, top, bottom
+FROM ({rows}) x"""
+SPLIT["chars"] = (
+    _CHAR_ROWS.format(rows="SELECT w.*, length(text) AS n, k, c FROM {words} w LATERAL VIEW posexplode(split(text, '')) e AS k, c WHERE c <> ''"),
+    _CHAR_ROWS.format(rows="SELECT w.* EXCLUDE (text), length(text) AS n, unnest(range(0, length(text))) AS k, unnest(string_split(text, '')) AS c FROM {words} w"),
+)
+BOTH["plain_pages"] = """
+SELECT conv_id AS doc_id, turn + 1 AS page_no, CASE WHEN (conv_id + turn) % 5 = 0 THEN '' ELSE text END AS text FROM {conversations}"""
+BOTH["marked_pages"] = """
+SELECT conv_id AS doc_id, turn + 1 AS page_no, concat('** ', text, ' **') AS text FROM {conversations} WHERE role = 'assistant'"""
+BOTH["markdown"] = """
+SELECT conv_id * 100 + turn AS doc_id, concat('## ', role, '   part ##', chr(10), chr(10), chr(10), chr(10), 'some *words* and **bold**   text', chr(10),
+  replace(replace(text, '*', ' '), '#', ' ')) AS text, text AS body, role FROM {conversations}"""
 BOTH["rects"] = """
 SELECT doc_id, CAST(floor(line_no / 20) AS BIGINT) + 1 AS page_no, CAST(40 AS DOUBLE) AS x0,
   CAST(CASE WHEN line_no % 6 = 0 THEN 200 ELSE 44 END AS DOUBLE) AS x1, CAST((line_no % 20) * 14 + 11 AS DOUBLE) AS top,

@@ -174,9 +174,17 @@ def _flatten(df: DataFrame, keys: Sequence[str], depth: int, paired: bool) -> Da
     return df.select(*keys, "path", "mpath", value.alias("value"))
 
 
+def _spread_out(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Records evenly over ``spark.sql.shuffle.partitions`` tasks. Taking a record apart costs far
+    more than moving it, and a fixed number of partitions is not merged again by its bytes; the
+    keys name one record, so a document with many records is spread too."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), *keys)
+
+
 def leaves(records: DataFrame, raw: str = "raw", keys: Sequence[str] = RECORD, max_depth: int = MAX_DEPTH) -> DataFrame:
     """``(keys, path, value)`` of every scalar; J2 is applied on the way down. The root is an
     object; rows that hold no valid JSON give nothing (see `split_invalid`)."""
+    records = _spread_out(records.select(*keys, raw), keys)
     top = records.select(*keys, F.lit("").alias("path"), F.lit("").alias("mpath"), F.try_parse_json(F.col(raw)).alias("v"))
     return _flatten(top.where(F.col("v").isNotNull()), keys, max_depth, paired=False).drop("mpath")
 
@@ -190,7 +198,7 @@ def aligned_leaves(
     ref = references.select(*on, F.try_parse_json(F.col(raw)).alias("r"))
     both = records.select(*keys, F.lit("").alias("path"), F.lit("").alias("mpath"), F.try_parse_json(F.col(raw)).alias("v"))
     both = both.where(F.col("v").isNotNull()).join(ref, on=list(on)).select(*keys, "path", "mpath", "v", "r")
-    return _flatten(both, keys, max_depth, paired=True)
+    return _flatten(_spread_out(both, keys), keys, max_depth, paired=True)
 
 
 def key_census(records: DataFrame, raw: str = "raw", pattern: str | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -276,23 +284,33 @@ def verdict(path: Column, model: Column, ref: Column) -> Column:
 JUDGED = ["field", "model_field", "model_value", "reference_value", "verdict", "reason"]
 
 
-def judge(aligned: DataFrame, ref_leaves: DataFrame, keys: Sequence[str] = RECORD, on: Sequence[str] = ("doc_id",)) -> DataFrame:
+def judge(
+    aligned: DataFrame, ref_leaves: DataFrame, scored: DataFrame, keys: Sequence[str] = RECORD, on: Sequence[str] = ("doc_id",)
+) -> DataFrame:
     """A row per field the record wrote, and a Missed row per reference field that no
-    Correct row covers. A wrong value therefore gives two rows."""
+    Correct row covers. A wrong value therefore gives two rows.
+
+    *scored* lists the valid records. Their fields on both sides meet in one outer join; a
+    record's paths are unique, so each row of it decides both rows of its field.
+    """
     ref = ref_leaves.select(*on, F.col("path").alias("field"), F.col("value").alias("reference_value"))
+    owed = scored.select(*keys).join(ref, on=list(on)).select(*keys, "field", "reference_value")
     wrote = aligned.select(*keys, F.col("path").alias("field"), F.col("mpath").alias("model_field"), F.col("value").alias("model_value"))
-    rows = wrote.join(ref, on=[*on, "field"], how="left")
-    rows = rows.withColumn("_v", verdict(F.col("field"), F.col("model_value"), F.col("reference_value")))
-    rows = rows.select(*keys, *JUDGED[:4], "_v.verdict", "_v.reason")
-    covered = rows.where(F.col("verdict") == "Correct").select(*keys, "field")
-    # Reference fields once per record of their document.
-    owed = aligned.select(*keys).distinct().join(ref.where(~is_empty_value(F.col("reference_value"))), on=list(on))
+    both = wrote.join(owed, on=[*keys, "field"], how="full")
+    both = both.withColumn("_v", verdict(F.col("field"), F.col("model_value"), F.col("reference_value")))
+    written = F.col("model_field").isNotNull()
     none = F.lit(None).cast("string")
-    missed = owed.join(covered, on=[*keys, "field"], how="left_anti").select(
-        *keys, "field", none.alias("model_field"), none.alias("model_value"), "reference_value",
-        F.lit("Missed").alias("verdict"), F.lit("").alias("reason"),
-    )
-    return rows.unionByName(missed)
+
+    def row(field: Column, value: Column, v: Column, why: Column) -> Column:
+        return F.struct(field.alias("model_field"), value.alias("model_value"), v.alias("verdict"), why.alias("reason"))
+
+    missed = ~is_empty_value(F.col("reference_value")) & ~(written & (F.col("_v.verdict") == "Correct"))
+    rows = F.array_compact(F.array(
+        F.when(written, row(F.col("model_field"), F.col("model_value"), F.col("_v.verdict"), F.col("_v.reason"))),
+        F.when(missed, row(none, none, F.lit("Missed"), F.lit(""))),
+    ))
+    out = both.select(*keys, "field", "reference_value", F.inline_outer(rows)).where(F.col("verdict").isNotNull())
+    return out.select(*keys, *JUDGED)
 
 
 def n_reference_fields(ref_leaves: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:

@@ -108,7 +108,7 @@ def native_summary(words: DataFrame, rects: DataFrame, links: DataFrame) -> Data
 # ---- boxes -------------------------------------------------------------------------------
 
 # Height of the horizontal bands that rows are grouped in before boxes are compared, in points.
-BAND = 64.0
+BAND = 16.0
 
 
 def _bands(top: Column, bottom: Column) -> Column:

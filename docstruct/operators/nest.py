@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,54 +109,47 @@ def assemble(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
 # ---- flat and nested forms ---------------------------------------------------------------
 
 
-def to_questions(slots: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def is_long(df: DataFrame, keys: Sequence[str], long_docs: bool | None) -> bool:
+    """Whether some document is too long for one task; *long_docs* is the caller's answer."""
+    return chunks_for(df, keys) is not None if long_docs is None else long_docs
+
+
+def spread(df: DataFrame, by: Sequence[str], columns: dict[str, Column], long_docs: bool) -> DataFrame:
+    """Add aggregates over *by* to every row: by windows, which share one shuffle on the document
+    keys with nesting; or, where documents are long, by a join with the aggregated side."""
+    if not long_docs:
+        w = Window.partitionBy(*by)
+        return df.withColumns({n: c.over(w) for n, c in columns.items()})
+    return df.join(df.groupBy(*by).agg(*[c.alias(n) for n, c in columns.items()]), on=list(by), how="left")
+
+
+def _text_of(slot: str) -> Column:
+    return F.max(F.when(F.col("slot") == slot, F.col("text")))
+
+
+def to_questions(slots: DataFrame, keys: Sequence[str] = KEYS, long_docs: bool | None = None) -> DataFrame:
     """one row per question with its section and document title.
 
     A section without questions gives one row with ``q`` = 0 and blank texts. Columns:
     ``keys, doc_title, sec, sec_title, sec_desc, q, question, answer``.
     """
-    def text_of(slot: str) -> Column:
-        return F.coalesce(F.max(F.when(F.col("slot") == slot, F.col("text"))), F.lit(""))
-
-    titles = slots.where(F.col("sec") == 0).groupBy(*keys).agg(text_of(TITLE).alias("doc_title"))
-    in_sections = slots.where(F.col("sec") > 0)
-    sections = in_sections.groupBy(*keys, "sec").agg(
-        text_of(SECTION_TITLE).alias("sec_title"), text_of(SECTION_DESCRIPTION).alias("sec_desc"),
-        F.max("q").alias("_last_q"),
+    long_docs = is_long(slots, keys, long_docs)
+    rows = slots.groupBy(*keys, "sec", "q").agg(
+        *[_text_of(x).alias(n) for x, n in (
+            (TITLE, "_t"), (SECTION_TITLE, "_st"), (SECTION_DESCRIPTION, "_sd"), (QUESTION, "question"), (ANSWER, "answer"))]
     )
-    asked = in_sections.where(F.col("q") > 0).groupBy(*keys, "sec", "q").agg(
-        text_of(QUESTION).alias("question"), text_of(ANSWER).alias("answer")
-    )
-    return (
-        sections.join(asked, on=[*keys, "sec"], how="left")
-        .join(titles, on=list(keys), how="left")
-        .select(
-            *keys, F.coalesce("doc_title", F.lit("")).alias("doc_title"), "sec", "sec_title", "sec_desc",
-            F.coalesce("q", F.lit(0)).alias("q"),
-            F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"),
-        )
-    )
-
-
-def from_questions(questions: DataFrame, titles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Slots again, from the one-row-per-question form and the document-title slots."""
-    cells = F.array(
-        F.struct(F.lit(0).alias("q"), F.lit(SECTION_TITLE).alias("slot"), F.col("sec_title").alias("text")),
-        F.struct(F.lit(0).alias("q"), F.lit(SECTION_DESCRIPTION).alias("slot"), F.col("sec_desc").alias("text")),
-        F.struct(F.col("q"), F.lit(QUESTION).alias("slot"), F.col("question").alias("text")),
-        F.struct(F.col("q"), F.lit(ANSWER).alias("slot"), F.col("answer").alias("text")),
-    )
-    # The section's own cells come from its first row only; a question is kept even when blank.
-    keep = F.filter(
-        cells,
-        lambda c: F.when(c["slot"].isin(SECTION_TITLE, SECTION_DESCRIPTION), F.col("q") <= 1)
-        .otherwise(F.col("q") > 0) & ((c["text"] != "") | c["slot"].isin(SECTION_TITLE, QUESTION)),
+    rows = spread(rows, [*keys, "sec"], {"sec_title": F.max("_st"), "sec_desc": F.max("_sd"), "_last_q": F.max("q")}, long_docs)
+    rows = spread(rows, keys, {"doc_title": F.max("_t")}, long_docs)
+    kept = rows.where((F.col("sec") > 0) & ((F.col("q") > 0) | (F.col("_last_q") == 0)))
+    none = F.lit("")
+    return kept.select(
+        *keys, F.coalesce("doc_title", none).alias("doc_title"), "sec", F.coalesce("sec_title", none).alias("sec_title"),
+        F.coalesce("sec_desc", none).alias("sec_desc"), "q", F.coalesce("question", none).alias("question"),
+        F.coalesce("answer", none).alias("answer"),
     )
-    body = questions.select(*keys, "sec", F.inline(keep)).select(*keys, "sec", "q", "slot", "text")
-    return titles.where(F.col("sec") == 0).select(*keys, "sec", "q", "slot", "text").unionByName(body)
 
 
-def to_items(slots: DataFrame, dedup: bool = True, keys: Sequence[str] = KEYS) -> DataFrame:
+def to_items(slots: DataFrame, dedup: bool = True, keys: Sequence[str] = KEYS, long_docs: bool | None = None) -> DataFrame:
     """F1: scored items ``(keys, ord, text, label)``.
 
     *dedup* drops a question whose text equals its section's title. A description or answer that
@@ -166,10 +159,9 @@ def to_items(slots: DataFrame, dedup: bool = True, keys: Sequence[str] = KEYS) -
         F.when(F.col("slot").isin(SECTION_DESCRIPTION, ANSWER), F.col("text") != "").otherwise(F.col("stripped") != "")
     )
     if dedup:
-        heading = kept.where(F.col("slot") == SECTION_TITLE).select(
-            *keys, "sec", F.lit(QUESTION).alias("slot"), F.col("stripped")
-        )
-        kept = kept.join(heading, on=[*keys, "sec", "slot", "stripped"], how="left_anti")
+        heading = F.max(F.when(F.col("slot") == SECTION_TITLE, F.col("stripped")))
+        kept = spread(kept, [*keys, "sec"], {"_head": heading}, is_long(slots, keys, long_docs))
+        kept = kept.where((F.col("slot") != QUESTION) | ~F.col("stripped").eqNullSafe(F.col("_head")))
     return kept.select(
         *keys, order_key(F.col("sec"), F.col("q"), F.col("slot")).alias("ord"),
         F.col("stripped").alias("text"), F.col("slot").alias("label"),
@@ -215,7 +207,7 @@ def item_summary(items: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def to_structured(slots: DataFrame, keys: Sequence[str] = KEYS, url: str = "") -> DataFrame:
     """The nested tree, one row per document, for export. Every other operator uses slots."""
-    q = to_questions(slots, keys)
+    q = to_questions(slots, keys, long_docs=False)
     answer = F.struct(
         F.lit(None).cast("string").alias("text"),
         F.struct(

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docstruct.functions.text import is_blank, strip
-from docstruct.labels import QUESTION, SECTION_DESCRIPTION, SECTION_TITLE, TITLE
-from docstruct.operators.nest import KEYS, from_questions, to_questions
+from docstruct.labels import ANSWER, QUESTION, SECTION_DESCRIPTION, SECTION_TITLE, TITLE
+from docstruct.operators.nest import KEYS, is_long, order_key, spread, to_questions
 
 # Emptiness (E) or not (N) of document title, section title, section description
 # and question text -> what is copied where. All other patterns change nothing.
@@ -42,81 +42,133 @@ def _row_state() -> Column:
     return state(F.col("doc_title"), F.col("sec_title"), F.col("sec_desc"), F.col("question"))
 
 
-def fill(questions: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def _source(doc: Column, head: Column, about: Column) -> Column:
+    """What a blank question is filled with: the first that holds text."""
+    return F.coalesce(*[F.nullif(strip(c), F.lit("")) for c in (head, about, doc)])
+
+
+def _new_heading(doc: Column, about: Column) -> Column:
+    """What a blank section title with a blank question is filled with: the one of description
+    and document title that holds text; nothing when both do."""
+    return F.when(is_blank(doc), F.nullif(strip(about), F.lit(""))).when(is_blank(about), strip(doc))
+
+
+def fill(questions: DataFrame, keys: Sequence[str] = KEYS, long_docs: bool | None = None) -> DataFrame:
     """R2 on the one-row-per-question form.
 
-    The table boils down to two expressions: a blank question takes the first non-blank of
-    section title, description and document title; a blank section title is filled when the
-    section has a blank question and exactly one of description and document title is there.
-    Each question is judged on the values before any fill, so their order does not matter.
+    The table boils down to the two expressions above. Each question is judged on the values
+    before any fill, so their order does not matter.
     """
-    doc, head, about = strip("doc_title"), strip("sec_title"), strip("sec_desc")
-    source = F.coalesce(*[F.nullif(c, F.lit("")) for c in (head, about, doc)], F.lit(""))
     asks_blank = (F.col("q") > 0) & is_blank(F.col("question"))
-    blank_in_section = questions.where(asks_blank & is_blank(F.col("sec_title"))).select(
-        *keys, "sec", F.lit(True).alias("_fills")
-    ).distinct()
-    new_head = (
-        F.when((head == "") & F.col("_fills") & (doc == "") & (about != ""), about)
-        .when((head == "") & F.col("_fills") & (doc != "") & (about == ""), doc)
-        .otherwise(F.col("sec_title"))
-    )
-    return questions.join(blank_in_section, on=[*keys, "sec"], how="left").select(
-        *keys, "doc_title", "sec", new_head.alias("sec_title"), "sec_desc", "q",
-        F.when(asks_blank & (source != ""), source).otherwise(F.col("question")).alias("question"), "answer",
+    rows = spread(questions, [*keys, "sec"], {"_asks": F.bool_or(asks_blank)}, is_long(questions, keys, long_docs))
+    new = _new_heading(F.col("doc_title"), F.col("sec_desc"))
+    head = F.when(is_blank(F.col("sec_title")) & F.col("_asks"), F.coalesce(new, F.col("sec_title"))).otherwise(F.col("sec_title"))
+    source = _source(F.col("doc_title"), F.col("sec_title"), F.col("sec_desc"))
+    return rows.select(
+        *keys, "doc_title", "sec", head.alias("sec_title"), "sec_desc", "q",
+        F.when(asks_blank, F.coalesce(source, F.col("question"))).otherwise(F.col("question")).alias("question"), "answer",
     )
 
 
-def apply_rules(slots: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """R2: stage-3 slots -> stage-4 slots."""
-    return from_questions(fill(to_questions(slots, keys), keys), slots, keys)
+def apply_rules(slots: DataFrame, keys: Sequence[str] = KEYS, long_docs: bool | None = None) -> DataFrame:
+    """R2: stage-3 slots -> stage-4 slots.
+
+    Works on slots as they are: a blank place is filled where it has a row, and gets one where
+    it has none (a question known only by its answer, a section known only by its content).
+    """
+    long_docs = is_long(slots, keys, long_docs)
+
+    def text_of(slot: str) -> Column:
+        return F.max(F.when(F.col("slot") == slot, F.col("text")))
+
+    def seen(slot: str) -> Column:
+        return F.bool_or(F.col("slot") == slot)
+
+    first = F.min(order_key(F.col("sec"), F.col("q"), F.col("slot")))
+    rows = spread(slots, [*keys, "sec", "q"], {"_question": text_of(QUESTION), "_has_q": seen(QUESTION)}, long_docs)
+    asks = (F.col("q") > 0) & is_blank(F.coalesce("_question", F.lit("")))
+    rows = spread(
+        rows, [*keys, "sec"],
+        {"_head": text_of(SECTION_TITLE), "_about": text_of(SECTION_DESCRIPTION), "_has_head": seen(SECTION_TITLE), "_asks": F.bool_or(asks), "_first": first},
+        long_docs,
+    )
+    rows = spread(rows, keys, {"_doc": text_of(TITLE)}, long_docs)
+    none = F.lit("")
+    doc, head, about = (F.coalesce(c, none) for c in ("_doc", "_head", "_about"))
+    question = F.when(asks, _source(doc, head, about))
+    heading = F.when(is_blank(head) & F.col("_asks"), _new_heading(doc, about))
+    own = (
+        F.when(F.col("slot") == QUESTION, F.coalesce(question, F.col("text")))
+        .when(F.col("slot") == SECTION_TITLE, F.coalesce(heading, F.col("text"))).otherwise(F.col("text"))
+    )
 
+    def cell(q: Column, slot: Column, text: Column) -> Column:
+        return F.struct(q.alias("q"), slot.alias("slot"), text.alias("text"))
+
+    at_start = order_key(F.col("sec"), F.col("q"), F.col("slot")) == F.col("_first")
+    # A question without a row of its own is known by its answer alone, so that one row adds it.
+    new_question = (F.col("slot") == ANSWER) & ~F.col("_has_q") & question.isNotNull()
+    new_heading = at_start & ~F.col("_has_head") & (F.col("sec") > 0) & heading.isNotNull()
+    cells = F.array(
+        cell(F.col("q"), F.col("slot"), own),
+        F.when(new_question, cell(F.col("q"), F.lit(QUESTION), question)),
+        F.when(new_heading, cell(F.lit(0), F.lit(SECTION_TITLE), heading)),
+    )
+    return rows.select(*keys, "sec", F.inline_outer(F.array_compact(cells))).select(*keys, "sec", "q", "slot", "text")
 
-def rule_hits(slots: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+
+def rule_hits(slots: DataFrame, keys: Sequence[str] = KEYS, long_docs: bool | None = None) -> DataFrame:
     """How many questions meet each row of the table. Only the 16-row side is broadcast."""
-    seen = to_questions(slots, keys).where("q > 0").select(_row_state().alias("state"))
+    seen = to_questions(slots, keys, long_docs).where("q > 0").select(_row_state().alias("state"))
     counted = seen.groupBy("state").agg(F.count("*").alias("n"))
     return F.broadcast(rules_df(slots.sparkSession)).join(counted, on="state", how="left").select(
         "row", "state", F.size("actions").alias("n_actions"), F.coalesce("n", F.lit(0)).alias("n")
     )
 
 
-def rule_diff(slots: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def rule_diff(slots: DataFrame, keys: Sequence[str] = KEYS, long_docs: bool | None = None) -> DataFrame:
     """Questions the rules changed: what they were, are now, and which field filled them."""
-    before = to_questions(slots, keys).where("q > 0")
-    return changed(before, fill(before, keys), keys)
+    long_docs = is_long(slots, keys, long_docs)
+    before = to_questions(slots, keys, long_docs).where("q > 0")
+    now = _source(F.col("doc_title"), F.col("sec_title"), F.col("sec_desc"))
+    filled = before.where(is_blank(F.col("question")) & now.isNotNull())
+    return filled.select(*keys, "sec", "q", F.col("question").alias("was"), now.alias("now"), _filled_from(_row_state()).alias("filled_from"))
+
+
+def _filled_from(pattern: Column) -> Column:
+    return (
+        F.when(F.substring(pattern, 2, 1) == "N", SECTION_TITLE)
+        .when(F.substring(pattern, 3, 1) == "N", SECTION_DESCRIPTION)
+        .otherwise(TITLE)
+    )
 
 
 def changed(before: DataFrame, after: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """R5 for two given stages."""
+    """R5 for two given stages, each in the one-row-per-question form."""
     was = before.select(*keys, "sec", "q", _row_state().alias("state"), F.col("question").alias("was"))
     now = after.select(*keys, "sec", "q", F.col("question").alias("now"))
-    filled_from = (
-        F.when(F.substring("state", 2, 1) == "N", SECTION_TITLE)
-        .when(F.substring("state", 3, 1) == "N", SECTION_DESCRIPTION)
-        .otherwise(TITLE)
-    )
     return was.join(now, on=[*keys, "sec", "q"]).where(F.col("was") != F.col("now")).select(
-        *keys, "sec", "q", "was", "now", filled_from.alias("filled_from")
+        *keys, "sec", "q", "was", "now", _filled_from(F.col("state")).alias("filled_from")
     )
 
 
-def rules_reproduce(old: DataFrame, new: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def rules_reproduce(old: DataFrame, new: DataFrame, keys: Sequence[str] = KEYS, long_docs: bool | None = None) -> DataFrame:
     """Per document, do the rules turn the old annotation's (section title, question) list
     into the new one's? Compared row by row, so no document is gathered into a list."""
-    def listed(slots: DataFrame, side: str) -> DataFrame:
-        return to_questions(slots, keys).where("q > 0").select(
+    def listed(questions: DataFrame, side: str) -> DataFrame:
+        return questions.where("q > 0").select(
             *keys, "sec", "q", F.struct(strip("sec_title"), strip("question")).alias(side)
         )
 
-    both = listed(apply_rules(old, keys), "a").join(listed(new, "b"), on=[*keys, "sec", "q"], how="full")
+    filled = fill(to_questions(old, keys, long_docs), keys, long_docs)
+    both = listed(filled, "a").join(listed(to_questions(new, keys, long_docs), "b"), on=[*keys, "sec", "q"], how="full")
     same = F.col("a").eqNullSafe(F.col("b"))
     return both.groupBy(*keys).agg(F.every(same).alias("reproduced"), F.count_if(~same).alias("n_different"))
 
 
-def fill_state(slots: DataFrame, pattern: str, keys: Sequence[str] = KEYS) -> DataFrame:
+def fill_state(slots: DataFrame, pattern: str, keys: Sequence[str] = KEYS, long_docs: bool | None = None) -> DataFrame:
     """For sections whose title contains *pattern*, whether each question holds text."""
     wanted = F.contains(F.lower("sec_title"), F.lit(pattern.lower()))
-    return to_questions(slots, keys).where(wanted & (F.col("q") > 0)).select(
+    return to_questions(slots, keys, long_docs).where(wanted & (F.col("q") > 0)).select(
         *keys, "sec", "q", (~is_blank(F.col("question"))).alias("filled")
     )

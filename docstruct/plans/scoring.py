@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from docstruct.labels import CONTAINMENT_THRESHOLD
 from docstruct.operators.match import greedy_match
 from docstruct.operators.metrics import confusion, doc_accuracy, errors, micro_prf
-from docstruct.operators.nest import nest, to_items
+from docstruct.operators.nest import KEYS, nest, to_items
+from docstruct.operators.ordered import chunks_for
 from docstruct.operators.rules import apply_rules
 
 
@@ -29,30 +30,33 @@ PATH_A = EvaluationPath("A")
 PATH_B = EvaluationPath("B", rules_applied=True, dedup_question_title=False)
 
 
-def structure(blocks: DataFrame, path: EvaluationPath, **options) -> DataFrame:
+def structure(blocks: DataFrame, path: EvaluationPath, keys: Sequence[str] = KEYS, chunks: int | str | None = "auto") -> DataFrame:
     """Slots of labeled blocks at the stage *path* scores."""
-    slots = nest(blocks, **options)
-    return apply_rules(slots) if path.rules_applied else slots
+    if chunks == "auto":
+        chunks = chunks_for(blocks, keys)
+    slots = nest(blocks, keys, chunks)
+    return apply_rules(slots, keys, long_docs=chunks is not None) if path.rules_applied else slots
 
 
-def convert_run(slots: DataFrame) -> tuple[DataFrame, DataFrame]:
+def convert_run(slots: DataFrame, long_docs: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """Stage 3 -> stage 4 of every run in *slots*, and the documents converted per run."""
-    return apply_rules(slots), slots.groupBy("tag").agg(F.count_distinct("doc_id").alias("n_docs"))
+    return apply_rules(slots, long_docs=long_docs), slots.groupBy("tag").agg(F.count_distinct("doc_id").alias("n_docs"))
 
 
 def match_run(
-    gold: DataFrame, pred: DataFrame, path: EvaluationPath, exclude: Sequence[int] = (), has_large: bool | None = None
+    gold: DataFrame, pred: DataFrame, path: EvaluationPath, exclude: Sequence[int] = (), *,
+    docs: DataFrame | None = None, has_large: bool | None = None,
 ) -> DataFrame:
     """Match rows of gold slots ``(doc_id, ...)`` and predicted slots ``(tag, doc_id, ...)``.
 
-    Documents are driven from the gold side; those without a prediction are left out (see
-    `skipped_docs`), as are those in *exclude*.
+    Documents without items on a side are left out (see `skipped_docs`), as are those in
+    *exclude*; *docs* ``(tag, doc_id)`` names the scored ones where a document may be empty.
+    *has_large* is the caller's answer to whether some document is long.
     """
     if exclude:
         gold, pred = (d.where(~F.col("doc_id").isin(list(exclude))) for d in (gold, pred))
-    docs = pred.select("tag", "doc_id").distinct().join(gold.select("doc_id").distinct(), "doc_id", "left_semi")
-    gold_items = to_items(gold, path.dedup_question_title, keys=("doc_id",))
-    pred_items = to_items(pred, path.dedup_question_title)
+    gold_items = to_items(gold, path.dedup_question_title, ("doc_id",), has_large)
+    pred_items = to_items(pred, path.dedup_question_title, long_docs=has_large)
     return greedy_match(gold_items, pred_items, path.threshold, docs=docs, has_large=has_large)
 
 
@@ -70,7 +74,7 @@ def evaluate_run(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(accuracy per document, confusion per document, error list). Empty tables when no
     gold document has a prediction."""
-    matches = match_run(gold, pred, path, exclude, has_large)
+    matches = match_run(gold, pred, path, exclude, has_large=has_large)
     conf = confusion(matches)
     return doc_accuracy(conf), conf, errors(matches)
 
