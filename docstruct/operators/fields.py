@@ -27,7 +27,7 @@ ONE_OR_MANY = ["contact_id", "contributor_id", "creator_id", "metadata_standard_
 ITEM_KEYS = ["title", "name", "identifier", "license_ref"]
 
 # Levels a record may have; containers and list indices count one each.
-MAX_DEPTH = 12
+MAX_DEPTH = 9
 
 
 # ---- taking records apart ----------------------------------------------------------------

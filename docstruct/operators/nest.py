@@ -12,7 +12,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docstruct.functions.text import is_blank, strip
 from docstruct.labels import ANSWER, LABELS, QUESTION, SECTION_DESCRIPTION, SECTION_TITLE, TITLE
@@ -20,11 +19,12 @@ from docstruct.operators.ordered import chunks_for, scan
 
 KEYS = ("tag", "doc_id")
 
-STRUCTURED_TYPE = T._parse_datatype_string(
-    "struct<narrative: struct<download_url: string, template: struct<title: string, description: string, "
+# The nested tree, as a type in DDL form.
+NARRATIVE_DDL = (
+    "struct<download_url: string, template: struct<title: string, description: string, "
     "version: string, section: array<struct<title: string, description: string, `order`: int, "
     "question: array<struct<text: string, `order`: int, answer: struct<text: string, json: struct<type: string, "
-    "answer: string, meta: struct<schemaVersion: string>>>>>>>>>>"
+    "answer: string, meta: struct<schemaVersion: string>>>>>>>>>"
 )
 
 

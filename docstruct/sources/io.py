@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docstruct.labels import ANSWER
-from docstruct.operators.nest import STRUCTURED_TYPE, to_label_text
+from docstruct.operators.nest import NARRATIVE_DDL, to_label_text
 
 RUN_KEYS = ["rda_model", "extractor", "prompt", "prompt_fingerprint"]
 
@@ -54,8 +54,7 @@ def read_structured(spark: SparkSession, path: str, strict: bool = False) -> tup
         marked = marked.withColumn(
             "_ok", F.when(F.col("_ok"), True).otherwise(F.raise_error(F.concat(F.lit("not a structured document: "), F.col("file"))))
         )
-    inner = STRUCTURED_TYPE["narrative"].dataType
-    whole, bare = F.from_json("raw", STRUCTURED_TYPE)["narrative"], F.from_json("raw", inner)
+    whole, bare = F.from_json("raw", f"struct<narrative: {NARRATIVE_DDL}>")["narrative"], F.from_json("raw", NARRATIVE_DDL)
     good = marked.where("_ok").select("tag", "doc_id", F.coalesce(whole, bare).alias("narrative"))
     bad = marked.where(~F.col("_ok")).select("tag", "doc_id", "file", F.lit("root is not an object").alias("reason"))
     return good, bad
