@@ -107,7 +107,8 @@ SELECT doc_id, CAST(floor(line_no / 20) AS BIGINT) + 1 AS page_no, line_no, word
 FROM {rows}"""
 
 SPLIT["lines"] = (
-    "SELECT doc_id, CAST(i AS BIGINT) AS line_no, line FROM {documents} LATERAL VIEW posexplode(split(text, '\\n')) x AS i, line",
+    "SELECT doc_id, CAST(i AS BIGINT) AS line_no, line FROM (SELECT /*+ REPARTITION(doc_id) */ doc_id, text FROM {documents}) d "
+    "LATERAL VIEW posexplode(split(text, '\\n')) x AS i, line",
     "SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i "
     "FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {documents}) a) b",
 )
