@@ -478,7 +478,7 @@ def _(v):
 @case(
     "a22_threshold_sweep",
     f"""SELECT m.tag, threshold, m.tp, m.fp, m.fn, round(m.precision, 6) AS precision, round(m.recall, 6) AS recall, round(m.f1, 6) AS f1, round(m.f1 - b.f1, 6) AS f1_change, m.tp - b.tp AS tp_change
-    FROM (SELECT 0.75 AS threshold, * FROM {{micro_a}} UNION ALL SELECT 1.0, * FROM {{micro_a_full}}) m JOIN {{micro_a}} b ON b.tag = m.tag""",
+    FROM (SELECT CAST(0.75 AS DOUBLE) AS threshold, * FROM {{micro_a}} UNION ALL SELECT CAST(1 AS DOUBLE), * FROM {{micro_a_full}}) m JOIN {{micro_a}} b ON b.tag = m.tag""",
 )
 def _(v):
     return P.threshold_sweep(*slots_at(v, P.PATH_A), P.PATH_A, [0.75, 1.0], has_large=has_large(v))
@@ -536,7 +536,7 @@ def _(v):
 
 @case(
     "a28_experiment_summary",
-    """SELECT model, 'ex' AS extractor, path, model || '_ex_whole_doc' AS tag, coalesce(s.correct, 0) AS correct, coalesce(s.total, 0) AS total, round(s.correct / s.total, 6) AS accuracy, s.total IS NOT NULL AS has_results
+    """SELECT model, 'ex' AS extractor, p.path, model || '_ex_whole_doc' AS tag, coalesce(s.correct, 0) AS correct, coalesce(s.total, 0) AS total, round(s.correct / s.total, 6) AS accuracy, s.total IS NOT NULL AS has_results
     FROM (SELECT unnest(['run1', 'run2', 'run9']) AS model) m CROSS JOIN (SELECT unnest(['A', 'B']) AS path) p LEFT JOIN (
       SELECT tag, 'A' AS path, CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(total) AS BIGINT) AS total FROM {acc} GROUP BY ALL) s ON s.tag = m.model AND s.path = p.path""",
 )

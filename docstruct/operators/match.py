@@ -97,13 +97,14 @@ def true_label_strict(blocks: DataFrame, gold: DataFrame, threshold: float = CON
     held = set_pairs(sets, token_sets(with_tokens(blocks), ["doc_id"], "ord"), ["doc_id"], other)
     held = held.join(sets.select("doc_id", F.col("toks").alias("ltoks"), "n_rows"), on=["doc_id", "ltoks"])
     spans = held.groupBy("doc_id", F.col("rtoks").alias("toks")).agg(
-        F.collect_set(F.when(F.col("n_rows") == 1, F.col("ltoks"))).alias("single"), F.max("n_rows").alias("most")
+        F.min("ltoks").alias("low"), F.max("ltoks").alias("high"), F.max("n_rows").alias("most")
     )
-    two = (F.col("most") > 1) | F.exists(F.col("single"), lambda s: s != F.col("gold_toks"))
+    # Some set differs from the best item's own if the smallest or the largest does.
+    two = (F.col("most") > 1) | (F.col("low") != F.col("gold_toks")) | (F.col("high") != F.col("gold_toks"))
     known = (F.col("n_toks") >= 3) & F.col("gold_label").isNotNull() & ~F.coalesce(two, F.lit(False))
     return found.join(spans, on=["doc_id", "toks"], how="left").withColumn(
         "true_label", F.when(known, F.col("gold_label"))
-    ).drop("toks", "gold_toks", "single", "most", "gold_label")
+    ).drop("toks", "gold_toks", "low", "high", "most", "gold_label")
 
 
 def block_accuracy(labeled: DataFrame, keys: Sequence[str] = ("tag",)) -> DataFrame:
