@@ -44,6 +44,11 @@ FROM (SELECT tag, doc_id, pos, text, label, seed, (doc_id * 7 + pos * 3 + seed *
       FROM {{gold_blocks}} CROSS JOIN {RUNS} r) b
 WHERE h <> 0"""
 
+# Spark spreads the runs from the row itself, so no join is planned for them.
+_RUN_ROWS = "inline(array(struct('run1' AS tag, 0 AS seed), struct('run2' AS tag, 1 AS seed), struct('run3' AS tag, 2 AS seed)))"
+_pred = BOTH.pop("pred_blocks")
+SPLIT["pred_blocks"] = (_pred.replace(f"{{gold_blocks}} CROSS JOIN {RUNS} r", f"(SELECT *, {_RUN_ROWS} FROM {{gold_blocks}}) g"), _pred)
+
 # ---- texts -------------------------------------------------------------------------------
 
 BOTH["texts"] = """
@@ -219,6 +224,17 @@ BOTH["records"] = (
     f"CROSS JOIN {_MODELS} a CROSS JOIN {_VERSIONS} b) x"
 )
 
+_RECORD_ROWS = "inline(array(" + ", ".join(
+    f"struct('m{m}' AS model, {m} AS m, 'v{r}' AS run, {r} AS ver)" for m in (1, 2) for r in (1, 2)
+) + "))"
+_recs = BOTH.pop("records")
+SPLIT["records"] = (
+    _recs.replace("SELECT c.*, run, model, m, ver, ", "SELECT *, ").replace(
+        f"{{customer}} c CROSS JOIN {_MODELS} a CROSS JOIN {_VERSIONS} b", f"(SELECT *, {_RECORD_ROWS} FROM {{customer}}) c"
+    ),
+    _recs,
+)
+
 # ---- confidence rows ---------------------------------------------------------------------
 
 SPLIT["conf_rows"] = tuple(
