@@ -25,6 +25,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_html_extraction")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from docstruct.llm.html_text import main_text
+
+    return main_text(table(spark, folder, "pages"))
+
+
 @query("op2_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""")
@@ -39,3 +46,27 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     from docstruct.llm.ngram_join import ngram_components
 
     return ngram_components(table(spark, folder, "documents"), words=3, num=9, den=10)
+
+
+def quality_held_out():
+    """The fold of documents that no training sees."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from docstruct.llm.quality import scored
+
+    return scored(table(spark, folder, "documents"), table(spark, folder, "labels"), quality_held_out())
+
+
+@query("op10_warc", """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+g AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d, n >= 1000) ELSE page_id END AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to FROM g""")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from docstruct.llm.store import written
+    from docstruct.llm.warc import from_chunks, to_chunks
+
+    return from_chunks(written(to_chunks(table(spark, folder, "pages")), "warc"))
