@@ -60,6 +60,13 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return scored(table(spark, folder, "documents"), table(spark, folder, "labels"), quality_held_out())
 
 
+@query("op8_embedding_near_dedup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from docstruct.llm.embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, folder, "embeddings"))
+
+
 @query("op10_warc", """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
 g AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d, n >= 1000) ELSE page_id END AS first FROM p)
