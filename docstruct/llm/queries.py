@@ -67,6 +67,14 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"))
 
 
+@query("op9_sentencepiece")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from docstruct.llm.pieces import decode, encode
+
+    out = decode(encode(table(spark, folder, "documents").select("doc_id", "text")))
+    return out.select("doc_id", "n_tokens", "token_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
 @query("op10_warc", """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
 g AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d, n >= 1000) ELSE page_id END AS first FROM p)
