@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docstruct.llm.components import components
@@ -26,9 +26,10 @@ from docstruct.llm.shingles import U, mix, shingle_sets
 from docstruct.llm.store import written
 
 RARE = 64
-BITS = 4  # longs of a bitmap
+BITS = 16  # longs of a bitmap
+NEAR, TILE = 4, 1000  # neighbours and typical sets tried first in a frequent tile; rows of the parts it is cut into for that
 
-SETS = "id bigint, n int, k1 bigint, k2 bigint, tokens array<bigint>, bands array<struct<band:int,b0:bigint,b1:bigint,b2:bigint,b3:bigint>>"
+SETS = f"id bigint, n int, k1 bigint, k2 bigint, tokens array<bigint>, bands array<struct<band:int,{','.join(f'b{i}:bigint' for i in range(BITS))}>>"
 
 
 def ngram_components(
@@ -45,7 +46,7 @@ def ngram_components(
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     sets = written(docs.mapInArrow(_sets(words, num, den), SETS), "ngram-sets")
-    classes = sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
+    classes = sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
     classes = written(classes, "ngram-classes")
     links = _links(docs, sets, classes, words, num, den, rare)
     roots = components(links)
@@ -57,9 +58,9 @@ def ngram_components(
 
 def _links(docs: DataFrame, sets: DataFrame, classes: DataFrame, words: int, num: int, den: int, rare: int) -> DataFrame:
     """(a, b) for the pairs of class representatives that link."""
-    one = classes.where("rep IS NOT NULL").select(F.col("rep").alias("id"), "n")
+    one = classes.where("rep IS NOT NULL").select(F.col("rep").alias("id"), "n", "m")
     reps = sets.where("n > 0").drop("k1", "k2")
-    reps = written(reps.join(one, ["id", "n"], "left_semi"), "ngram-reps")
+    reps = written(reps.join(one, ["id", "n"]), "ngram-reps")
     tokens = reps.select("id", "n", F.posexplode("tokens").alias("pos", "token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     shared = written(tokens.join(counts, "token"), "ngram-tiles")
@@ -72,7 +73,7 @@ def _links(docs: DataFrame, sets: DataFrame, classes: DataFrame, words: int, num
     near = near.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("c"))
     often = shared.where(F.col("c") > rare)
     hot = often.groupBy("id").agg(F.count("*").cast("int").alias("hot"))
-    card = reps.join(hot, "id", "left").select("id", "n", "bands", F.size("tokens").alias("indexed"), F.coalesce("hot", F.lit(0)).alias("hot"))
+    card = reps.join(hot, "id", "left").select("id", "n", "m", "bands", F.size("tokens").alias("indexed"), F.coalesce("hot", F.lit(0)).alias("hot"))
     card = written(card, "ngram-cards")
     side = lambda s: card.select(*[F.col(c).alias(f"{c}_{s}") for c in ("bands", "indexed", "hot")], F.col("id").alias(s))
     near = near.join(side("a"), "a").join(side("b"), "b")
@@ -81,22 +82,49 @@ def _links(docs: DataFrame, sets: DataFrame, classes: DataFrame, words: int, num
     near = near.where(F.col("c") >= F.least(*least))
     near = near.select("a", "b", "n_a", "n_b", F.explode("bands_a").alias("x"), F.col("bands_b"))
     near = near.select("a", "b", "n_a", "n_b", "x", F.explode("bands_b").alias("y")).where("x.band = y.band")
-    near = near.where(_bound(num, den, lambda s, i: F.col(f"{s}.b{i}"), "x", "y")).select("a", "b", "n_a", "n_b")
+    near = near.where(_bound(num, den)).select("a", "b")
 
     # Frequent tiles: sets that may have too few rare shingles, against all in the same size band.
+    # First each set with its next neighbours by size and with the tile's most typical sets (of the
+    # most frequent shingles and copies). That joins a family of near copies around its original, so
+    # that the full comparison afterwards needs no pair within what is joined already.
     prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    wide = often.where(F.col("pos") < prefix).select("token", "id").join(card, "id").select(
-        "token", "id", "n", (F.col("indexed") - F.col("hot") < prefix).alias("open"), F.inline("bands")
+    wide = often.where(F.col("pos") < prefix).select("token", "id", "c").join(card, "id").select(
+        "token", "c", "id", "n", (F.col("indexed") - F.col("hot") < prefix).alias("open"), (F.col("hot") / F.col("indexed")).alias("typical"), "m", F.inline("bands")
     )
-    left = wide.where("open").select("token", "band", F.col("id").alias("a"), F.col("n").alias("n_a"), *[F.col(f"b{i}").alias(f"x{i}") for i in range(BITS)])
-    right = wide.select("token", "band", F.col("id").alias("b"), F.col("n").alias("n_b"), "open", *[F.col(f"b{i}").alias(f"y{i}") for i in range(BITS)])
+    bits = lambda s: F.struct(*[F.col(f"b{i}") for i in range(BITS)]).alias(s)
+    wide = wide.select("token", "band", "c", "id", "n", "open", "typical", "m", bits("bits"))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / TILE))
+    row, tile = F.struct("id", "n", "open", "bits"), Window.partitionBy("token", "band", part)
+    along = tile.orderBy("n", "id")
+    first = tile.orderBy(F.desc("typical"), F.desc("m"), "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tried = [F.lead(row, k).over(along) for k in range(1, NEAR + 1)] + [F.nth_value(row, k).over(first) for k in range(1, NEAR + 1)]
+    thin = wide.withColumn("tried", F.array(*tried)).select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("x"), F.col("open").alias("o"), F.explode("tried").alias("z"))
+    thin = thin.select("a", "n_a", "x", "o", F.col("z.id").alias("b"), F.col("z.n").alias("n_b"), F.col("z.open").alias("open"), F.col("z.bits").alias("y"))
+    thin = thin.where((F.col("o") | F.col("open")) & (F.col("a") != F.col("b")) & _sizes(num, den) & _bound(num, den))
+    links = written(_exact(docs, near.union(_ordered(thin)), words, num, den), "ngram-links")
+
+    mine = often.where(F.col("pos") < prefix).groupBy("id").agg(F.collect_list("token").alias("mine"))
+    roots = components(links).select(F.col("node").alias("id"), "root")
+    wide = wide.join(mine.join(roots, "id", "left"), "id").withColumn("root", F.coalesce("root", "id"))
+    left = wide.where("open").select("token", "band", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("x"), F.col("root").alias("r"), F.col("mine").alias("own"))
+    right = wide.select("token", "band", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("y"), "open", "root", "mine")
     far = left.join(right, ["token", "band"]).where(
-        (F.col("a") != F.col("b")) & (~F.col("open") | (F.col("a") < F.col("b"))) & _sizes(num, den)
-        & _bound(num, den, lambda s, i: F.col(f"{s}{i}"), "x", "y")
-    ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
-    pairs = written(near.union(far).distinct(), "ngram-pairs")
+        (F.col("r") != F.col("root")) & (~F.col("open") | (F.col("a") < F.col("b"))) & _sizes(num, den) & _bound(num, den)
+        & (F.array_min(F.array_intersect("own", "mine")) == F.col("token"))  # a pair that shares several tiles comes from one
+    )
+    return links.union(_exact(docs, _ordered(far), words, num, den))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    swap = F.col("a") > F.col("b")
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x)
+    return pairs.select(pick("a", "b"), pick("b", "a"))
+
 
-    # Exact: the whole sets of the texts that are left, from their whole texts.
+def _exact(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) that link, from the whole sets of their whole texts."""
+    pairs = written(pairs.distinct(), "ngram-pairs")
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ngram-ids")
     whole = docs.join(ids, "id", "left_semi").mapInArrow(_whole(words), "id bigint, hashes array<bigint>")
     whole = written(whole.dropDuplicates(["id"]), "ngram-whole")
@@ -114,15 +142,16 @@ def _sizes(num: int, den: int) -> Column:
     return F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
 
 
-def _bound(num: int, den: int, bits, x: str, y: str) -> Column:
-    differ = sum((F.bit_count(bits(x, i).bitwiseXOR(bits(y, i))) for i in range(BITS)), F.lit(0))
+def _bound(num: int, den: int) -> Column:
+    """Whether the bitmaps x and y leave room for a link."""
+    differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(BITS)), F.lit(0))
     return (F.col("n_a") + F.col("n_b") - differ) >= 2 * _overlap(num, den)
 
 
 def _bitmap(a: np.ndarray, band: int) -> np.ndarray:
-    """256 bits of the set's hashes; of larger sets only a share by hash, the same for all in the band."""
-    share = min(2, max(0, band - 7))
-    a = a[(a >> U(8)) & U((1 << share) - 1) == 0]
+    """1024 bits of the set's hashes; of larger sets only a share by hash, the same for all in the band."""
+    share = min(2, max(0, band - 9))
+    a = a[(a >> U(10)) & U((1 << share) - 1) == 0]
     bits = np.zeros(64 * BITS, np.uint8)
     bits[(a & U(64 * BITS - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.int64)
@@ -148,7 +177,7 @@ def _sets(words: int, num: int, den: int):
                 map_ends.append(len(maps))
             bits = np.array([m for _, m in maps], np.int64).reshape(-1, BITS)
             bands = pa.StructArray.from_arrays(
-                [pa.array([b for b, _ in maps], pa.int32()), *[pa.array(bits[:, i]) for i in range(BITS)]], ["band", "b0", "b1", "b2", "b3"]
+                [pa.array([b for b, _ in maps], pa.int32()), *[pa.array(bits[:, i]) for i in range(BITS)]], ["band", *[f"b{i}" for i in range(BITS)]]
             )
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
