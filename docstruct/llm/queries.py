@@ -53,6 +53,32 @@ def quality_held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
+#: Shares of the mix by tokens, and how the labels name the domains.
+MIX = {"clean": 0.95, "rough": 0.03, "toxic": 0.02}
+
+
+def domain_labels(labels: DataFrame) -> DataFrame:
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "rough").when((F.col("quality") == 1) & (F.col("toxic") == 0), "clean")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+@query("op3_mixing")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from docstruct.llm.mixing import mixed
+
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    out = mixed(docs, domain_labels(labels), MIX, whole="clean")
+    shares = [F.get("posterior", F.lit(i)).alias(f"p_{name}") for i, name in enumerate(MIX)]
+    return out.select("doc_id", "tokens", *shares, "rate", "copies")
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from docstruct.llm.licenses import scan_licenses, template_table
+
+    return scan_licenses(table(spark, folder, "documents"), template_table(spark))
+
+
 @query("op5_quality_classifier")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     from docstruct.llm.quality import scored
@@ -60,6 +86,13 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return scored(table(spark, folder, "documents"), table(spark, folder, "labels"), quality_held_out())
 
 
+@query("op7_line_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    from docstruct.llm.line_dedup import duplicate_lines
+
+    return duplicate_lines(table(spark, folder, "documents"))
+
+
 @query("op8_embedding_near_dedup")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     from docstruct.llm.embedding_dedup import near_vectors
