@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,15 +17,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternating large-star and small-star steps: each is a minimum per node, combined before the
     shuffle, and a join that adaptive execution may split. The links hang ever lower until each
     node points at its root; the number of rounds grows with the logarithm of the longest path.
+    Before each round every task replaces the links it holds by a forest with the same components.
     Only a count and a checksum reach the driver. Rows with a null end are no links.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     edges = written(edges, "links")
     state = _state(edges)
     while True:
+        edges = edges.mapInArrow(_forest, "u bigint, v bigint")
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select("u", F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
@@ -36,3 +41,25 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF))).first())
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a partition as links to the smallest node of each part."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while (above := parent.setdefault(root, root)) != root:
+            root = above
+        while (above := parent[x]) != root:
+            parent[x], x = root, above
+        return root
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            a, b = find(u), find(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = [x for x in parent if find(x) != x]
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["u", "v"])

@@ -65,45 +65,41 @@ def _links(docs: DataFrame, sets: DataFrame, classes: DataFrame, words: int, num
     counts = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     shared = written(tokens.join(counts, "token"), "ngram-tiles")
 
+    few, often = shared.where(F.col("c") <= rare), shared.where(F.col("c") > rare)
+    hot = often.groupBy("id").agg(F.count("*").cast("int").alias("hot"))
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    card = reps.select("id", "n", "m", "bands", F.size("tokens").alias("indexed")).join(hot, "id", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
+    card = written(card.withColumn("open", F.col("indexed") - F.col("hot") < prefix), "ngram-cards")
+
     # Rare tiles: every pair, with how many indexed shingles it shares.
-    few = shared.where(F.col("c") <= rare)
     x = few.select("token", F.col("id").alias("a"), F.col("n").alias("n_a"))
     y = few.select("token", F.col("id").alias("b"), F.col("n").alias("n_b"))
-    near = x.join(y, "token").where((F.col("a") < F.col("b")) & _sizes(num, den))
-    near = near.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("c"))
-    often = shared.where(F.col("c") > rare)
-    hot = often.groupBy("id").agg(F.count("*").cast("int").alias("hot"))
-    card = reps.join(hot, "id", "left").select("id", "n", "m", "bands", F.size("tokens").alias("indexed"), F.coalesce("hot", F.lit(0)).alias("hot"))
-    card = written(card, "ngram-cards")
-    side = lambda s: card.select(*[F.col(c).alias(f"{c}_{s}") for c in ("bands", "indexed", "hot")], F.col("id").alias(s))
-    near = near.join(side("a"), "a").join(side("b"), "b")
-    # The set whose index reaches less far shares all of its indexed shingles but those it may lack.
-    least = [F.col(f"indexed_{s}") - F.col(f"hot_{s}") - (F.col(f"n_{s}") - _overlap(num, den)) for s in "ab"]
-    near = near.where(F.col("c") >= F.least(*least))
-    near = near.select("a", "b", "n_a", "n_b", F.explode("bands_a").alias("x"), F.col("bands_b"))
-    near = near.select("a", "b", "n_a", "n_b", "x", F.explode("bands_b").alias("y")).where("x.band = y.band")
-    near = near.where(_bound(num, den)).select("a", "b")
+    near = x.join(y, "token").where((F.col("a") < F.col("b")) & _sizes(num, den)).groupBy("a", "b").agg(F.count("*").alias("c"))
 
     # Frequent tiles: sets that may have too few rare shingles, against all in the same size band.
     # First each set with its next neighbours by size and with the tile's most typical sets (of the
     # most frequent shingles and copies). That joins a family of near copies around its original, so
     # that the full comparison afterwards needs no pair within what is joined already.
-    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    wide = often.where(F.col("pos") < prefix).select("token", "id", "c").join(card, "id").select(
-        "token", "c", "id", "n", (F.col("indexed") - F.col("hot") < prefix).alias("open"), (F.col("hot") / F.col("indexed")).alias("typical"), "m", F.inline("bands")
-    )
-    bits = lambda s: F.struct(*[F.col(f"b{i}") for i in range(BITS)]).alias(s)
-    wide = wide.select("token", "band", "c", "id", "n", "open", "typical", "m", bits("bits"))
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / TILE))
-    row, tile = F.struct("id", "n", "open", "bits"), Window.partitionBy("token", "band", part)
+    wide = often.where(F.col("pos") < prefix).select("token", "id", "c").join(card, "id")
+    bits = F.struct(*[F.col(f"b{i}") for i in range(BITS)]).alias("bits")
+    banded = wide.select("token", "c", "id", "n", "open", (F.col("hot") / F.col("indexed")).alias("typical"), "m", F.explode("bands.band").alias("band"))
+    tile = Window.partitionBy("token", "band", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / TILE)))
     along = tile.orderBy("n", "id")
     first = tile.orderBy(F.desc("typical"), F.desc("m"), "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tried = [F.lead(row, k).over(along) for k in range(1, NEAR + 1)] + [F.nth_value(row, k).over(first) for k in range(1, NEAR + 1)]
-    thin = wide.withColumn("tried", F.array(*tried)).select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("x"), F.col("open").alias("o"), F.explode("tried").alias("z"))
-    thin = thin.select("a", "n_a", "x", "o", F.col("z.id").alias("b"), F.col("z.n").alias("n_b"), F.col("z.open").alias("open"), F.col("z.bits").alias("y"))
-    thin = thin.where((F.col("o") | F.col("open")) & (F.col("a") != F.col("b")) & _sizes(num, den) & _bound(num, den))
-    links = written(_exact(docs, near.union(_ordered(thin)), words, num, den), "ngram-links")
+    tried = [F.lead("id", k).over(along) for k in range(1, NEAR + 1)] + [F.nth_value("id", k).over(first) for k in range(1, NEAR + 1)]
+    thin = banded.withColumn("tried", F.array(*tried)).select(F.col("id").alias("x"), F.explode("tried").alias("y"))
+    thin = thin.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(None).cast("bigint").alias("c")).distinct()
+
+    side = lambda s: card.select(*[F.col(c).alias(f"{c}_{s}") for c in ("n", "bands", "indexed", "hot", "open")], F.col("id").alias(s))
+    near = near.union(thin).join(side("a"), "a").join(side("b"), "b").where(_sizes(num, den))
+    # The set whose index reaches less far shares all of its indexed shingles but those it may lack.
+    least = [F.col(f"indexed_{s}") - F.col(f"hot_{s}") - (F.col(f"n_{s}") - _overlap(num, den)) for s in "ab"]
+    near = near.where((F.col("c") >= F.least(*least)) | (F.col("c").isNull() & (F.col("open_a") | F.col("open_b"))))
+    near = near.select("a", "b", "n_a", "n_b", F.explode("bands_a").alias("x"), F.col("bands_b"))
+    near = near.select("a", "b", "n_a", "n_b", "x", F.explode("bands_b").alias("y")).where("x.band = y.band")
+    links = written(_exact(docs, near.where(_bound(num, den)).select("a", "b"), words, num, den), "ngram-links")
 
+    wide = wide.select("token", "id", "n", "open", F.inline("bands")).select("token", "band", "id", "n", "open", bits)
     mine = often.where(F.col("pos") < prefix).groupBy("id").agg(F.collect_list("token").alias("mine"))
     roots = components(links).select(F.col("node").alias("id"), "root")
     wide = wide.join(mine.join(roots, "id", "left"), "id").withColumn("root", F.coalesce("root", "id"))
