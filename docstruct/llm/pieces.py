@@ -11,6 +11,7 @@ With `dropout` 0 the ids are those of the SentencePiece library.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 import zlib
@@ -21,13 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docstruct.llm.shingles import mix
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LITERAL = "\ud800"  # stands for a U+2581 of the text itself
 MASK = 0xFFFFFFFF
 VARIANTS = 8  # segmentations of one word that occur, chosen per occurrence
 CACHED = 40_000  # units per variant that a task remembers
-OUT_TOKENS = 1 << 20
+SHORT = 24  # characters of units that are merged many at a time
+CHUNK_CHARS = 1 << 20
+NEVER = np.iinfo(np.int32).max
 
 
 class Pieces:
@@ -56,9 +61,85 @@ class Pieces:
         longer = [p for p in self.ids if len(p) > 1]
         if any(SPACE in p.lstrip(SPACE) for p in longer):
             raise ValueError("pieces reach across spaces: units cannot be cut there")
+        self._tabulate(longer)
         joined = set().union(*longer)  # characters that some merge can reach
         self.unit = re.compile(f"{SPACE}*[{re.escape(''.join(sorted(joined - {SPACE})))}]+|{SPACE}+|.", re.S)
 
+    def _tabulate(self, longer: list[str]) -> None:
+        """Pairs of pieces that make a piece, sorted by (left, right): what they make, and its place
+        in the order of scores."""
+        place = {r: i for i, r in enumerate(sorted({self.rank[p] for p in longer}))}  # equal scores stay equal: the leftmost goes first
+        rows = [
+            (self.ids[p[:k]] << 32 | self.ids[p[k:]], self.ids[p], place[self.rank[p]])
+            for p in longer for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids
+        ]
+        rows.sort()
+        self.pair = np.array([r[0] for r in rows], np.int64)
+        self.made = np.array([r[1] for r in rows], np.int64)
+        self.order = np.array([r[2] for r in rows], np.int32)
+        self.of_char = np.full(0x110000, -1, np.int32)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.of_char[ord(piece)] = i
+        self.whole = all(c in self.ids for p in longer for c in p)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        hit = (self.pair[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(hit, self.order[at], NEVER), self.made[at]
+
+    def merge_many(self, units: list[str], keys: list[int], limit: int) -> list[tuple[int, ...]]:
+        """`merge` of many units of one length, a step of all agendas at a time."""
+        n, length = len(units), len(units[0])
+        flat = self.of_char[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        symbols, key = flat.reshape(n, length).astype(np.int64), np.array(keys, np.int64)
+        after = np.tile(np.arange(1, length + 1), (n, 1))
+        before = after - 2
+        alive = np.ones((n, length), bool)
+        rank, made = np.full((n, length), NEVER, np.int32), np.zeros((n, length), np.int64)  # of the pair that begins here
+        rank[:, :-1], made[:, :-1] = self._pairs(symbols[:, :-1], symbols[:, 1:])
+        row = np.arange(n)
+        while True:
+            left = rank[row]
+            at = left.argmin(1)
+            more = left[np.arange(len(row)), at] < NEVER
+            row, at = row[more], at[more]
+            if not len(row):
+                break
+            piece = made[row, at]
+            r, i = row, at
+            if limit:
+                h = ((key[r] ^ i * 0x9E3779B1 ^ piece * 0x85EBCA77) & MASK) * 0xC2B2AE3D & MASK
+                h = (h ^ h >> 15) * 0x27D4EB2F & MASK
+                skipped = h ^ h >> 13 < limit
+                rank[r[skipped], i[skipped]] = NEVER
+                r, i, piece = r[~skipped], i[~skipped], piece[~skipped]
+            j = after[r, i]
+            k = after[r, j]
+            symbols[r, i], after[r, i] = piece, k
+            alive[r, j], rank[r, j], rank[r, i] = False, NEVER, NEVER
+            inner = k < length
+            x, y, z = r[inner], i[inner], k[inner]
+            before[x, z] = y
+            rank[x, y], made[x, y] = self._pairs(symbols[x, y], symbols[x, z])
+            k = before[r, i]
+            inner = k >= 0
+            x, y, z = r[inner], k[inner], i[inner]
+            rank[x, y], made[x, y] = self._pairs(symbols[x, y], symbols[x, z])
+        ids = symbols[alive]
+        ends = np.cumsum(alive.sum(1)).tolist()
+        listed = ids.tolist()
+        out = [tuple(listed[a:b]) for a, b in zip([0, *ends], ends)]
+        for i in np.flatnonzero((alive & (symbols < 0)).any(1)).tolist():
+            places = np.flatnonzero(alive[i]).tolist()
+            out[i] = tuple(x for s, a in zip(out[i], places) for x in ([s] if s >= 0 else self._as_bytes(units[i][a])))
+        return out
+
+    def _as_bytes(self, character: str) -> list[int]:
+        raw = SPACE.encode() if character == LITERAL else character.encode("utf-8", "surrogateescape")
+        return [self.byte_ids[b] for b in raw]
+
     def escaped(self, text: str) -> str:
         return (" " + text).replace(SPACE, LITERAL).replace(" ", SPACE) if text else ""
 
@@ -102,8 +183,7 @@ class Pieces:
                 if s in ids:
                     out.append(ids[s])
                 else:
-                    raw = SPACE.encode() if s == LITERAL else s.encode("utf-8", "surrogateescape")
-                    out += [self.byte_ids[b] for b in raw]
+                    out += self._as_bytes(s)
         return tuple(out)
 
     def decode(self, ids) -> bytes:
@@ -118,28 +198,49 @@ class Encoder:
         self.variants = variants if self.limit else 1
         self.known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
 
-    def encode(self, text: str, document: int) -> list[int]:
-        out: list[int] = []
-        state = (document * 0x9E3779B97F4A7C15 + self.seed * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF
-        known, many = self.known, self.variants
-        for unit in self.pieces.unit.findall(self.pieces.escaped(text)):
-            state = (state * 6364136223846793005 + 1442695040888963407) & 0xFFFFFFFFFFFFFFFF
-            variant = (state >> 40) % many
-            ids = known[variant].get(unit)
-            if ids is None:
-                ids = self._new(unit, variant)
-            out += ids
-        return out
-
-    def _new(self, unit: str, variant: int) -> tuple[int, ...]:
-        key = zlib.crc32(unit.encode("utf-8", "surrogatepass"), (self.seed * 1_000_003 + variant * 7919) & MASK)
-        ids = self.pieces.merge(unit, key, self.limit)
-        if len(unit) <= 32:
-            table = self.known[variant]
+    def encode(self, texts: list[str], documents: list[int]) -> list[list[int]]:
+        units = [self.pieces.unit.findall(self.pieces.escaped(t)) for t in texts]
+        picks = [self._picks(d, len(u)) for d, u in zip(documents, units)]
+        for table in self.known:
             if len(table) >= self.cached:
                 table.clear()
-            table[unit] = ids
-        return ids
+        known = self.known
+        missing = {(v, u) for us, vs in zip(units, picks) for u, v in zip(us, vs) if u not in known[v]}
+        self._learn(missing)
+        out = []
+        for us, vs in zip(units, picks):
+            ids: list[int] = []
+            for u, v in zip(us, vs):
+                ids += known[v][u]
+            out.append(ids)
+        for v, u in missing:
+            if len(u) > SHORT:  # too rare and too large to keep
+                known[v].pop(u, None)
+        return out
+
+    def _picks(self, document: int, n: int) -> list[int]:
+        """Which variant each unit of a document takes."""
+        if self.variants == 1:
+            return [0] * n
+        with np.errstate(over="ignore"):
+            start = np.array([(document * 0x9E3779B97F4A7C15 + self.seed * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF], np.uint64)
+            return (mix(start + np.arange(n, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) % np.uint64(self.variants)).tolist()
+
+    def _learn(self, missing: set[tuple[int, str]]) -> None:
+        by_length: dict[int, list[tuple[int, str]]] = {}
+        for v, u in missing:
+            by_length.setdefault(len(u), []).append((v, u))
+        for length, some in by_length.items():
+            salt = [(self.seed * 1_000_003 + v * 7919) & MASK for v in range(self.variants)]
+            keys = [zlib.crc32(u.encode("utf-8", "surrogatepass"), salt[v]) for v, u in some]
+            if 1 < length <= SHORT and len(some) > 8 and self.pieces.whole:
+                for start in range(0, len(some), 8192):
+                    part = some[start : start + 8192]
+                    for (v, u), ids in zip(part, self.pieces.merge_many([u for _, u in part], keys[start : start + 8192], self.limit)):
+                        self.known[v][u] = ids
+            else:
+                for (v, u), key in zip(some, keys):
+                    self.known[v][u] = self.pieces.merge(u, key, self.limit)
 
 
 def encode(
@@ -166,26 +267,23 @@ def decode(encoded: DataFrame, ids_col: str = "token_ids", out_col: str = "decod
 def _encoded(id_at: int, text_at: int, dropout: float, seed: int, model: str, variants: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Pieces(model), dropout, seed, variants)
+        gc.disable()  # millions of small tuples, none of them in a cycle
         for batch in batches:
-            found, begun, size = [], 0, 0
             names = [*batch.schema.names, "n_tokens", "token_ids"]
-
-            def part(end: int) -> pa.RecordBatch:
-                lengths = [len(x) for x in found]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int32()))
-                return pa.RecordBatch.from_arrays([*batch.slice(begun, end - begun).columns, pa.array(lengths, pa.int64()), lists], names)
-
-            texts = batch.column(text_at).cast(pa.binary())
-            for row, (document, text) in enumerate(zip(batch.column(id_at).to_pylist(), texts)):
-                raw = text.as_py() or b""
-                ids = encoder.encode(raw.decode("utf-8", "surrogateescape"), document or 0)
-                found.append(np.array(ids, np.int32))
-                size += len(ids)
-                if size >= OUT_TOKENS:
-                    yield part(row + 1)
-                    found, begun, size = [], row + 1, 0
-            if found:
-                yield part(batch.num_rows)
+            texts = [(x.as_py() or b"").decode("utf-8", "surrogateescape") for x in batch.column(text_at).cast(pa.binary())]
+            documents = [d or 0 for d in batch.column(id_at).to_pylist()]
+            start = 0
+            while start < len(texts):
+                end, size = start, 0
+                while end < len(texts) and (size == 0 or size + len(texts[end]) <= CHUNK_CHARS):
+                    size += len(texts[end])
+                    end += 1
+                found = [np.array(x, np.int32) for x in encoder.encode(texts[start:end], documents[start:end])]
+                lengths = np.array([len(x) for x in found], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], lengths.cumsum())), pa.int32()), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, end - start).columns, pa.array(lengths), lists], names)
+                start = end
+        gc.enable()
 
     return run
 

@@ -246,4 +246,11 @@ def test_pieces_without_dropout_are_the_library_s():
     letters = "abcdefghij eiou  \n\té日%&.,AZ09"
     for _ in range(300):
         text = "".join(rng.choice(letters) for _ in range(rng.randrange(60)))
-        assert encoder.encode(text, 1) == library.encode(text)
+        assert encoder.encode([text], [1]) == [library.encode(text)]
+    for dropout in (0.0, 0.1, 0.6):  # many units at a time are merged as one by one
+        one, many = (pieces.Encoder(encoder.pieces, dropout, 3) for _ in "ab")
+        units = {(v, "".join(rng.choice("▁aeinrstlo,日\ud800") for _ in range(n))) for v in range(one.variants) for n in range(1, 14) for _ in range(40)}
+        many._learn(units)
+        for v, u in units:
+            one._learn({(v, u)})
+        assert one.known == many.known
