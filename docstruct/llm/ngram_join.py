@@ -27,6 +27,7 @@ from docstruct.llm.store import written
 
 RARE = 64
 BITS = 16  # longs of a bitmap
+BLOCK = 4096  # sets of a block of a frequent tile
 NEAR, TILE = 4, 1000  # neighbours and typical sets tried first in a frequent tile; rows of the parts it is cut into for that
 
 SETS = f"id bigint, n int, k1 bigint, k2 bigint, tokens array<bigint>, bands array<struct<band:int,{','.join(f'b{i}:bigint' for i in range(BITS))}>>"
@@ -99,23 +100,17 @@ def _links(docs: DataFrame, sets: DataFrame, classes: DataFrame, words: int, num
     near = near.select("a", "b", "n_a", "n_b", "x", F.explode("bands_b").alias("y")).where("x.band = y.band")
     links = written(_exact(docs, near.where(_bound(num, den)).select("a", "b"), words, num, den), "ngram-links")
 
-    wide = wide.select("token", "id", "n", "open", F.inline("bands")).select("token", "band", "id", "n", "open", bits)
+    # Each large tile is cut into blocks; a task compares two of them as matrices of bitmaps.
     mine = often.where(F.col("pos") < prefix).groupBy("id").agg(F.collect_list("token").alias("mine"))
     roots = components(links).select(F.col("node").alias("id"), "root")
-    wide = wide.join(mine.join(roots, "id", "left"), "id").withColumn("root", F.coalesce("root", "id"))
-    left = wide.where("open").select("token", "band", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("x"), F.col("root").alias("r"), F.col("mine").alias("own"))
-    right = wide.select("token", "band", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("y"), "open", "root", "mine")
-    far = left.join(right, ["token", "band"]).where(
-        (F.col("r") != F.col("root")) & (~F.col("open") | (F.col("a") < F.col("b"))) & _sizes(num, den) & _bound(num, den)
-        & (F.array_min(F.array_intersect("own", "mine")) == F.col("token"))  # a pair that shares several tiles comes from one
-    )
-    return links.union(_exact(docs, _ordered(far), words, num, den))
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    swap = F.col("a") > F.col("b")
-    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x)
-    return pairs.select(pick("a", "b"), pick("b", "a"))
+    known = mine.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    wide = wide.select("token", "id", "n", "open", blocks.alias("blocks"), F.inline("bands")).select("token", "band", "id", "n", "open", "blocks", bits)
+    wide = wide.join(known, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    wide = wide.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
+    far = wide.groupBy("token", "band", "i", "j").applyInArrow(_tile(num, den), "a bigint, b bigint")
+    return links.union(_exact(docs, far, words, num, den))
 
 
 def _exact(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -144,6 +139,40 @@ def _bound(num: int, den: int) -> Column:
     return (F.col("n_a") + F.col("n_b") - differ) >= 2 * _overlap(num, den)
 
 
+def _tile(num: int, den: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        token, _, i, j = (k.as_py() for k in key)
+        rows = rows.sort_by([("n", "ascending"), ("id", "ascending")]).combine_chunks()
+        ids, n, root, own = (rows.column(c).to_numpy().astype(np.int64) for c in ("id", "n", "root", "own"))
+        is_open = rows.column("open").to_numpy()
+        bits = np.stack([x.to_numpy() for x in rows.column("bits").combine_chunks().flatten()], 1).view(np.uint64)
+        earlier = [frozenset(t for t in x if t < token) for x in rows.column("mine").to_pylist()]
+        found: list[tuple[int, int]] = []
+        chosen = np.flatnonzero(is_open)
+        for start in range(0, len(chosen), 128):
+            left = chosen[start : start + 128]
+            low, high = np.searchsorted(n, -(-n[left[0]] * num // den), "left"), np.searchsorted(n, n[left[-1]] * den // num, "right")
+            right = np.arange(low, high)
+            total = n[left][:, None] + n[right][None, :]
+            room = total - 2 * -(-total * num // (num + den))
+            fit = (root[left][:, None] != root[right][None, :]) & (np.minimum(n[left][:, None], n[right]) * den >= np.maximum(n[left][:, None], n[right]) * num)
+            fit &= ~is_open[right][None, :] | (ids[left][:, None] < ids[right][None, :])
+            if i != j:
+                fit &= own[left][:, None] != own[right][None, :]
+            if not fit.any():
+                continue
+            differ = np.zeros(total.shape, np.int64)
+            for k in range(BITS):
+                differ += np.bitwise_count(bits[left, k][:, None] ^ bits[right, k][None, :])
+            for x, y in zip(*np.nonzero(fit & (differ <= room))):
+                p, q = left[x], right[y]
+                if earlier[p].isdisjoint(earlier[q]):  # a pair that shares several tiles comes from the first
+                    found.append((min(ids[p], ids[q]), max(ids[p], ids[q])))
+        return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64())})
+
+    return run
+
+
 def _bitmap(a: np.ndarray, band: int) -> np.ndarray:
     """1024 bits of the set's hashes; of larger sets only a share by hash, the same for all in the band."""
     share = min(2, max(0, band - 9))
