@@ -244,28 +244,30 @@ def _(v):
     return outcomes(v).select(f, J.form_section(f).alias("section"), J.form_row(f).alias("row"), J.form_group(f).alias("grp"), J.top_part(f).alias("top")).distinct()
 
 
-EXPECTED["v1_placed"] = "SELECT * FROM {placed} WHERE run = 'v1'"
 _SHARES = ", ".join(f"round({o.lower()} / n_row, 6) AS {o.lower()}_share" for o in J.OUTCOMES)
 
 
 @case(
     "j17_field_matrix",
-    f"""SELECT model, CASE WHEN "row" = 'Total' THEN 16 ELSE {_ORDER} END AS row_order, "row", n_row, correct, mismatch, missed, {_SHARES} FROM (
-      SELECT model, "row", {OUT} FROM {{v1_placed}} GROUP BY ALL UNION ALL SELECT model, 'Total', {OUT} FROM {{v1_placed}} GROUP BY ALL) a
-    JOIN (SELECT "row", count(*) AS n_row FROM (SELECT DISTINCT doc_id, field, "row" FROM {{v1_placed}}) d GROUP BY ALL UNION ALL SELECT 'Total', count(*) FROM (SELECT DISTINCT doc_id, field FROM {{v1_placed}}) d) b USING ("row")""".replace("16 ELSE list", "CAST(16 AS BIGINT) ELSE list").replace("], \"row\") END", "], \"row\")::BIGINT END"),
+    f"""SELECT run, model, CASE WHEN "row" = 'Total' THEN 16 ELSE {_ORDER} END AS row_order, "row", n_row, correct, mismatch, missed, {_SHARES} FROM (
+      SELECT run, model, "row", {OUT} FROM {{placed}} GROUP BY ALL UNION ALL SELECT run, model, 'Total', {OUT} FROM {{placed}} GROUP BY ALL) a
+    JOIN (SELECT "row", count(*) AS n_row FROM (SELECT DISTINCT doc_id, field, "row" FROM {{placed}}) d GROUP BY ALL UNION ALL SELECT 'Total', count(*) FROM (SELECT DISTINCT doc_id, field FROM {{placed}}) d) b USING ("row")""".replace("16 ELSE list", "CAST(16 AS BIGINT) ELSE list").replace("], \"row\") END", "], \"row\")::BIGINT END"),
 )
 def _(v):
-    return J.field_matrix(outcomes(v).where("run = 'v1'"))
+    return J.field_matrix(outcomes(v), ("run", "model"))
 
 
-EXPECTED["table_in"] = f"""SELECT model, doc_id, {VER}, count(DISTINCT CASE WHEN verdict = 'Correct' AND reference_value IS NOT NULL THEN field END) AS found FROM {{judged_rows}} WHERE run = 'v1' GROUP BY ALL"""
-EXPECTED["table_all"] = """SELECT *, found + missed AS n_ref FROM (SELECT * FROM {table_in} UNION ALL
-  SELECT model, NULL, CAST(sum(correct) AS BIGINT), CAST(sum(hallucinated) AS BIGINT), CAST(sum(missed) AS BIGINT), CAST(sum(found) AS BIGINT) FROM {table_in} GROUP BY ALL) x"""
+_KINDS = ", ".join(f"CAST(count(CASE WHEN outcome = '{o}' THEN 1 END) AS BIGINT) AS fields_{o.lower()}" for o in J.OUTCOMES)
+EXPECTED["table_in"] = f"""SELECT v.*, coalesce(annotated, 0) AS annotated, coalesce(fields_correct, 0) AS fields_correct, coalesce(fields_mismatch, 0) AS fields_mismatch, coalesce(fields_missed, 0) AS fields_missed FROM (
+  SELECT run, model, doc_id, {VER}, count(DISTINCT CASE WHEN verdict = 'Correct' AND reference_value IS NOT NULL THEN field END) AS found FROM {{judged_rows}} GROUP BY ALL) v
+  LEFT JOIN (SELECT run, model, doc_id, count(*) AS annotated, {_KINDS} FROM {{outcomes}} GROUP BY ALL) o USING (run, model, doc_id)"""
+_SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT)" for c in ["correct", "hallucinated", "missed", "found", "annotated", "fields_correct", "fields_mismatch", "fields_missed"])
+EXPECTED["table_all"] = f"""SELECT *, found + missed AS n_ref FROM (SELECT * FROM {{table_in}} UNION ALL SELECT run, model, NULL, {_SUMS} FROM {{table_in}} GROUP BY ALL) x"""
 EXPECTED["table"] = f"SELECT *, {scores('found')} FROM {{table_all}}"
 
 
 def table(v: Views):
-    return J.score_table(judged(v).where("run = 'v1'"))
+    return J.score_table(judged(v), ("run", "model"))
 
 
 @case("j18_score_table", "SELECT * FROM {table}")
@@ -273,14 +275,14 @@ def _(v):
     return table(v)
 
 
-@case("j19_f1_range", "SELECT model, min(f1) AS min_f1, max(f1) AS max_f1 FROM {table} WHERE doc_id IS NOT NULL GROUP BY ALL")
+@case("j19_f1_range", "SELECT run, model, min(f1) AS min_f1, max(f1) AS max_f1 FROM {table} WHERE doc_id IS NOT NULL GROUP BY ALL")
 def _(v):
-    return J.f1_range(table(v))
+    return J.f1_range(table(v), ("run", "model"))
 
 
-@case("j19_best_run", "SELECT model AS best, f1 FROM {table} WHERE doc_id IS NULL ORDER BY f1 DESC, model LIMIT 1")
+@case("j19_best_run", "SELECT DISTINCT ON (run) run, model AS best, f1 FROM {table} WHERE doc_id IS NULL ORDER BY run, f1 DESC, model")
 def _(v):
-    return J.best_run(table(v))
+    return J.best_run(table(v), within=["run"])
 
 
 @case("j20_verdict_shares", "SELECT model, correct, hallucinated, missed, n_judged, " + ", ".join(f"round({x.lower()} / n_judged, 6) AS {x.lower()}_share" for x in J.VERDICTS) + f" FROM (SELECT model, {VER}, count(*) AS n_judged FROM {{judged_rows}} GROUP BY ALL) x")
@@ -293,36 +295,37 @@ _TOP = "regexp_replace(list_extract(string_split(path, '.'), 2), '\\[\\d+\\]', '
 
 @case(
     "j21_missed_by_section",
-    f"""SELECT section, n_reference, coalesce(m1, 0) AS m1, coalesce(m2, 0) AS m2 FROM (SELECT {_TOP} AS section, count(*) AS n_reference FROM {{ref_leaves}} WHERE NOT {empty('value')} GROUP BY ALL) a
-    LEFT JOIN (SELECT {_TOP.replace('path', 'field')} AS section, {n('model', 'm1', 'm1')}, {n('model', 'm2', 'm2')} FROM {{judged_rows}} WHERE verdict = 'Missed' AND run = 'v1' GROUP BY ALL) b USING (section)""",
+    f"""SELECT run, section, n_reference, coalesce(m1, 0) AS m1, coalesce(m2, 0) AS m2 FROM (SELECT {_TOP} AS section, count(*) AS n_reference FROM {{ref_leaves}} WHERE NOT {empty('value')} GROUP BY ALL) a
+    JOIN (SELECT run, {_TOP.replace('path', 'field')} AS section, count(CASE WHEN verdict = 'Missed' AND model = 'm1' THEN 1 END) AS m1, count(CASE WHEN verdict = 'Missed' AND model = 'm2' THEN 1 END) AS m2
+      FROM {{judged_rows}} GROUP BY ALL) b USING (section)""",
 )
 def _(v):
-    return J.missed_by_section(judged(v).where("run = 'v1'"), ref_leaves(v), MODELS)
+    return J.missed_by_section(judged(v), ref_leaves(v), MODELS, within=["run"])
 
 
-EXPECTED["wide_in"] = """SELECT o.doc_id, o.field, o.model, o.outcome, CASE WHEN o.outcome = 'Mismatch' THEN left(w.wrote, 45) END AS wrote FROM {outcomes} o LEFT JOIN (
-  SELECT model, doc_id, field, min(model_value) AS wrote FROM {judged_rows} WHERE run = 'v1' AND verdict = 'Hallucinated' AND model_value IS NOT NULL GROUP BY ALL) w
-  ON w.model = o.model AND w.doc_id = o.doc_id AND w.field = o.field WHERE o.run = 'v1'"""
+EXPECTED["wide_in"] = """SELECT o.run, o.doc_id, o.field, o.model, o.outcome, CASE WHEN o.outcome = 'Mismatch' THEN left(w.wrote, 45) END AS wrote FROM {outcomes} o LEFT JOIN (
+  SELECT run, model, doc_id, field, min(model_value) AS wrote FROM {judged_rows} WHERE verdict = 'Hallucinated' AND model_value IS NOT NULL GROUP BY ALL) w
+  ON w.run = o.run AND w.model = o.model AND w.doc_id = o.doc_id AND w.field = o.field"""
 
 
 @case(
     "j22_field_wide",
-    "SELECT x.doc_id, x.field, " + ", ".join(f"max(outcome) FILTER (model = '{m}') AS {m}_outcome, coalesce(max(wrote) FILTER (model = '{m}'), '') AS {m}_wrote" for m in MODELS)
+    "SELECT x.run, x.doc_id, x.field, " + ", ".join(f"max(outcome) FILTER (model = '{m}') AS {m}_outcome, coalesce(max(wrote) FILTER (model = '{m}'), '') AS {m}_wrote" for m in MODELS)
     + ", any_value(left(r.value, 60)) AS annotated_value, array_to_string(list_transform(regexp_extract_all(x.field, '\\d+|\\D+'), lambda t: CASE WHEN regexp_matches(t, '^\\d') THEN lpad(t, 10, '0') ELSE t END), '') AS sort_key "
-    "FROM {wide_in} x JOIN {ref_leaves} r ON r.doc_id = x.doc_id AND r.path = x.field GROUP BY x.doc_id, x.field",
+    "FROM {wide_in} x JOIN {ref_leaves} r ON r.doc_id = x.doc_id AND r.path = x.field GROUP BY x.run, x.doc_id, x.field",
 )
 def _(v):
-    j = judged(v).where("run = 'v1'")
-    return J.field_wide(J.field_outcomes(j), j, MODELS)
+    j = judged(v)
+    return J.field_wide(J.field_outcomes(j), j, MODELS, within=["run"])
 
 
 @case(
     "j23_group_correct",
-    """SELECT a.model, a.grp, a.correct, b.n_fields, round(a.correct / b.n_fields, 6) AS share FROM (SELECT model, grp, count(*) FILTER (outcome = 'Correct') AS correct FROM {v1_placed} GROUP BY ALL) a
-    JOIN (SELECT grp, count(*) AS n_fields FROM (SELECT DISTINCT doc_id, field, grp FROM {v1_placed}) d GROUP BY ALL) b USING (grp)""",
+    """SELECT a.run, a.model, a.grp, a.correct, b.n_fields, round(a.correct / b.n_fields, 6) AS share FROM (SELECT run, model, grp, count(*) FILTER (outcome = 'Correct') AS correct FROM {placed} GROUP BY ALL) a
+    JOIN (SELECT grp, count(*) AS n_fields FROM (SELECT DISTINCT doc_id, field, grp FROM {placed}) d GROUP BY ALL) b USING (grp)""",
 )
 def _(v):
-    return J.group_correct(outcomes(v).where("run = 'v1'"))
+    return J.group_correct(outcomes(v), ("run", "model"))
 
 
 EXPECTED["versions"] = f"""SELECT a.*, b.written, b.not_in_reference FROM (SELECT run, model, {OUT} FROM {{outcomes}} GROUP BY ALL) a JOIN (

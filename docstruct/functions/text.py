@@ -59,6 +59,10 @@ def has_alnum(c: Column) -> Column:
     return c.rlike(r"[\p{L}\p{N}]")
 
 
+# What separates lines.
+LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\u0085\u2028\u2029]"
+
+
 def bare_word(c: Column) -> Column:
     """Lower-cased word characters only; the form two neighbours are compared in."""
     return F.lower(F.regexp_replace(c, r"(?U)\W", ""))
@@ -91,7 +95,7 @@ def markdown_to_marked(c: Column) -> Column:
         as_heading = F.when(title != "", F.concat(F.lit("** "), title, F.lit(" **"))).otherwise("")
         return F.when(line.rlike(heading), as_heading).otherwise(F.regexp_replace(line, italic, "_$1_"))
 
-    lines = F.array_join(F.transform(F.split(c, r"\r\n|\r|\n"), one_line), "\n")
+    lines = F.array_join(F.transform(F.split(c, LINE_BREAK), one_line), "\n")
     return strip(F.regexp_replace(F.regexp_replace(lines, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n"))
 
 

@@ -18,31 +18,40 @@ KEYS = ("tag", "doc_id")
 def parse_blocks_json(df: DataFrame, raw: str = "raw") -> DataFrame:
     """B1: add ``blocks`` (array of text, label) and ``reason`` (null when usable) from *raw*.
 
-    Takes a list, or the first list among an object's values, with or without a code fence.
-    An absent label becomes ``answer.text``; a null one stays null.
+    Takes a list, or the first value of an object that is a list, with or without a code fence. An
+    absent label becomes ``answer.text``; a null one stays null. Entries that are no objects are
+    left out and their positions listed in ``bad_entries``; the others keep their order.
     """
     text = strip(F.col(raw))
     fenced = F.regexp_extract(text, r"(?s)^```(.*?)(?:```|$)", 1)
     body = F.when(text.startswith("```"), strip(F.regexp_replace(fenced, r"^json", ""))).otherwise(text)
-    values = F.map_values(F.from_json(body, "map<string,string>"))
-    first_list = F.get(F.filter(values, lambda v: v.startswith("[")), F.lit(0))
-    listed = F.when(body.startswith("["), body).when(body.startswith("{"), first_list)
-    entries = F.from_json(listed, "array<map<string,string>>")
+    df = df.withColumn("_body", body).withColumn("_value", F.try_parse_json("_body"))
+    members = F.try_variant_get("_value", "$", "map<string,variant>")
+    listed = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    df = df.withColumns({"_members": members, "_own": listed(F.col("_value"))})
+    lists = F.filter(F.transform(F.json_object_keys("_body"), lambda k: listed(F.col("_members")[k])), lambda x: x.isNotNull())
+    df = df.withColumn("_list", F.coalesce("_own", F.get(lists, F.lit(0))))
+    entry = "map<string,variant>"
+    objects = F.transform("_list", lambda v, i: F.struct(F.try_variant_get(v, "$", entry).alias("m"), i.cast("int").alias("i")))
+    df = df.withColumn("_objects", objects)
+    word = lambda v: F.try_variant_get(v, "$", "string")
     blocks = F.transform(
-        F.filter(entries, lambda m: m.isNotNull()),
-        lambda m: F.struct(
-            F.coalesce(m["text"], F.lit("")).alias("text"),
-            F.when(F.map_contains_key(m, "label"), m["label"]).otherwise(ANSWER).alias("label"),
+        F.filter("_objects", lambda o: o["m"].isNotNull()),
+        lambda o: F.struct(
+            F.coalesce(word(o["m"]["text"]), F.lit("")).alias("text"),
+            F.when(F.map_contains_key(o["m"], F.lit("label")), word(o["m"]["label"])).otherwise(ANSWER).alias("label"),
         ),
     )
     reason = (
         F.when(is_blank(F.col(raw)), "empty response")
-        .when(F.try_parse_json(body).isNull(), "not valid JSON")
-        .when(listed.isNull(), "no list in the response")
-    )
-    return df.withColumns({"reason": reason}).withColumn(
-        "blocks", F.when(F.col("reason").isNull(), F.coalesce(blocks, F.array())).otherwise(F.array())
+        .when(F.col("_value").isNull(), "not valid JSON")
+        .when(F.col("_list").isNull(), "no list in the response")
     )
+    bad = F.transform(F.filter("_objects", lambda o: o["m"].isNull()), lambda o: o["i"])
+    usable = F.col("reason").isNull()
+    return df.withColumn("reason", reason).withColumns({
+        "blocks": F.when(usable, blocks).otherwise(F.array()), "bad_entries": F.when(usable, bad).otherwise(F.array().cast("array<int>")),
+    }).drop("_body", "_value", "_members", "_own", "_list", "_objects")
 
 
 def clean_blocks(blocks: DataFrame) -> DataFrame:

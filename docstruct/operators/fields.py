@@ -26,10 +26,6 @@ ONE_OR_MANY = ["contact_id", "contributor_id", "creator_id", "metadata_standard_
 # What identifies a list item, in order of preference.
 ITEM_KEYS = ["title", "name", "identifier", "license_ref"]
 
-# Levels a record may have; containers and list indices count one each.
-MAX_DEPTH = 9
-
-
 # ---- taking records apart ----------------------------------------------------------------
 
 
@@ -45,6 +41,20 @@ def _as_text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
+def deepest(df: DataFrame, *raws: str) -> int:
+    """Levels of containers in the deepest JSON text of the columns *raws*: one aggregate over the
+    texts, of which one number reaches the driver."""
+    def depth(raw: str) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"(?s)\\.", ""), r'"[^"]*+"', ""), r"[^\[\]{}]", "")
+        step = lambda acc, c: F.struct(
+            (acc["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(acc["most"], acc["now"] + 1).alias("most")
+        )
+        start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+        return F.aggregate(F.filter(F.split(bare, ""), lambda c: c != ""), start, step, lambda acc: acc["most"])
+
+    return df.agg(F.max(F.greatest(F.lit(0), *[depth(raw) for raw in raws]))).first()[0] or 0
+
+
 def item_keys(item: Column) -> Column:
     """The normalised values that identify a list item, best first, the host's title last."""
     paths = [f"$.{k}" for k in ITEM_KEYS] + ["$.host.title"]
@@ -169,9 +179,7 @@ def _step(df: DataFrame, keys: Sequence[str], paired: bool) -> DataFrame:
 def _flatten(df: DataFrame, keys: Sequence[str], depth: int, paired: bool) -> DataFrame:
     for _ in range(depth):
         df = _step(df, keys, paired)
-    too_deep = _as_map(F.col("v")).isNotNull() | _as_list(F.col("v")).isNotNull()
-    value = F.when(too_deep, F.raise_error(F.lit("record is nested deeper than max_depth"))).otherwise(_as_text(F.col("v")))
-    return df.select(*keys, "path", "mpath", value.alias("value"))
+    return df.select(*keys, "path", "mpath", _as_text(F.col("v")).alias("value"))
 
 
 def _spread_out(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -181,34 +189,38 @@ def _spread_out(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), *keys)
 
 
-def leaves(records: DataFrame, raw: str = "raw", keys: Sequence[str] = RECORD, max_depth: int = MAX_DEPTH) -> DataFrame:
+def leaves(records: DataFrame, raw: str = "raw", keys: Sequence[str] = RECORD, depth: int | None = None) -> DataFrame:
     """``(keys, path, value)`` of every scalar; J2 is applied on the way down. The root is an
-    object; rows that hold no valid JSON give nothing (see `split_invalid`)."""
+    object; rows that hold no valid JSON give nothing (see `split_invalid`). *depth*, the levels to
+    descend, is that of the deepest record unless the caller knows a bound."""
+    depth = deepest(records, raw) if depth is None else depth
     records = _spread_out(records.select(*keys, raw), keys)
     top = records.select(*keys, F.lit("").alias("path"), F.lit("").alias("mpath"), F.try_parse_json(F.col(raw)).alias("v"))
-    return _flatten(top.where(F.col("v").isNotNull()), keys, max_depth, paired=False).drop("mpath")
+    return _flatten(top.where(F.col("v").isNotNull()), keys, depth, paired=False).drop("mpath")
 
 
 def aligned_leaves(
     records: DataFrame, references: DataFrame, raw: str = "raw", keys: Sequence[str] = RECORD,
-    on: Sequence[str] = ("doc_id",), max_depth: int = MAX_DEPTH,
+    on: Sequence[str] = ("doc_id",), depth: int | None = None,
 ) -> DataFrame:
     """Leaves of *records* ``(keys, raw)`` with ``path`` on the indices of the document's
-    reference ``(on, raw)`` and ``mpath`` as written."""
+    reference ``(on, raw)`` and ``mpath`` as written; *depth* as in `leaves`."""
+    depth = deepest(records, raw) if depth is None else depth
     ref = references.select(*on, F.try_parse_json(F.col(raw)).alias("r"))
     both = records.select(*keys, F.lit("").alias("path"), F.lit("").alias("mpath"), F.try_parse_json(F.col(raw)).alias("v"))
     both = both.where(F.col("v").isNotNull()).join(ref, on=list(on)).select(*keys, "path", "mpath", "v", "r")
-    return _flatten(_spread_out(both, keys), keys, max_depth, paired=True)
+    return _flatten(_spread_out(both, keys), keys, depth, paired=True)
 
 
-def key_census(records: DataFrame, raw: str = "raw", pattern: str | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+def key_census(records: DataFrame, raw: str = "raw", pattern: str | None = None, depth: int | None = None) -> DataFrame:
     """How often each key occurs at any depth, containers included; *pattern* keeps the keys
-    that match it, whatever their case."""
+    that match it, whatever their case. *depth* as in `leaves`."""
+    depth = deepest(records, raw) if depth is None else depth
     node = records.select(F.try_parse_json(F.col(raw)).alias("v"), F.lit(None).cast("string").alias("key"))
     found = F.array().cast("array<string>")
     # Keys seen on the way down ride along; each child starts with its own key only.
     rows = node.withColumn("seen", found)
-    for _ in range(max_depth):
+    for _ in range(depth):
         rows = rows.withColumns({"_m": _as_map(F.col("v")), "_l": _as_list(F.col("v"))})
         children = (
             F.when(F.col("_m").isNotNull(), F.transform(F.map_entries("_m"), lambda e: F.struct(e["value"].alias("v"), e["key"].alias("key"))))
@@ -235,7 +247,8 @@ def split_invalid(records: DataFrame, raw: str = "raw") -> tuple[DataFrame, Data
 
 def merge_records(first: DataFrame, second: DataFrame, key: str = "doc_id", raw: str = "raw") -> DataFrame:
     """One object per document with *first*'s top-level keys, then *second*'s. A document
-    that lacks a side, or whose sides share a key, gets a reason instead of a merged text."""
+    that lacks a side, whose side is no JSON object, or whose sides share a key, gets a reason
+    instead of a merged text."""
     a = first.select(key, F.col(raw).alias("a"))
     b = second.select(key, F.col(raw).alias("b"))
     shared = F.array_sort(F.array_intersect(F.json_object_keys("a"), F.json_object_keys("b")))
@@ -244,6 +257,8 @@ def merge_records(first: DataFrame, second: DataFrame, key: str = "doc_id", raw:
     glue = F.when((F.trim(body_a) != "") & (F.trim(body_b) != ""), F.lit(", ")).otherwise(F.lit(""))
     reason = (
         F.when(F.col("a").isNull(), "no first record").when(F.col("b").isNull(), "no second record")
+        .when(_as_map(F.try_parse_json("a")).isNull(), "first record is not an object")
+        .when(_as_map(F.try_parse_json("b")).isNull(), "second record is not an object")
         .when(F.size(shared) > 0, F.concat(F.lit("shared keys: "), F.array_join(shared, ", ")))
     )
     merged = F.concat(F.lit("{"), body_a, glue, body_b, F.lit("}"))
@@ -428,45 +443,64 @@ def form_order(row: Column) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in FORM_ROWS]), row).cast("long")
 
 
-def field_matrix(outcomes: DataFrame, by: str = "model") -> DataFrame:
+Keys = str | Sequence[str]
+
+
+def _names(by: Keys) -> list[str]:
+    return [by] if isinstance(by, str) else list(by)
+
+
+def field_matrix(outcomes: DataFrame, by: Keys = "model") -> DataFrame:
     """Count and share of the row by run and outcome, with a Total row; rows in form order.
 
     A field of several documents counts once per document.
     """
+    by = _names(by)
     placed = outcomes.withColumn("row", form_row(F.col("field")))
-    counts = placed.groupBy(by, "row").agg(*[_n("outcome", o).alias(o.lower()) for o in OUTCOMES])
-    total = counts.groupBy(by).agg(*[F.sum(o.lower()).alias(o.lower()) for o in OUTCOMES]).withColumn("row", F.lit("Total"))
+    counts = placed.groupBy(*by, "row").agg(*[_n("outcome", o).alias(o.lower()) for o in OUTCOMES])
+    total = counts.groupBy(*by).agg(*[F.sum(o.lower()).alias(o.lower()) for o in OUTCOMES]).withColumn("row", F.lit("Total"))
     fields = placed.select("doc_id", "field", "row").distinct()
     sizes = fields.rollup("row").agg(F.count("*").alias("n_row")).withColumn("row", F.coalesce("row", F.lit("Total")))
     out = counts.unionByName(total).join(sizes, on="row")
     order = F.when(F.col("row") == "Total", len(FORM_ROWS) + 1).otherwise(form_order(F.col("row")))
     shares = [_ratio(F.col(o.lower()), F.col("n_row")).alias(f"{o.lower()}_share") for o in OUTCOMES]
-    return out.select(by, order.cast("long").alias("row_order"), "row", "n_row", *[o.lower() for o in OUTCOMES], *shares)
+    return out.select(*by, order.cast("long").alias("row_order"), "row", "n_row", *[o.lower() for o in OUTCOMES], *shares)
 
 
-def score_table(judged: DataFrame, by: str = "model") -> DataFrame:
+def score_table(judged: DataFrame, by: Keys = "model") -> DataFrame:
     """Per document and pooled scores (``doc_id`` null): counts are pooled, then scored. A
-    reference field counts as found once per document however many rows hit it."""
+    reference field counts as found once per document however many rows hit it. The outcomes of
+    the annotated fields (J15) are counted beside the verdicts."""
+    by = _names(by)
     hit = (F.col("verdict") == "Correct") & F.col("reference_value").isNotNull()
-    per_field = judged.groupBy(by, "doc_id", "field").agg(
-        *[_n("verdict", v).alias(v.lower()) for v in VERDICTS], F.bool_or(hit).alias("_hit")
+    annotated = ~is_empty_value(F.col("reference_value"))
+    wrote_other = (F.col("verdict") == "Hallucinated") & (F.col("reason") != "empty where the reference has a value")
+    per_field = judged.groupBy(*by, "doc_id", "field").agg(
+        *[_n("verdict", v).alias(v.lower()) for v in VERDICTS], F.bool_or(hit).alias("_hit"), F.bool_or(annotated).alias("_annotated"),
+        F.coalesce(F.bool_or(annotated & (F.col("verdict") == "Correct")), F.lit(False)).alias("_right"),
+        F.coalesce(F.bool_or(annotated & wrote_other), F.lit(False)).alias("_other"),
+    )
+    kind = F.when(F.col("_right"), "Correct").when(F.col("_other"), "Mismatch").otherwise("Missed")
+    per_doc = per_field.groupBy(*by, "doc_id").agg(
+        *[F.sum(v.lower()).alias(v.lower()) for v in VERDICTS], F.count_if("_hit").alias("found"), F.count_if("_annotated").alias("annotated"),
+        *[F.count_if(F.col("_annotated") & (kind == o)).alias(f"fields_{o.lower()}") for o in OUTCOMES],
     )
-    sums = per_field.rollup(by, "doc_id").agg(
-        *[F.sum(v.lower()).alias(v.lower()) for v in VERDICTS], F.count_if("_hit").alias("found")
-    ).where(F.col(by).isNotNull()).withColumn("n_ref", F.col("found") + F.col("missed"))
+    counts = [c for c in per_doc.columns if c not in (*by, "doc_id")]
+    pooled = per_doc.groupBy(*by).agg(*[F.sum(c).alias(c) for c in counts]).withColumn("doc_id", F.lit(None).cast(per_doc.schema["doc_id"].dataType))
+    sums = per_doc.unionByName(pooled).withColumn("n_ref", F.col("found") + F.col("missed"))
     return _with_scores(sums, F.col("found"))
 
 
-def f1_range(scores: DataFrame, by: str = "model") -> DataFrame:
+def f1_range(scores: DataFrame, by: Keys = "model") -> DataFrame:
     """Spread of per-document F1 by model."""
-    return scores.where(F.col("doc_id").isNotNull()).groupBy(by).agg(F.min("f1").alias("min_f1"), F.max("f1").alias("max_f1"))
+    return scores.where(F.col("doc_id").isNotNull()).groupBy(*_names(by)).agg(F.min("f1").alias("min_f1"), F.max("f1").alias("max_f1"))
 
 
-def best_run(scores: DataFrame, by: str = "model") -> DataFrame:
-    """The pooled row with the highest F1; by name on ties."""
+def best_run(scores: DataFrame, by: str = "model", within: Sequence[str] = ()) -> DataFrame:
+    """The pooled row with the highest F1, of each *within*; by name on ties."""
     pooled = scores.where(F.col("doc_id").isNull())
-    return pooled.groupBy().agg(F.min(F.struct((-F.col("f1")).alias("neg"), F.col(by))).alias("b")).select(
-        F.col(f"b.{by}").alias("best"), (-F.col("b.neg")).alias("f1")
+    return pooled.groupBy(*within).agg(F.min(F.struct((-F.col("f1")).alias("neg"), F.col(by))).alias("b")).select(
+        *within, F.col(f"b.{by}").alias("best"), (-F.col("b.neg")).alias("f1")
     )
 
 
@@ -477,11 +511,13 @@ def verdict_shares(judged: DataFrame, by: str = "model") -> DataFrame:
     return counts.select(by, *names, "n_judged", *[_ratio(F.col(n), F.col("n_judged")).alias(f"{n}_share") for n in names])
 
 
-def missed_by_section(judged: DataFrame, ref_leaves: DataFrame, models: Sequence[str]) -> DataFrame:
-    """Reference fields per top-level part, and how many each model missed."""
+def missed_by_section(judged: DataFrame, ref_leaves: DataFrame, models: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """Reference fields per top-level part, and how many each model missed, of each *within*."""
     fields = ref_leaves.where(~is_empty_value(F.col("value"))).groupBy(top_part(F.col("path")).alias("section")).agg(F.count("*").alias("n_reference"))
-    gone = judged.where(F.col("verdict") == "Missed").groupBy(top_part(F.col("field")).alias("section")).agg(*[_n("model", m).alias(m) for m in models])
-    return fields.join(gone, on="section", how="left").select("section", "n_reference", *[F.coalesce(m, F.lit(0)).alias(m) for m in models])
+    gone = judged.where(F.col("verdict") == "Missed").groupBy(*within, top_part(F.col("field")).alias("section")).agg(*[_n("model", m).alias(m) for m in models])
+    if within:  # a section nothing was missed in stands in each of them too, as long as it was judged there
+        fields = judged.where(~is_empty_value(F.col("reference_value"))).select(*within, top_part(F.col("field")).alias("section")).distinct().join(fields, on="section")
+    return fields.join(gone, on=[*within, "section"], how="left").select(*within, "section", "n_reference", *[F.coalesce(m, F.lit(0)).alias(m) for m in models])
 
 
 def natural_order(path: Column) -> Column:
@@ -489,31 +525,32 @@ def natural_order(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"(\d+)", "000000000$1"), r"0*(\d{10})", "$1")
 
 
-def field_wide(outcomes: DataFrame, judged: DataFrame, models: Sequence[str]) -> DataFrame:
-    """A row per annotated field: the reference value (60 characters), each model's outcome
-    and, for a mismatch, what it wrote (45 characters)."""
-    wrote = judged.where((F.col("verdict") == "Hallucinated") & F.col("model_value").isNotNull()).groupBy("model", "doc_id", "field").agg(
+def field_wide(outcomes: DataFrame, judged: DataFrame, models: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """A row per annotated field of each *within*: the reference value (60 characters), each
+    model's outcome and, for a mismatch, what it wrote (45 characters)."""
+    wrote = judged.where((F.col("verdict") == "Hallucinated") & F.col("model_value").isNotNull()).groupBy(*within, "model", "doc_id", "field").agg(
         F.min("model_value").alias("wrote")
     )
     values = judged.where(~is_empty_value(F.col("reference_value"))).groupBy("doc_id", "field").agg(
         F.substring(F.min("reference_value"), 1, 60).alias("annotated_value")
     )
-    both = outcomes.join(wrote, on=["model", "doc_id", "field"], how="left")
+    both = outcomes.join(wrote, on=[*within, "model", "doc_id", "field"], how="left")
     cells = []
     for m in models:
         mine = F.col("model") == m
         cells.append(F.max(F.when(mine, F.col("outcome"))).alias(f"{m}_outcome"))
         other = F.max(F.when(mine & (F.col("outcome") == "Mismatch"), F.substring("wrote", 1, 45)))
         cells.append(F.coalesce(other, F.lit("")).alias(f"{m}_wrote"))
-    wide = both.groupBy("doc_id", "field").agg(*cells).join(values, on=["doc_id", "field"])
+    wide = both.groupBy(*within, "doc_id", "field").agg(*cells).join(values, on=["doc_id", "field"])
     return wide.withColumn("sort_key", natural_order(F.col("field")))
 
 
-def group_correct(outcomes: DataFrame, by: str = "model") -> DataFrame:
+def group_correct(outcomes: DataFrame, by: Keys = "model") -> DataFrame:
     """Correct and annotated fields per model and group."""
+    by = _names(by)
     placed = outcomes.withColumn("grp", form_group(F.col("field")))
     sizes = placed.select("doc_id", "field", "grp").distinct().groupBy("grp").agg(F.count("*").alias("n_fields"))
-    counts = placed.groupBy(by, "grp").agg(_n("outcome", "Correct").alias("correct"))
+    counts = placed.groupBy(*by, "grp").agg(_n("outcome", "Correct").alias("correct"))
     return counts.join(sizes, on="grp").withColumn("share", _ratio(F.col("correct"), F.col("n_fields")))
 
 

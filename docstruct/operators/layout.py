@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docstruct.functions.text import (
-    bare_word, collapse, has_alnum, is_blank, is_italic, looks_doubled, looks_like_url, names_bold, squeeze_document, strip, undouble,
+    LINE_BREAK, bare_word, collapse, has_alnum, is_blank, is_italic, looks_doubled, looks_like_url, names_bold, squeeze_document, strip, undouble,
 )
 
 PAGE = ("doc_id", "page_no")
@@ -358,15 +358,18 @@ def assemble_doc(pages: DataFrame) -> DataFrame:
 
 
 # A line at a page's edge that is only its number; characters that end a sentence.
-EDGE_LINE = r"(?:[^\S\n]*(?:page[^\S\n]+)?\d+(?:[^\S\n]+of[^\S\n]+\d+)?[^\S\n]*|[^\S\n]*)"
+EDGE_LINE = r"(?i)^\s*(?:(?:page\s+)?\d+(?:\s+of\s+\d+)?\s*)?$"
 TERMINAL = ".!?:;\"'”’)]"
 
 
 def strip_page_edges(text: Column) -> Column:
-    """Drop page numbers and blank lines from both ends of a page, not from its middle."""
-    lines = F.regexp_replace(text, r"\r\n|\r", "\n")
-    head = F.regexp_replace(lines, rf"(?i)\A(?:{EDGE_LINE}(?:\n|\z))+", "")
-    return strip(F.regexp_replace(head, rf"(?i)(?:(?:\n|\A){EDGE_LINE})+\z", ""))
+    """Drop page numbers and blank lines from both ends of a page, not from its middle. Lines
+    are tested one by one: no pattern runs over a page's edge as a whole, however long that is."""
+    lines = F.split(text, LINE_BREAK)
+    inner = F.transform(lines, lambda x: ~x.rlike(EDGE_LINE))
+    first = F.array_position(inner, True)
+    last = F.size(lines) - F.array_position(F.reverse(inner), True) + 1
+    return F.when(first == 0, F.when(text.isNotNull(), "")).otherwise(strip(F.array_join(F.slice(lines, first.cast("int"), (last - first + 1).cast("int")), "\n")))
 
 
 def join_pages(pages: DataFrame) -> DataFrame:

@@ -26,12 +26,14 @@ def get_session(app: str = "docstruct", master: str | None = None, **conf: str)
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint *df* in the folder the cluster names in ``spark.checkpoint.dir``.
 
-    A shared folder survives the loss of an executor. Only where neither the setting nor the
-    context names one (a local test) is a temporary folder used.
+    A shared folder survives the loss of an executor. Without the setting a cluster session gets
+    an error; only a local one (a test) may use a temporary folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)

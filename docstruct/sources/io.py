@@ -15,7 +15,8 @@ RUN_KEYS = ["rda_model", "extractor", "prompt", "prompt_fingerprint"]
 
 def doc_number(path: Column) -> Column:
     """IO3: the document number in a file's name; null unless the name holds one run of digits."""
-    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    name = F.url_decode(F.element_at(F.split(path, "/"), -1))  # file paths come percent-encoded
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
     digits = F.regexp_extract(stem, r"^\D*(\d+)\D*$", 1)
     return F.when(digits != "", digits.cast("bigint"))
 
@@ -106,11 +107,12 @@ def fingerprint(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat(*parts), 256), 1, 12)
 
 
-def export_items(slots: DataFrame, path: str, fmt: str = "csv") -> None:
-    """IO10: (label, text) tables, a folder per document in place of a sheet."""
-    rows = to_label_text(slots)
-    out = rows.repartition("tag", "doc_id", F.floor(F.col("ord") / (1 << 44))).sortWithinPartitions("tag", "doc_id", "ord")
-    writer = out.write.partitionBy("tag", "doc_id").mode("overwrite").format(fmt)
+def export_items(slots: DataFrame, path: str, fmt: str = "csv", buckets: int = 64) -> None:
+    """IO10: (doc_id, ord, label, text) tables in order, in place of a sheet per document. Folders are by
+    tag and hash bucket of the document; only the folders of the tags and buckets written are replaced."""
+    rows = to_label_text(slots).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    out = rows.repartition("tag", "bucket", F.floor(F.col("ord") / (1 << 44))).sortWithinPartitions("tag", "bucket", "doc_id", "ord")
+    writer = out.write.partitionBy("tag", "bucket").option("partitionOverwriteMode", "dynamic").mode("overwrite").format(fmt)
     (writer.option("header", True) if fmt == "csv" else writer).save(path)
 
 
@@ -123,13 +125,19 @@ def export_scores(path: str, fmt: str = "parquet", **tables: DataFrame) -> None:
 def replace_tag(spark: SparkSession, stage_path: str, tag: str, backup_path: str, stamp: str) -> None:
     """IO12: copy one tag's rows to ``backup_path/backup=<stamp>``, then empty the tag.
 
-    The stage's other tags, and stage 1 (which has no tag), are not touched.
+    The stage's other tags, and stage 1 (which has no tag), are not touched. The folder is taken
+    from the stage's own files, so a tag that is escaped in its name is found. A second call with
+    one stamp finds nothing to copy and leaves the backup as it is.
     """
-    stage = spark.read.parquet(stage_path)
-    kept = stage.where(F.col("tag") == tag).withColumn("backup", F.lit(stamp))
-    kept.write.partitionBy("backup", "tag").mode("append").parquet(backup_path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{stage_path}/tag={tag}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    own = spark.read.parquet(stage_path).where(F.col("tag") == tag)
+    folders = [r[0] for r in own.select(F.regexp_replace("_metadata.file_path", "/[^/]*$", "")).distinct().collect()]  # one per tag
+    if not folders:
+        return
+    kept = own.withColumn("backup", F.lit(stamp))
+    kept.write.partitionBy("backup", "tag").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(backup_path)
+    for name in folders:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI.create(name))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def save_scores(scores: DataFrame, path: str) -> None:

@@ -6,25 +6,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 
 from docstruct.operators.nest import nest
 from docstruct.operators.rules import apply_rules
+from docstruct.session import cut_lineage
 
 
 def read_new_blocks(spark: SparkSession, path: str, schema: str, max_files: int = 10_000) -> DataFrame:
     """IO7: block rows of Parquet files that appeared since the last run (kept by the sink's
-    checkpoint)."""
+    checkpoint). A document may lie in files of several batches; see `run_available`."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
 def run_available(
-    blocks: DataFrame, out: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda b: apply_rules(nest(b)),
+    blocks: DataFrame, out: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda b: apply_rules(nest(b)), buckets: int = 64,
 ) -> StreamingQuery:
-    """Process what is there, then stop. Each batch replaces only its own (tag, batch) folder, so
-    a batch that is run again after a failure leaves no duplicates."""
+    """Process what is there, then stop.
+
+    Each batch adds its blocks to ``<out>_blocks`` and then makes the documents it touches anew from
+    all of their blocks, so a document comes out the same however its files fall into batches.
+    Results lie by (tag, bucket of the document); the buckets with touched documents are rewritten,
+    other documents in them copied. A batch that runs again after a failure changes nothing.
+    """
+    held = f"{out.rstrip('/')}_blocks"
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        result = transform(batch).withColumn("batch", F.lit(batch_id))
-        result.write.partitionBy("tag", "batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(out)
+        spark = batch.sparkSession
+        batch.withColumn("batch", F.lit(batch_id)).write.partitionBy("batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(held)
+        touched = batch.select("tag", "doc_id").distinct()
+        known = spark.read.parquet(held).where(F.col("batch") <= batch_id).drop("batch")
+        result = transform(known.join(touched, on=["tag", "doc_id"], how="left_semi")).withColumn("bucket", bucket)
+        try:
+            before = spark.read.parquet(out)
+        except AnalysisException:  # the first batch
+            before = None
+        if before is not None:
+            same = before.join(touched.select("tag", bucket.alias("bucket")).distinct(), on=["tag", "bucket"], how="left_semi")
+            result = result.unionByName(same.join(touched, on=["tag", "doc_id"], how="left_anti").select(*result.columns))
+            result = cut_lineage(result)  # it reads what is overwritten next
+        result.write.partitionBy("tag", "bucket").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(out)
 
     return blocks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

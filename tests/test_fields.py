@@ -35,8 +35,6 @@ def test_leaves_follow_the_tree(spark):
         ("dmp.title", "t"), ("dmp.n", "3"), ("dmp.ok", "true"), ("dmp.gone", None), ("dmp.contact.contact_id[0].identifier", "i"),
         ("dmp.dataset[0].a", "1"), ("dmp.dataset[1].b[0]", "x"), ("dmp.dataset[1].b[1]", "y"),
     }
-    with pytest.raises(Exception, match="nested deeper"):
-        J.leaves(df, max_depth=2).collect()
 
 
 def pair(model, ref):
@@ -111,3 +109,20 @@ def test_conformance(spark):
     assert ("not allowed value", "dmp.ethical_issues_exist") in got and ("extra", "dmp.other") in got
     assert ("missing", "dmp.title") in got and ("missing", "dmp.dataset[1].distribution[0].data_access") in got and ("missing", "dmp.dataset[1].type") in got
     assert ("missing", "dmp.ethical_issues_exist") not in got
+
+
+def test_depth_is_not_capped(spark):
+    deep = '{"k1": {"k2": {"k3": {"k4": {"k5": {"k6": {"k7": {"k8": {"k9": {"k10": {"k11": [{"k12": "v [{\\" x"}]}}}}}}}}}}}'
+    df = spark.createDataFrame([("r", "m", 1, deep), ("r", "m", 2, '{"a": 1}'), ("r", "m", 3, "{")], "run string, model string, doc_id bigint, raw string")
+    path = ".".join(f"k{i}" for i in range(1, 12)) + "[0].k12"
+    assert {(r.doc_id, r.path) for r in J.leaves(df).collect()} == {(1, path), (2, "a")}
+    assert {(r.doc_id, r.path) for r in J.aligned_leaves(df, df.select("doc_id", "raw")).collect()} == {(1, path), (2, "a")}
+    assert {r.key: r.n for r in J.key_census(df).collect()} == {f"k{i}": 1 for i in range(1, 13)} | {"a": 1}
+
+
+def test_merge_takes_objects_only(spark):
+    a = spark.createDataFrame([(1, '{"dmp": '), (2, "[1]"), (3, '{"a": 1}'), (4, '{"a": 1}')], "doc_id bigint, raw string")
+    b = spark.createDataFrame([(1, '{"n": 2}'), (2, '{"n": 2}'), (3, "7"), (4, '{"n": 2}')], "doc_id bigint, raw string")
+    got = {r.doc_id: (r.merged, r.reason) for r in J.merge_records(a, b).collect()}
+    first, second = (None, "first record is not an object"), (None, "second record is not an object")
+    assert got == {1: first, 2: first, 3: second, 4: ('{"a": 1, "n": 2}', None)}

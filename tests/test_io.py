@@ -52,7 +52,7 @@ def test_exports(spark, tmp_path):
     slots = spark.createDataFrame([("t", 1, 0, 0, "title", "T"), ("t", 1, 1, 1, "answer.text", "  "), ("t", 2, 1, 0, "section.title", "S")], "tag string, doc_id bigint, sec int, q int, slot string, text string")
     IO.export_items(slots, str(tmp_path / "items"))
     back = spark.read.option("header", True).csv(str(tmp_path / "items"))
-    assert {(r.doc_id, r.label, r.text) for r in back.collect()} == {(1, "title", "T"), (2, "section.title", "S")}
+    assert {(int(r.doc_id), r.label, r.text) for r in back.collect()} == {(1, "title", "T"), (2, "section.title", "S")}
     IO.export_scores(str(tmp_path / "scores"), summary=slots, matrix=slots)
     assert spark.read.parquet(str(tmp_path / "scores" / "matrix")).count() == 3
     IO.save_scores(slots, str(tmp_path / "base"))
@@ -66,4 +66,33 @@ def test_only_new_files_are_processed(spark, tmp_path):
         spark.createDataFrame([("t", doc, 0, f"title {doc}", "title"), ("t", doc, 1, "a", "answer.text")], schema).coalesce(1).write.mode("append").parquet(source)
         incremental.run_available(incremental.read_new_blocks(spark, source, schema), out, mark).awaitTermination()
     rows = spark.read.parquet(out)
-    assert {(r.doc_id, r.text, r.batch) for r in rows.where("slot = 'title'").collect()} == {(1, "title 1", 0), (2, "title 2", 1)}
+    assert {(r.doc_id, r.text) for r in rows.where("slot = 'title'").collect()} == {(1, "title 1"), (2, "title 2")}
+
+
+def test_a_document_in_two_batches_comes_out_whole(spark, tmp_path):
+    from docstruct.operators.rules import apply_rules
+
+    schema = "tag string, doc_id bigint, pos bigint, text string, label string"
+    rows = [("t", d, p, x, label) for d in (1, 2) for p, (x, label) in enumerate([("T", "title"), ("S", "section.title"), ("q", "question.text"), ("a", "answer.text"), ("b", "answer.text")])]
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    for part in (rows[:2] + rows[5:], rows[2:4], rows[4:5]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+    incremental.run_available(incremental.read_new_blocks(spark, source, schema, max_files=1), out, mark).awaitTermination()
+    whole = apply_rules(N.nest(spark.createDataFrame(rows, schema)))
+    got = spark.read.parquet(out)
+    assert sorted(map(str, got.select(*whole.columns).collect())) == sorted(map(str, whole.collect()))
+
+
+def test_encoded_names_and_tags(spark, tmp_path):
+    write(tmp_path / "in" / "m:1", "Sample 3.json", [{"text": "a"}])
+    assert [(r.tag, r.doc_id) for r in IO.read_blocks(spark, str(tmp_path / "in")).collect()] == [("m:1", 3)]
+    stage, backup = str(tmp_path / "stage"), str(tmp_path / "backup")
+    IO.write_stage(spark.createDataFrame([("m:1", 1, "x"), ("b", 1, "y")], "tag string, doc_id bigint, text string"), stage)
+    for _ in range(2):
+        IO.replace_tag(spark, stage, "m:1", backup, "s1")
+    assert [r.tag for r in IO.list_tags(spark.read.parquet(stage)).collect()] == ["b"]
+    assert [(r.tag, r.doc_id) for r in spark.read.parquet(backup).collect()] == [("m:1", 1)]
+    slots = "tag string, doc_id bigint, sec int, q int, slot string, text string"
+    for tag in ("a", "b"):
+        IO.export_items(spark.createDataFrame([(tag, 1, 0, 0, "title", "T")], slots), str(tmp_path / "items"))
+    assert {r.tag for r in spark.read.option("header", True).csv(str(tmp_path / "items")).collect()} == {"a", "b"}

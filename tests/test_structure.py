@@ -152,3 +152,12 @@ def test_parse_answers(spark):
     assert got[1] == ([("a\nb", T)], None)
     assert got[2] == ([("x", A), ("y", None)], None)
     assert [got[i][1] for i in (3, 4, 5)] == ["not valid JSON", "empty response", "no list in the response"]
+
+
+def test_bad_entries_cost_only_themselves(spark):
+    from docstruct.operators.blocks import parse_blocks_json
+
+    raw = ['{"note": "[draft]", "labels": [{"text": "a", "label": "title"}]}', '[{"text": "a"}, 5, {"text": "b", "label": null}, [1]]', '{"x": "[\\"a\\"]"}', '{"b": [], "a": [{"text": "z"}]}']
+    got = parse_blocks_json(spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, raw string")).orderBy("i").collect()
+    assert [[(b.text, b.label) for b in r.blocks] for r in got] == [[("a", "title")], [("a", "answer.text"), ("b", None)], [], []]
+    assert [r.bad_entries for r in got] == [[], [1, 3], [], []] and [r.reason for r in got] == [None, None, "no list in the response", None]

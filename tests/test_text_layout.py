@@ -70,3 +70,12 @@ def test_furniture(spark):
     rows = [(1, 1, 0, "page_header", True, "Plan title", 5.0), (1, 1, 1, "page_header", True, "Run  ning", 6.0), (1, 2, 2, "page_header", True, "run ning", 5.0), (1, 1, 3, "text", False, "body", 50.0), (1, 1, 4, "page_footer", True, "1", 1.0)]
     blocks = spark.createDataFrame(rows, "doc_id int, page_no int, block_no int, kind string, furniture boolean, text string, t double")
     assert {r.block_no for r in L.keep_title_header(blocks).collect()} == {0, 3}
+
+
+def test_page_edges_of_any_length(spark):
+    from docstruct.operators.layout import strip_page_edges
+
+    edge = "12\n \nPage 3 of 9\n" * 40000
+    rows = [(edge + "text\n7\nmore" + "\n" + edge,), ("a\f3",), ("3 a",), (" \n4\n",), ("",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(strip_page_edges(F.col("t"))).collect()]
+    assert got == ["text\n7\nmore", "a", "a", "", "", None]
