@@ -87,6 +87,7 @@ def squeeze_document(c: Column) -> Column:
 
 def markdown_to_marked(c: Column) -> Column:
     """`# x` lines become `** x **`, `*x*` becomes `_x_`, blanks and blank lines collapse."""
+    # What a heading and an italic run look like.
     heading = r"^\s{0,3}#{1,6}\s+(.*?)\s*#*\s*$"
     italic = r"(?<!\*)\*(?!\*)([^*\n]+?)\*(?!\*)"
 
@@ -127,6 +128,7 @@ def is_empty_value(c: Column) -> Column:
 def norm_id(c: Column) -> Column:
     """An identifier without scheme, resolver host or trailing slash; CC licences as cc-x-n.n."""
     bare = norm_text(c)
+    # Scheme, resolver hosts, trailing slashes.
     for pattern in (r"^https?://", r"^(www\.|dx\.)?doi\.org/", r"^www\.", r"/+$"):
         bare = F.regexp_replace(bare, pattern, "")
     # The two spellings of a Creative Commons licence.

@@ -12,24 +12,30 @@ from docstruct.labels import ANSWER, QUESTION, SECTION_DESCRIPTION, SECTION_TITL
 from docstruct.operators.nest import KEYS, is_long, order_key, spread, to_questions
 
 # Emptiness (E) or not (N) of document title, section title, section description
-# and question text -> what is copied where. All other patterns change nothing.
+# and question text -> what is copied where.
 RULE_ACTIONS = {
+    "EEEE": [],
+    "EEEN": [],
     "EENE": [(SECTION_DESCRIPTION, QUESTION), (SECTION_DESCRIPTION, SECTION_TITLE)],
+    "EENN": [],
     "ENEE": [(SECTION_TITLE, QUESTION)],
+    "ENEN": [],
     "ENNE": [(SECTION_TITLE, QUESTION)],
+    "ENNN": [],
     "NEEE": [(TITLE, QUESTION), (TITLE, SECTION_TITLE)],
+    "NEEN": [],
     "NENE": [(SECTION_DESCRIPTION, QUESTION)],
+    "NENN": [],
     "NNEE": [(SECTION_TITLE, QUESTION)],
+    "NNEN": [],
     "NNNE": [(SECTION_TITLE, QUESTION)],
+    "NNNN": [],
 }
 
 
 def rules_df(spark: SparkSession) -> DataFrame:
     """IO4: the 16 rows as data, numbered in binary order with E before N."""
-    rows = []
-    for n in range(16):
-        state = "".join("N" if n >> bit & 1 else "E" for bit in (3, 2, 1, 0))
-        rows.append((n + 1, state, [{"source": s, "target": t} for s, t in RULE_ACTIONS.get(state, [])]))
+    rows = [(n, state, [{"source": s, "target": t} for s, t in actions]) for n, (state, actions) in enumerate(RULE_ACTIONS.items(), 1)]
     return spark.createDataFrame(rows, "row int, state string, actions array<struct<source: string, target: string>>")
 
 
