@@ -7,8 +7,8 @@ A classifier learned from labeled documents gives every document a posterior ove
 
 by projected gradient steps from rate 1, in the metric that weighs a document by its tokens. A
 step needs the K domain totals only: one small aggregate over the documents. A rate is the same
-function of the posterior for every document, so it is an expression over the table of posteriors
-that grows by one term per step; no rates are stored or sent between steps.
+function of the posterior for every document, so it is a fold over the K numbers of each step so
+far; no rates are stored or sent between steps.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from docstruct.llm.store import written
 BUCKETS = 1 << 15
 MAX_TRAINING = 20_000
 EVIDENCE = 40  # a longer text says as much about its domain as this many words do
-STEPS = 60
+STEPS, TOLERANCE = 40, 1e-4  # of gradient steps at most, and of the mix's tokens by which a domain may be off
 
 
 def domain_posteriors(
@@ -92,16 +92,22 @@ def fitted_rate(table: DataFrame, weights: Mapping[str, float], whole: str | Non
     scale = 1 / np.maximum(target, 1e-9 * max(size, 1.0))
     matrix = np.array([x or 0.0 for x in gram[: k * k]], float).reshape(k, k)
     step = 1 / float(np.linalg.eigvalsh(np.sqrt(scale)[:, None] * matrix * np.sqrt(scale)[None, :]).max())
-    rate: Column = F.lit(1.0)
+    pulls: list[list[float]] = []
+
+    def rate_of() -> Column:
+        def after(rate: Column, pull: Column) -> Column:
+            moved = F.greatest(rate - sum((p[i] * F.get(pull, F.lit(i)) for i in range(1, k)), p[0] * F.get(pull, F.lit(0))), F.lit(0.0))
+            return moved if max_rate is None else F.least(moved, F.lit(float(max_rate)))
+
+        return F.aggregate(F.lit(pulls), F.lit(1.0), after) if pulls else F.lit(1.0)
+
     for _ in range(steps):
-        sums = table.agg(*[F.sum(rate * F.col("tokens") * p[i]) for i in range(k)]).first()
+        sums = table.select("tokens", "posterior", rate_of().alias("rate")).agg(*[F.sum(F.col("rate") * F.col("tokens") * p[i]) for i in range(k)]).first()
         off = np.array([x or 0.0 for x in sums], float) - target
-        if np.abs(off).max() <= 1e-6 * size:
+        if np.abs(off).max() <= TOLERANCE * size:
             break
-        pull = step * scale * off
-        rate = F.greatest(rate - sum((p[i] * F.lit(float(pull[i])) for i in range(1, k)), p[0] * F.lit(float(pull[0]))), F.lit(0.0))
-        if max_rate is not None:
-            rate = F.least(rate, F.lit(float(max_rate)))
+        pulls.append([float(x) for x in step * scale * off])
+    rate = rate_of()
     return rate, dict(zip(weights, map(float, target)))
 
 

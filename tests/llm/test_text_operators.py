@@ -174,7 +174,7 @@ def test_mixing_matches_the_dense_solution(spark):
         step = 1 / np.linalg.eigvalsh(np.sqrt(scale)[:, None] * (p.T @ (tokens[:, None] * p)) * np.sqrt(scale)).max()
         for _ in range(8):
             off = (dense * tokens) @ p - goal
-            if np.abs(off).max() <= 1e-6 * goal.sum():
+            if np.abs(off).max() <= mixing.TOLERANCE * goal.sum():
                 break
             dense = np.clip(dense - p @ (step * scale * off), 0, most)
         assert np.allclose(got, dense) and (got >= 0).all()
