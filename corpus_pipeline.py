@@ -48,7 +48,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents thinned out to the target weights; none is repeated, and clean text comes whole."""
+    """Documents thinned out to the target weights; none is repeated. Clean text comes
+    whole as far as the other domains' parts in the same documents let it."""
     parts = mixed(docs, domain_labels(table(spark, sf_dir, "labels")), WEIGHTS, whole="clean", max_rate=1.0)
     return parts.where("copies > 0").select(*docs.columns)
 

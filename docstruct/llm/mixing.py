@@ -5,14 +5,20 @@ A classifier learned from labeled documents gives every document a posterior ove
 
     minimise  sum_k (sum_d rate_d tokens_d posterior_dk - target_k)^2 / target_k,  rate_d >= 0
 
-by projected gradient steps from rate 1, in the metric that weighs a document by its tokens. A
-step needs the K domain totals only: one small aggregate over the documents. A rate is the same
-function of the posterior for every document, so it is a fold over the K numbers of each step so
-far; no rates are stored or sent between steps.
+from rate 1, in the metric that weighs a document by its tokens: a few projected gradient steps, then
+Newton steps for what they leave open. A target below FLOOR of the mix counts as FLOOR of it in the
+division, so a domain of weight 0 pulls as a small domain does and not alone. A step needs K domain
+totals and the K x K sums of the documents that can still move: one small aggregate over the
+documents. A rate is the same function of the posterior for every document, so it is a fold over K
+numbers per gradient step and K of the Newton steps; no rates are stored or sent between steps.
+
+Posteriors are soft, so targets can be out of reach: a document that is cut for its toxic part takes
+its clean part along. The rates are then those of the minimum, and a warning gives the totals.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -24,7 +30,10 @@ from docstruct.llm.store import written
 BUCKETS = 1 << 15
 MAX_TRAINING = 20_000
 EVIDENCE = 40  # a longer text says as much about its domain as this many words do
-STEPS, TOLERANCE = 40, 1e-4  # of gradient steps at most, and of the mix's tokens by which a domain may be off
+STEPS, TOLERANCE = 40, 1e-4  # of steps at most, and of the mix's tokens by which a domain may be off
+GRADIENT = 8  # of the steps are gradient steps
+FLOOR = 1e-2  # of the mix: a smaller target is weighed as this share
+FIRM = 1e6  # of the misses against the distance from the gradient steps' rates, in the Newton steps
 
 
 def domain_posteriors(
@@ -89,26 +98,78 @@ def fitted_rate(table: DataFrame, weights: Mapping[str, float], whole: str | Non
     names = [whole] if whole else [n for n in weights if weights[n]]
     size = min(have[i] / shares[i] for i, n in enumerate(weights) if n in names)
     target = shares * size
-    scale = 1 / np.maximum(target, 1e-9 * max(size, 1.0))
+    scale = 1 / np.maximum(target, FLOOR * max(size, 1.0))
     matrix = np.array([x or 0.0 for x in gram[: k * k]], float).reshape(k, k)
     step = 1 / float(np.linalg.eigvalsh(np.sqrt(scale)[:, None] * matrix * np.sqrt(scale)[None, :]).max())
     pulls: list[list[float]] = []
 
-    def rate_of() -> Column:
-        def after(rate: Column, pull: Column) -> Column:
-            moved = F.greatest(rate - sum((p[i] * F.get(pull, F.lit(i)) for i in range(1, k)), p[0] * F.get(pull, F.lit(0))), F.lit(0.0))
-            return moved if max_rate is None else F.least(moved, F.lit(float(max_rate)))
+    def held(rate: Column) -> Column:
+        rate = F.greatest(rate, F.lit(0.0))
+        return rate if max_rate is None else F.least(rate, F.lit(float(max_rate)))
 
+    def rate_of(pulls: list[list[float]]) -> Column:
+        after = lambda rate, pull: held(rate - sum((p[i] * F.get(pull, F.lit(i)) for i in range(1, k)), p[0] * F.get(pull, F.lit(0))))
         return F.aggregate(F.lit(pulls), F.lit(1.0), after) if pulls else F.lit(1.0)
 
-    for _ in range(steps):
-        sums = table.select("tokens", "posterior", rate_of().alias("rate")).agg(*[F.sum(F.col("rate") * F.col("tokens") * p[i]) for i in range(k)]).first()
+    off = np.zeros(k)
+    for done in range(steps + 1):
+        sums = table.select("tokens", "posterior", rate_of(pulls).alias("rate")).agg(*[F.sum(F.col("rate") * F.col("tokens") * p[i]) for i in range(k)]).first()
         off = np.array([x or 0.0 for x in sums], float) - target
-        if np.abs(off).max() <= TOLERANCE * size:
+        if np.abs(off).max() <= TOLERANCE * size or done >= min(steps, GRADIENT):
             break
         pulls.append([float(x) for x in step * scale * off])
-    rate = rate_of()
-    return rate, dict(zip(weights, map(float, target)))
+    left = 0.0  # how far the totals are from those of the minimum
+    if np.abs(off).max() > TOLERANCE * size:
+        y, off, left = _newton(table, rate_of(pulls), held, p, target, scale * FIRM, off, steps - len(pulls), TOLERANCE * size)
+        pulls += [y] if any(y) else []
+    if np.abs(off).max() > TOLERANCE * size:
+        why = f"not converged in {steps} steps, totals are {left:.4g} from the minimum's" if left > TOLERANCE * size else "targets are out of reach of these documents"
+        warnings.warn(f"mixing: {why}; tokens and targets: " + ", ".join(f"{n} {t + o:.0f} of {t:.0f}" for n, t, o in zip(weights, target, off)), stacklevel=2)
+    return rate_of(pulls), dict(zip(weights, map(float, target)))
+
+
+def _newton(table: DataFrame, centre: Column, held, p: list[Column], target: np.ndarray, firm: np.ndarray, off: np.ndarray, steps: int, tolerance: float) -> tuple[list[float], np.ndarray, float]:
+    """(pull y, totals less targets, distance of the totals from the minimum's), where the rates
+    held(centre - posterior . y) minimise sum_d tokens_d (rate_d - centre_d)^2 + sum_k firm_k off_k^2.
+
+    At the minimum y = firm * off. That is the gradient of a convex function of y with pieces that
+    are quadratic, so Newton steps with halving end at it; a trial costs one aggregate.
+    """
+    k = len(p)
+    weigh = table.select("tokens", "posterior", centre.alias("_c"))
+
+    def at(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        to = F.col("_c") - sum((p[i] * float(y[i]) for i in range(1, k)), p[0] * float(y[0]))
+        rows = weigh.select("tokens", "posterior", "_c", to.alias("_to"), held(to).alias("_r"))
+        free = F.when(F.col("_to") == F.col("_r"), F.col("tokens")).otherwise(F.lit(0))
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        r = rows.agg(
+            *[F.sum(F.col("_r") * F.col("tokens") * p[i]) for i in range(k)], F.sum(F.col("tokens") * (F.col("_r") - F.col("_c")) ** 2), *[F.sum(free * p[i] * p[j]) for i, j in pairs]
+        ).first()
+        off, curve = np.array(r[:k], float) - target, np.diag(1 / firm)
+        for (i, j), x in zip(pairs, r[k + 1 :]):
+            curve[i, j] += x
+            curve[j, i] += x if i != j else 0.0
+        return off, curve, float((y * y / firm).sum() / 2 - y @ off - r[k] / 2)
+
+    y = np.zeros(k)
+    off, curve, value = at(y)
+    while steps > 0:
+        slope = y / firm - off
+        if np.abs(slope).max() <= tolerance / 10:
+            break
+        move, length = -np.linalg.solve(curve, slope), 1.0
+        while steps > 0:
+            steps -= 1
+            trial = at(y + length * move)
+            if trial[2] <= value + 1e-4 * length * (slope @ move) or length < 1e-6:
+                break
+            length /= 2
+        else:
+            break
+        y = y + length * move
+        off, curve, value = trial
+    return [float(x) for x in y], off, float(np.abs(y / firm - off).max())
 
 
 def mixed(

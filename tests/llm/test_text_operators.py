@@ -183,6 +183,30 @@ def test_mixing_matches_the_dense_solution(spark):
     assert np.allclose((got * tokens) @ p, list(target.values()), rtol=1e-3)
 
 
+def test_mixing_with_a_zero_weight_and_too_much_of_a_domain(spark):
+    rng = np.random.default_rng(1)
+    kind = rng.choice(3, 400, p=[0.6, 0.1, 0.3])
+    p = np.stack([rng.dirichlet([20 if k == d else 0.6 for k in range(3)]) for d in kind])
+    tokens = rng.integers(1, 2000, 400)
+    table = spark.createDataFrame([(int(t), [float(x) for x in row]) for t, row in zip(tokens, p)], "tokens bigint, posterior array<double>")
+    with pytest.warns(UserWarning, match="out of reach"):
+        rate, target = mixing.fitted_rate(table, {"clean": 0.98, "rough": 0.0, "toxic": 0.02}, "clean", 1.0)
+    got, goal = np.array([r[0] for r in table.select(rate).collect()]), np.array(list(target.values()))
+    scale = 1 / np.maximum(goal, mixing.FLOOR * goal.sum())
+    off = (got * tokens) @ p - goal
+    # No rate within its bounds can be changed to less: the gap to the minimum is closed.
+    slope = p @ (scale * off)
+    assert (tokens * slope * (got - (slope < 0))).sum() <= 1e-3 * (scale * off * off).sum()
+    totals = off + goal
+    assert totals[2] < 0.05 * totals.sum() and totals[1] < 0.03 * totals.sum() and (tokens @ p)[2] > 0.25 * tokens.sum()
+    assert got[kind == 0].mean() > 0.8 and got[kind == 2].max() < 0.5
+    hard = spark.createDataFrame([(100, [1.0, 0.0, 0.0])] * 9 + [(50, [0.0, 0.0, 1.0])] * 9 + [(30, [0.0, 1.0, 0.0])], "tokens bigint, posterior array<double>")
+    rate, target = mixing.fitted_rate(hard, {"clean": 0.98, "rough": 0.0, "toxic": 0.02}, "clean", 1.0)
+    rows = hard.select("tokens", "posterior", rate.alias("rate")).collect()
+    for k, goal in enumerate(target.values()):
+        assert abs(sum(r.rate * r.tokens * r.posterior[k] for r in rows) - goal) < 1e-3 * sum(target.values())
+
+
 def test_mixing_edges(spark):
     rows = [(1, "good words here"), (1, "good words here"), (None, None), (3, ""), (4, "bad stuff"), (5, "good words again")]
     labels = spark.createDataFrame([(1, "a"), (4, "b"), (5, "a"), (5, "b"), (None, "a"), (9, "b"), (3, None), (4, "zzz")], "doc_id bigint, domain string")
