@@ -159,6 +159,24 @@ def test_licenses(spark):
     assert licenses.scan_licenses(frame(spark, rows), licenses.template_table(spark, [("none", "too short")])).count() == 0
 
 
+def test_licenses_of_few_words(spark):
+    filler = " ".join(f"q{i}" for i in range(100))
+    rows = [
+        (1, filler + "\nAll rights reserved."), (2, "All rights reserved."), (3, filler + " all rights"), (4, "rights reserved all"), (5, f"{filler} MIT License {filler}"),
+        (6, "// SPDX-License-Identifier: Apache-2.0\n" + filler), (7, "Apache-2.0"), (8, "all\nreserved rights"), (9, f"{filler} BSD-3-Clause"), (10, "mit"),
+    ]
+    got = {(r.doc_id, r.license): (r.first_word, r.last_word, r.containment) for r in licenses.scan_licenses(frame(spark, rows), licenses.template_table(spark)).collect()}
+    assert got == {
+        (1, "proprietary"): (100, 102, 1.0), (2, "proprietary"): (0, 2, 1.0), (5, "MIT"): (100, 101, 1.0), (6, "Apache-2.0"): (0, 5, 1.0),
+        (7, "Apache-2.0"): (0, 2, 1.0), (9, "BSD"): (100, 102, 1.0),
+    }
+    own = licenses.template_table(spark, [("one", "Foo"), ("blank", " -- "), ("four", "a b c d"), ("five", "a b c d e")])
+    assert {(r.doc_id, r.license) for r in licenses.scan_licenses(frame(spark, [(1, "x foo"), (2, "a b c d"), (3, "z a b c d e")]), own).collect()} == {
+        (1, "one"), (2, "four"), (3, "four"), (3, "five")
+    }
+    assert licenses.scan_licenses(frame(spark, rows), licenses.template_table(spark, [])).count() == 0
+
+
 def test_mixing_matches_the_dense_solution(spark):
     rng = np.random.default_rng(0)
     p = rng.dirichlet([0.3, 0.2, 0.1], 300)
