@@ -44,13 +44,15 @@ def domain_posteriors(
     probability per domain, in the order given).
 
     Naive Bayes over BUCKETS hashed words, learned from at most *max_training* rows of *labeled*
-    (id, domain; the first by hash of the identifier). A document with two domains trains nothing,
+    (id, domain; the first by hash of the identifier) whose documents are in *docs*; the domains'
+    shares are theirs too. A document with two domains trains nothing,
     nor does a null or unknown one. Empty and null texts have no tokens and get the domains' shares.
     Every row of *docs* gets its row, whatever its identifier.
     """
     own = labeled.select(F.col(id_col).cast("bigint").alias("id"), F.col(domain_col).alias("domain")).where(F.col("id").isNotNull() & F.col("domain").isin(*domains))
     own = own.groupBy("id").agg(F.min("domain").alias("domain"), F.max("domain").alias("most")).where("domain = most")
-    own = own.orderBy(F.xxhash64("id"), "id").limit(max_training).select("id", "domain")
+    own = own.join(docs.select(F.col(id_col).cast("bigint").alias("id")), "id", "left_semi")
+    own = written(own.orderBy(F.xxhash64("id"), "id").limit(max_training).select("id", "domain"), "mixing-labels")
     bucket = F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket")
     words = F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\s\x0B]+")
     # max_training rows of two short values, and BUCKETS rows of K numbers: proven bounds.

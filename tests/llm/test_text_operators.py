@@ -236,6 +236,16 @@ def test_mixing_edges(spark):
     assert all(r.rate == 1 for r in mixing.mixed(frame(spark, [(1, ""), (2, None)]), labels, {"a": 0.5, "b": 0.5}).collect())
 
 
+def test_mixing_learns_from_labels_of_its_documents(spark):
+    docs = frame(spark, [(1, "good words here"), (2, "bad stuff"), (3, "")])
+    schema = "doc_id bigint, domain string"
+    near = spark.createDataFrame([(1, "a"), (2, "b")], schema)
+    more = near.unionByName(spark.createDataFrame([(i, "b") for i in range(100, 180)], schema))
+    want = {r.doc_id: r.posterior for r in mixing.domain_posteriors(docs, near, ["a", "b"]).collect()}
+    got = {r.doc_id: r.posterior for r in mixing.domain_posteriors(docs, more, ["a", "b"], max_training=2).collect()}
+    assert got == want and np.allclose(got[3], 0.5)
+
+
 def test_quality_ranks_and_holds_out(spark):
     rng = random.Random(5)
     rows = [(i, prose(rng, 80) if i % 4 else " ".join(f"{w.upper()}!!" for w in prose(rng, 80).split())) for i in range(300)] + [(900, ""), (901, None), (None, "a b")]
