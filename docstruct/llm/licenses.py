@@ -127,29 +127,29 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     bands = known.select("template", F.explode(starts(F.size("s"))).alias("at"), "s").select("template", F.posexplode(_bands(F.slice("s", F.col("at") + 1, WINDOW))).alias("band", "least")).distinct()
 
     # The one pass over the texts.
-    words = docs.select(F.col(id_col).cast("bigint").alias("id"), word_list(F.col(text_col)).alias("w")).where(F.size("w") >= widths[0])
-    placed = words.select("id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - widths[0])).alias("pos"))
-    placed = placed.select("id", "w", "pos", F.explode(F.array(*[F.struct(F.lit(k).alias("width"), _shingle("w", F.col("pos"), k).alias("s")) for k in widths])).alias("x"))
-    placed = placed.select("id", "w", "pos", "x.width", "x.s").where(F.col("pos") + F.col("width") <= F.size("w"))
+    words = docs.select(F.col(id_col).cast("bigint").alias("id"), F.monotonically_increasing_id().alias("row"), word_list(F.col(text_col)).alias("w")).where(F.size("w") >= widths[0])
+    placed = words.select("id", "row", "w", F.explode(F.sequence(F.lit(0), F.size("w") - widths[0])).alias("pos"))
+    placed = placed.select("id", "row", "w", "pos", F.explode(F.array(*[F.struct(F.lit(k).alias("width"), _shingle("w", F.col("pos"), k).alias("s")) for k in widths])).alias("x"))
+    placed = placed.select("id", "row", "w", "pos", "x.width", "x.s").where(F.col("pos") + F.col("width") <= F.size("w"))
     placed = placed.join(F.broadcast(shingles.select("width", "s").distinct()), ["width", "s"])
     half = WINDOW // 2
     window = F.floor(F.col("pos") / half).cast("int")
-    hits = placed.select("id", "pos", "width", "s", window.alias("win"), F.slice("w", F.greatest(window - 1, F.lit(0)) * half + 1, F.col("width") + WINDOW + half - 1).alias("near"))
-    hits = written(hits, "license-hits")
+    hits = placed.select("id", "row", "pos", "width", "s", window.alias("win"), F.slice("w", F.greatest(window - 1, F.lit(0)) * half + 1, F.col("width") + WINDOW + half - 1).alias("near"))
+    hits = written(hits, "license-hits")  # from here on "row" is fixed; an identifier may stand in several rows
 
     # Windows around the hits, hashed once each.
     offset = F.least("win", F.lit(1))  # the slice begins a window earlier, except in the first
-    both = hits.select("id", "width", "near", F.explode(F.array(F.struct(F.col("win").alias("win"), (offset * half).alias("from")), F.struct((F.col("win") - 1).alias("win"), F.lit(0).alias("from")))).alias("x"))
-    both = both.select("id", "width", "x.win", F.slice("near", F.col("x.from") + 1, F.col("width") + WINDOW - 1).alias("near")).where("win >= 0 AND size(near) >= width").dropDuplicates(["id", "width", "win"])
-    windows = both.select("id", "win", F.posexplode(_bands(_by_width(widths, lambda k: _shingles("near", k)))).alias("band", "least"))
-    retrieved = windows.join(F.broadcast(bands), ["band", "least"]).select("id", "win", "template").distinct()
+    both = hits.select("row", "width", "near", F.explode(F.array(F.struct(F.col("win").alias("win"), (offset * half).alias("from")), F.struct((F.col("win") - 1).alias("win"), F.lit(0).alias("from")))).alias("x"))
+    both = both.select("row", "width", "x.win", F.slice("near", F.col("x.from") + 1, F.col("width") + WINDOW - 1).alias("near")).where("win >= 0 AND size(near) >= width").dropDuplicates(["row", "width", "win"])
+    windows = both.select("row", "win", F.posexplode(_bands(_by_width(widths, lambda k: _shingles("near", k)))).alias("band", "least"))
+    retrieved = windows.join(F.broadcast(bands), ["band", "least"]).select("row", "win", "template").distinct()
 
     # Exact containment of the template around each retrieving window.
     claims = retrieved.join(F.broadcast(shingles.select("template", "width", "size", "long", "s")), "template")
-    found = claims.join(hits.select("id", "pos", "s"), [claims["id"].eqNullSafe(hits["id"]), claims["s"] == hits["s"]]).where(
-        (F.col("pos") >= claims["win"] * half - F.col("long")) & (F.col("pos") < claims["win"] * half + WINDOW + F.col("long"))
-    ).select(claims["id"], claims["win"], "template", claims["width"], "size", claims["s"], "pos")
-    found = found.groupBy("id", "win", "template", "size").agg(
+    found = claims.join(hits.select("id", "row", "pos", "s"), ["row", "s"]).where(
+        (F.col("pos") >= F.col("win") * half - F.col("long")) & (F.col("pos") < F.col("win") * half + WINDOW + F.col("long"))
+    )
+    found = found.groupBy("id", "row", "win", "template", "size").agg(
         F.count_distinct("s").alias("shared"), F.min("pos").alias("first"), (F.max("pos") + F.first("width") - 1).alias("last")
     ).withColumn("containment", F.col("shared") / F.col("size")).where(F.col("containment") >= containment)
     named = found.join(F.broadcast(known.select("template", "license")), "template")

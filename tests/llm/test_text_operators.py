@@ -177,6 +177,13 @@ def test_licenses_of_few_words(spark):
     assert licenses.scan_licenses(frame(spark, rows), licenses.template_table(spark, [])).count() == 0
 
 
+def test_licenses_of_rows_that_share_an_identifier(spark):
+    first, second = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    rows = [(None, "x " + first), (None, "x " + second), (1, second), (1, first), (1, "x y z")]
+    got = licenses.scan_licenses(frame(spark, rows).repartition(5), licenses.template_table(spark)).collect()
+    assert {(r.doc_id, r.license) for r in got} == {(i, n) for i in (None, 1) for n in ("MIT", "Apache-2.0")} and len(got) == 4
+
+
 def test_mixing_matches_the_dense_solution(spark):
     rng = np.random.default_rng(0)
     p = rng.dirichlet([0.3, 0.2, 0.1], 300)
