@@ -3,7 +3,9 @@
 The vocabulary of a given model file is used; nothing is trained. Text is escaped as the model
 does (a leading space, spaces as U+2581), cut where no piece can reach across, and each unit is
 merged by an agenda: candidates come off it in order of score, and a keyed hash of (seed, document,
-unit, place, piece) decides which are skipped. Characters without a piece become bytes. Whatever is
+number of the unit in it, place, piece) decides which are skipped. What a unit gives without skips is
+remembered with the candidates met on the way; an occurrence whose own hash skips none of them gives
+the same, and every other is merged on its own. Characters without a piece become bytes. Whatever is
 skipped, the pieces of a unit spell the unit, so decoding gives the text back byte for byte.
 
 With `dropout` 0 the ids are those of the SentencePiece library.
@@ -14,7 +16,6 @@ from __future__ import annotations
 import gc
 import heapq
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +29,24 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LITERAL = "\ud800"  # stands for a U+2581 of the text itself
 MASK = 0xFFFFFFFF
-VARIANTS = 8  # segmentations of one word that occur, chosen per occurrence
-CACHED = 40_000  # units per variant that a task remembers
+CACHED = 300_000  # units that a task remembers
 SHORT = 24  # characters of units that are merged many at a time
 CHUNK_CHARS = 1 << 20
 NEVER = np.iinfo(np.int32).max
 
 
+def _candidate(place, piece):
+    """The part of a candidate's hash that is the same in all occurrences of a unit."""
+    return (place * 0x9E3779B1 ^ piece * 0x85EBCA77) & MASK
+
+
+def _hash(key, candidate):
+    """Numbers or arrays of them, of 32 bits."""
+    h = ((key ^ candidate) & MASK) * 0xC2B2AE3D & MASK
+    h = (h ^ h >> 15) * 0x27D4EB2F & MASK
+    return h ^ h >> 13
+
+
 class Pieces:
     """The merges and the byte table of a BPE model."""
 
@@ -89,11 +101,13 @@ class Pieces:
         hit = (self.pair[at] == key) & (left >= 0) & (right >= 0)
         return np.where(hit, self.order[at], NEVER), self.made[at]
 
-    def merge_many(self, units: list[str], keys: list[int], limit: int) -> list[tuple[int, ...]]:
-        """`merge` of many units of one length, a step of all agendas at a time."""
+    def merge_many(self, units: list[str], keys: list[int] | np.ndarray, limit: int, traced: bool = False) -> tuple[list[tuple[int, ...]], list[list[int]]]:
+        """`merge` of many units of one length, a step of all agendas at a time; and with *traced* the
+        candidates of each, as the part of their hash that has no key."""
         n, length = len(units), len(units[0])
         flat = self.of_char[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        symbols, key = flat.reshape(n, length).astype(np.int64), np.array(keys, np.int64)
+        symbols, key = flat.reshape(n, length).astype(np.int64), np.asarray(keys, np.int64)
+        met: list[tuple[np.ndarray, np.ndarray]] = []
         after = np.tile(np.arange(1, length + 1), (n, 1))
         before = after - 2
         alive = np.ones((n, length), bool)
@@ -109,10 +123,10 @@ class Pieces:
                 break
             piece = made[row, at]
             r, i = row, at
+            if traced:
+                met.append((r, _candidate(i, piece)))
             if limit:
-                h = ((key[r] ^ i * 0x9E3779B1 ^ piece * 0x85EBCA77) & MASK) * 0xC2B2AE3D & MASK
-                h = (h ^ h >> 15) * 0x27D4EB2F & MASK
-                skipped = h ^ h >> 13 < limit
+                skipped = _hash(key[r], _candidate(i, piece)) < limit
                 rank[r[skipped], i[skipped]] = NEVER
                 r, i, piece = r[~skipped], i[~skipped], piece[~skipped]
             j = after[r, i]
@@ -134,7 +148,11 @@ class Pieces:
         for i in np.flatnonzero((alive & (symbols < 0)).any(1)).tolist():
             places = np.flatnonzero(alive[i]).tolist()
             out[i] = tuple(x for s, a in zip(out[i], places) for x in ([s] if s >= 0 else self._as_bytes(units[i][a])))
-        return out
+        traces: list[list[int]] = [[] for _ in units] if traced else []
+        for r, c in met:
+            for x, y in zip(r.tolist(), c.tolist()):
+                traces[x].append(y)
+        return out, traces
 
     def _as_bytes(self, character: str) -> list[int]:
         raw = SPACE.encode() if character == LITERAL else character.encode("utf-8", "surrogateescape")
@@ -143,8 +161,8 @@ class Pieces:
     def escaped(self, text: str) -> str:
         return (" " + text).replace(SPACE, LITERAL).replace(" ", SPACE) if text else ""
 
-    def merge(self, unit: str, key: int, limit: int) -> tuple[int, ...]:
-        """Ids of one unit; candidates whose hash is below *limit* are skipped."""
+    def merge(self, unit: str, key: int, limit: int, trace: list[int] | None = None) -> tuple[int, ...]:
+        """Ids of one unit; candidates whose hash is below *limit* are skipped, and all are added to *trace*."""
         ids, rank = self.ids, self.rank
         symbols = list(unit)
         n = len(symbols)
@@ -160,11 +178,10 @@ class Pieces:
                 _, i, j, piece = heapq.heappop(agenda)
                 if symbols[i] is None or after[i] != j or symbols[j] is None or symbols[i] + symbols[j] != piece:
                     continue
-                if limit:
-                    h = ((key ^ i * 0x9E3779B1 ^ ids[piece] * 0x85EBCA77) & MASK) * 0xC2B2AE3D & MASK
-                    h = (h ^ h >> 15) * 0x27D4EB2F & MASK
-                    if h ^ h >> 13 < limit:
-                        continue
+                if trace is not None:
+                    trace.append(_candidate(i, ids[piece]))
+                if limit and _hash(key, _candidate(i, ids[piece])) < limit:
+                    continue
                 symbols[i], symbols[j] = piece, None
                 k = after[i] = after[j]
                 if k < n:
@@ -192,70 +209,99 @@ class Pieces:
 
 
 class Encoder:
-    def __init__(self, pieces: Pieces, dropout: float, seed: int, variants: int = VARIANTS, cached: int = CACHED):
+    variants = 1  # what is remembered of a unit has no skips in it
+
+    def __init__(self, pieces: Pieces, dropout: float, seed: int, cached: int = CACHED):
         self.pieces, self.seed, self.cached = pieces, seed, cached
         self.limit = int(dropout * (MASK + 1))
-        self.variants = variants if self.limit else 1
-        self.known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
+        self.known: list[dict[str, tuple[tuple[int, ...], tuple[int, ...]]]] = [{}]  # ids without skips, candidates
 
     def encode(self, texts: list[str], documents: list[int]) -> list[list[int]]:
-        units = [self.pieces.unit.findall(self.pieces.escaped(t)) for t in texts]
-        picks = [self._picks(d, len(u)) for d, u in zip(documents, units)]
-        for table in self.known:
-            if len(table) >= self.cached:
-                table.clear()
-        known = self.known
-        missing = {(v, u) for us, vs in zip(units, picks) for u, v in zip(us, vs) if u not in known[v]}
-        self._learn(missing)
-        out = []
-        for us, vs in zip(units, picks):
-            ids: list[int] = []
-            for u, v in zip(us, vs):
-                ids += known[v][u]
-            out.append(ids)
-        for v, u in missing:
-            if len(u) > SHORT:  # too rare and too large to keep
-                known[v].pop(u, None)
+        per_text = [self.pieces.unit.findall(self.pieces.escaped(t)) for t in texts]
+        flat = [u for us in per_text for u in us]
+        if not flat:
+            return [[] for _ in texts]
+        if len(self.known[0]) >= self.cached:
+            self.known[0].clear()
+        known = self.known[0]
+        number: dict[str, int] = {}
+        which = np.array([number.setdefault(u, len(number)) for u in flat], np.int64)
+        # Longer units are too rare and too large to keep, and hardly ever without a skip.
+        longer = {u for u in number if len(u) > SHORT} if self.limit else set()
+        self._learn({(0, u) for u in number if u not in known and u not in longer})
+        lists = [() if u in longer else known[u][0] for u in number]
+        at = which  # where in lists the ids of each occurrence are
+        if self.limit:
+            keys = np.concatenate([self._keys(d, len(us)) for d, us in zip(documents, per_text)])
+            traces = [() if u in longer else known[u][1] for u in number]
+            at = which.copy()
+            again: dict[int, list[int]] = {}
+            for o in self._skipping(which, keys, traces, np.array([u in longer for u in number])).tolist():
+                again.setdefault(len(flat[o]), []).append(o)
+            for length, some in again.items():
+                at[some] = np.arange(len(lists), len(lists) + len(some))
+                if 1 < length <= SHORT and len(some) > 8 and self.pieces.whole:
+                    for start in range(0, len(some), 8192):
+                        part = some[start : start + 8192]
+                        lists += self.pieces.merge_many([flat[o] for o in part], keys[part], self.limit)[0]
+                else:
+                    lists += [self.pieces.merge(flat[o], int(keys[o]), self.limit) for o in some]
+        for u in number:
+            if len(u) > SHORT:
+                known.pop(u, None)
+        out, places, start = [], at.tolist(), 0
+        for us in per_text:
+            out.append([i for x in places[start : start + len(us)] for i in lists[x]])
+            start += len(us)
         return out
 
-    def _picks(self, document: int, n: int) -> list[int]:
-        """Which variant each unit of a document takes."""
-        if self.variants == 1:
-            return [0] * n
+    def _keys(self, document: int, n: int) -> np.ndarray:
+        """A key of 32 bits for each unit of a document."""
         with np.errstate(over="ignore"):
             start = np.array([(document * 0x9E3779B97F4A7C15 + self.seed * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF], np.uint64)
-            return (mix(start + np.arange(n, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) % np.uint64(self.variants)).tolist()
+            return (mix(start + np.arange(n, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)).astype(np.int64)
+
+    def _skipping(self, which: np.ndarray, keys: np.ndarray, traces: list[tuple[int, ...]], always: np.ndarray) -> np.ndarray:
+        """The occurrences that skip a candidate of their unit's trace, and those of units *always*."""
+        sizes = np.array([len(t) for t in traces], np.int64)
+        table = np.zeros((len(traces), max(int(sizes.max()), 1)), np.int64)
+        table[np.arange(table.shape[1]) < sizes[:, None]] = np.array([c for t in traces for c in t], np.int64)
+        skips = always[which]
+        some = np.arange(len(which))
+        for step in range(table.shape[1]):
+            some = some[sizes[which[some]] > step]
+            skips[some] |= _hash(keys[some], table[which[some], step]) < self.limit
+        return np.flatnonzero(skips)
 
     def _learn(self, missing: set[tuple[int, str]]) -> None:
-        by_length: dict[int, list[tuple[int, str]]] = {}
-        for v, u in missing:
-            by_length.setdefault(len(u), []).append((v, u))
+        known = self.known[0]
+        by_length: dict[int, list[str]] = {}
+        for _, u in missing:
+            by_length.setdefault(len(u), []).append(u)
         for length, some in by_length.items():
-            salt = [(self.seed * 1_000_003 + v * 7919) & MASK for v in range(self.variants)]
-            keys = [zlib.crc32(u.encode("utf-8", "surrogatepass"), salt[v]) for v, u in some]
             if 1 < length <= SHORT and len(some) > 8 and self.pieces.whole:
                 for start in range(0, len(some), 8192):
                     part = some[start : start + 8192]
-                    for (v, u), ids in zip(part, self.pieces.merge_many([u for _, u in part], keys[start : start + 8192], self.limit)):
-                        self.known[v][u] = ids
+                    for u, ids, trace in zip(part, *self.pieces.merge_many(part, [0] * len(part), 0, traced=True)):
+                        known[u] = ids, tuple(trace)
             else:
-                for (v, u), key in zip(some, keys):
-                    self.known[v][u] = self.pieces.merge(u, key, self.limit)
+                for u in some:
+                    trace: list[int] = []
+                    known[u] = self.pieces.merge(u, 0, 0, trace), tuple(trace)
 
 
 def encode(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1, seed: int = 1, model: str = MODEL, variants: int = VARIANTS,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1, seed: int = 1, model: str = MODEL,
 ) -> DataFrame:
     """*docs* with further columns n_tokens and token_ids (array<int>).
 
-    The ids depend on the text, the identifier (null counts as 0), *seed*, *dropout* and *variants*
-    only, not on how rows are dealt out. A null or empty text has no ids. Rows that repeat an
+    The ids depend on the text, the identifier (null counts as 0), *seed* and *dropout* only, not on how rows are dealt out. A null or empty text has no ids. Rows that repeat an
     identifier and text get the same ids. An empty table gives an empty result. Columns of *docs*
     that bear the names of the new ones are replaced.
     """
     docs = docs.drop("n_tokens", "token_ids")
     schema = f"{docs._jdf.schema().toDDL()}{', ' if docs.columns else ''}n_tokens bigint, token_ids array<int>"
-    return docs.mapInArrow(_encoded(docs.columns.index(id_col), docs.columns.index(text_col), dropout, seed, model, variants), schema)
+    return docs.mapInArrow(_encoded(docs.columns.index(id_col), docs.columns.index(text_col), dropout, seed, model), schema)
 
 
 def decode(encoded: DataFrame, ids_col: str = "token_ids", out_col: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -264,9 +310,9 @@ def decode(encoded: DataFrame, ids_col: str = "token_ids", out_col: str = "decod
     return rows.mapInArrow(_decoded(rows.columns.index(ids_col), model, out_col), f"{rows._jdf.schema().toDDL()}, `{out_col}` binary").withColumn(out_col, F.col(out_col).cast("string"))
 
 
-def _encoded(id_at: int, text_at: int, dropout: float, seed: int, model: str, variants: int):
+def _encoded(id_at: int, text_at: int, dropout: float, seed: int, model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Pieces(model), dropout, seed, variants)
+        encoder = Encoder(Pieces(model), dropout, seed)
         gc.disable()  # millions of small tuples, none of them in a cycle
         for batch in batches:
             names = [*batch.schema.names, "n_tokens", "token_ids"]

@@ -296,6 +296,35 @@ def test_pieces_round_trip(spark):
     assert back == "61FF20C328E29681"
 
 
+def test_pieces_skip_by_occurrence():
+    model = pieces.Pieces(pieces.MODEL)
+    unit = next(u for u in (pieces.SPACE + w for w in ("to", "of", "in", "is")) if model.merge(u, 0, 0) == (model.ids[u],))
+    n, limit = 20_000, int(0.1 * 2**32)
+    encoder = pieces.Encoder(model, 0.1, 1)
+    text = " ".join([unit[1:]] * n)
+    (ids,) = encoder.encode([text], [7])
+    # Each occurrence draws on its own: whole as often as over random keys.
+    rng = random.Random(7)
+    chance = sum(model.merge(unit, rng.randrange(2**32), limit) == (model.ids[unit],) for _ in range(n)) / n
+    assert abs(sum(i == model.ids[unit] for i in ids) / n - chance) < 0.01
+    word = pieces.SPACE + "internationalization"
+    many = set()
+    for d in range(400):
+        many.add(tuple(encoder.encode([word[1:]], [d])[0]))
+    assert len(many) > 8
+    for text in ("".join(rng.choice("aeinrst lo,日\ud800") for _ in range(3000)), "lorem" * 60 + " and lorem " + "日本" * 30):
+        keys = encoder._keys(9, len(units := model.unit.findall(model.escaped(text)))).tolist()
+        want = [i for u, k in zip(units, keys) for i in model.merge(u, k, limit)]
+        assert encoder.encode([text], [9]) == [want]
+        for other in (encoder.encode(["a b", text, ""], [1, 9, 2])[1], pieces.Encoder(model, 0.1, 1).encode([text], [9])[0]):
+            assert other == want
+    for length in (2, 5, 13):
+        some = ["".join(rng.choice("▁aeinrstlo,日\ud800") for _ in range(length)) for _ in range(300)]
+        keys = [rng.randrange(2**32) for _ in some]
+        for chance in (0, limit, 6 * limit):
+            assert model.merge_many(some, keys, chance)[0] == [model.merge(u, k, chance) for u, k in zip(some, keys)]
+
+
 def test_pieces_without_dropout_are_the_library_s():
     import sentencepiece
 
