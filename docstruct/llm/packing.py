@@ -17,8 +17,10 @@ ever gathered.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ GROUPS = 256
 CACHED_WORDS = 1_000_000
 CHUNK_BYTES = 1 << 21
 PUNCTUATION = b".,;:!?"
+#: Letters up to U+00FF: case and composition keep each of them one letter.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", end: int = 0) -> DataFrame:
@@ -45,7 +49,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str =
     ids = rows.schema["id"].dataType.simpleString()
     schema = f"id {ids}, piece int, start bigint, length bigint, ids_crc32 bigint, task int, rank bigint"
     with open(tokenizer, encoding="utf-8") as f:
-        model = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: a few MB
+        model = docs.sparkSession.sparkContext.broadcast({"vocabulary": f.read()})  # a few MB
     return rows.mapInArrow(_cut(model, capacity, end), schema)
 
 
@@ -71,32 +75,20 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "d
 
 class Words:
     """Token ids of texts, word by word: white space and the vocabulary's own rules separate words, so a text's
-    ids are those of its words one after the other."""
+    ids are those of its words one after the other. Words keep a number, at which their ids lie in one array."""
 
     def __init__(self, model: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run of letters
+        self.closes[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.sizes, self.starts = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        self._add(words, [e.ids for e in found])
-
-    def _add(self, words: list[bytes], ids: list) -> None:
-        if words:
-            self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for some in ids for i in some), np.uint32)])
-            self.sizes = np.concatenate([self.sizes, np.array([len(some) for some in ids], np.int64)])
-            self.starts = np.cumsum(self.sizes) - self.sizes
-
-    def _ids(self, word: bytes) -> np.ndarray:
-        k = self.known[word]
-        return self.flat[self.starts[k] : self.starts[k] + self.sizes[k]]
+        self.known = Numbered()
+        self.flat, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of *texts* in a row, and how many each text has."""
@@ -104,20 +96,67 @@ class Words:
             self.clear()
         # Of bytes: ASCII letters and white space only. Special tokens are matched before letters are lowered.
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        # Vocabulary rules always part a letter or digit from the punctuation after it.
-        ends = {w: stem for w in new if (stem := w.rstrip(PUNCTUATION)) != w and stem[-1:].isalnum()}
-        self._learn([*{w for w in new if w not in ends}.union(ends.values(), (w[len(stem) :] for w, stem in ends.items())).difference(known)])
-        self._add([*ends], [np.concatenate((self._ids(stem), self._ids(w[len(stem) :]))) for w, stem in ends.items()])
-        flat, sizes = self.flat, self.sizes
-        words = np.fromiter((known[w] for words in split for w in words), np.int64)
-        n = sizes[words]
+        counts = [len(words) for words in split]
+        words = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
+        self._learn()
+        ids, ends = self._joined(words)
+        return ids, np.diff(np.concatenate(([0], ends))[np.cumsum(counts, dtype=np.int64)], prepend=0)
+
+    def _joined(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words in a row, and where each word's end."""
+        n = self.sizes[words]
         ends = np.cumsum(n)
-        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[words] - (ends - n), n)]
-        last = np.cumsum([len(words) for words in split])
-        upto = np.concatenate(([0], ends))[last]
-        return ids, np.diff(upto, prepend=0)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[words] - (ends - n), n)], ends
+
+    def _learn(self) -> None:
+        """The ids of the words that got a number since the last call."""
+        at, names = len(self.sizes), self.known.names
+        if at == len(names):
+            return
+        # Vocabulary rules always part a letter or digit from the punctuation after it.
+        split = {}
+        for number in range(at, len(names)):
+            stem = names[number].rstrip(PUNCTUATION)
+            if len(stem) < len(names[number]) and stem[-1:].isalnum():
+                split[number] = self.known[stem], self.known[names[number][len(stem) :]]
+        whole = [k for k in range(at, len(names)) if k not in split]
+        letters = [k for k in whole if LETTERS(names[k])]
+        others = sorted({*whole}.difference(letters))
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([names[k].decode("utf-8", "replace") for k in others], add_special_tokens=False)]
+        # Runs of letters are encoded in one text; each ends with the only id of its own that closes a run.
+        run = b" ".join([names[k] for k in letters]).decode()
+        run = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids if letters else [], np.uint32)
+        ends = np.flatnonzero(self.closes[run]) + 1
+        sizes = np.zeros(len(names), np.int64)
+        sizes[:at] = self.sizes
+        sizes[others] = [len(ids) for ids in found]
+        sizes[letters] = np.diff(ends, prepend=0)
+        order = np.array(others + letters, np.int64)
+        starts = np.zeros(len(names), np.int64)
+        starts[:at] = self.starts
+        starts[order] = len(self.flat) + np.cumsum(sizes[order]) - sizes[order]
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32), run])
+        self.starts, self.sizes = starts, sizes
+        if split:
+            numbers = np.fromiter(split, np.int64)
+            ids, ends = self._joined(np.array([*split.values()], np.int64).ravel())
+            ends = ends[1::2]
+            self.sizes[numbers] = np.diff(ends, prepend=0)
+            self.starts[numbers] = len(self.flat) + ends - self.sizes[numbers]
+            self.flat = np.concatenate([self.flat, ids])
+
+
+class Numbered(dict):
+    """Words by number; a word not seen before gets the next one."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.names: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.names)
+        self.names.append(word)
+        return number
 
 
 def _cut(model, capacity: int, end: int):
@@ -128,7 +167,9 @@ def _cut(model, capacity: int, end: int):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
-        words, seen = Words(model.value), np.zeros(capacity + 1, np.int64)
+        # A worker's later tasks find the words that its earlier ones have met.
+        words, seen = model.value.setdefault("words", None) or Words(model.value["vocabulary"]), np.zeros(capacity + 1, np.int64)
+        model.value["words"] = words
         for batch in batches:
             start = 0
             sizes = pc.binary_length(batch.column("text")).to_numpy()
