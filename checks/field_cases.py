@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import case
 from checks.scoring_cases import score, toks
+from checks.structure_cases import DOC
 from checks.views import EXPECTED, Views
 from docstruct.operators import fields as J
 from docstruct.operators import match as M
@@ -60,7 +61,7 @@ EXPECTED["wrote"] = f"""SELECT run, model, doc_id, field, model_field, model_val
     WHEN kind = 'identifier' THEN CASE WHEN {norm_id('model_value')} = {norm_id('reference_value')} THEN '' ELSE 'identifier differs' END
     WHEN kind = 'date' THEN CASE WHEN {norm_date('model_value')} = {norm_date('reference_value')} THEN '' ELSE 'different day' END
     WHEN kind = 'controlled' THEN CASE WHEN {norm('model_value')} = {norm('reference_value')} THEN '' ELSE 'different value' END
-    WHEN share >= 0.75 THEN '' ELSE concat('only ', CAST(round(share * 100) AS BIGINT), '% of the words are in the reference') END AS reason
+    WHEN share >= 0.75 THEN '' ELSE concat('only ', CAST(round(share * 100) AS BIGINT), '% of the model''s words are in the reference') END AS reason
   FROM (SELECT *, {KIND} AS kind, {score(toks('model_value'), toks('reference_value'))} AS share FROM {{paired}}) x) y"""
 EXPECTED["judged_rows"] = f"""SELECT * FROM {{wrote}} UNION ALL
 SELECT v.run, v.model, r.doc_id, r.path, NULL, NULL, r.value, 'Missed', '' FROM {{ref_leaves}} r JOIN {{valid_records}} v USING (doc_id)
@@ -106,9 +107,7 @@ def scores(found: str) -> str:
 
 
 def judged(v: Views):
-    ref = J.leaves(v("references"), keys=("doc_id",))
-    records = v("records")
-    return J.judge(J.aligned_leaves(records, v("references")), ref, J.split_invalid(records)[0])
+    return J.judge(v("records"), v("references"))
 
 
 def outcomes(v: Views):
@@ -192,8 +191,8 @@ def _(v):
     """SELECT doc_id, CAST(i AS BIGINT) AS item, lower(trim(json_extract_string(raw, '$.dmp.dataset[' || i || '].title'))) AS keys FROM {references}, (SELECT unnest([0, 1]) AS i) x""",
 )
 def _(v):
-    items = F.try_variant_get(F.try_parse_json("raw"), "$.dmp.dataset", "array<variant>")
-    return v("references").select("doc_id", F.posexplode(items).alias("item", "x")).select("doc_id", "item", F.array_join(J.item_keys(F.col("x")), ";").alias("keys"))
+    found = J.item_keys(v("references"), "dmp.dataset", keys=DOC)
+    return found.select("doc_id", F.col("item").cast("bigint").alias("item"), F.array_join("item_keys", ";").alias("keys"))
 
 
 @case(
@@ -201,13 +200,8 @@ def _(v):
     """SELECT run, model, doc_id, CASE (doc_id * 3 + CAST(right(model, 1) AS BIGINT) * 7 + CAST(right(run, 1) AS BIGINT) * 5) % 10 WHEN 0 THEN '1,0' WHEN 3 THEN '0' ELSE '0,1' END AS mapping FROM {valid_records}""",
 )
 def _(v):
-    def keys_of(c):
-        return F.transform(F.try_variant_get(F.try_parse_json(c), "$.dmp.dataset", "array<variant>"), J.item_keys)
-
-    ref = v("references").select("doc_id", keys_of("raw").alias("rk"))
-    both = v("records").select("run", "model", "doc_id", keys_of("raw").alias("mk")).where("mk IS NOT NULL").join(ref, "doc_id")
-    both = both.withColumn("owner", J.key_owners(F.col("rk")))
-    return both.select("run", "model", "doc_id", F.array_join(J.pair_items(F.col("mk"), F.col("owner"), F.size("rk")), ",").alias("mapping"))
+    pairs = J.pair_items(v("records"), v("references"), "dmp.dataset")
+    return pairs.select("run", "model", "doc_id", F.array_join("mapping", ",").alias("mapping"))
 
 
 @case("j11_aligned_leaves", "SELECT run, model, doc_id, path, mpath, value FROM {aligned}")
@@ -387,15 +381,27 @@ def _(v):
     return J.merge_records(first, second)
 
 
+# Records of five in six documents with a container under another name: owed there, and unknown here.
+OWED = {1: "dataset", 2: "distribution", 3: "metadata", 4: "contact_id", 5: "license"}
+EXPECTED["maimed"] = "SELECT run, model, doc_id, CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN replace(raw, '\"{n}\":', '\"x_{n}\":')" for k, n in OWED.items()) + " ELSE raw END AS raw FROM {valid_records}"
+
+
 @case(
     "j30_conformance",
     """SELECT run, model, doc_id, path, problem FROM (
       SELECT run, model, doc_id, 'dmp.note' AS path, 'extra' AS problem, 6 AS k FROM {valid_records} UNION ALL
-      SELECT run, model, doc_id, 'dmp.dataset[0].personal_data', 'not allowed value', 2 FROM {valid_records}) x
-    WHERE (doc_id * 3 + CAST(right(model, 1) AS BIGINT) * 7 + CAST(right(run, 1) AS BIGINT) * 5) % 10 = k""",
+      SELECT run, model, doc_id, 'dmp.dataset[0].personal_data', 'not allowed value', 2 FROM {valid_records} WHERE doc_id % 6 <> 1) x
+    WHERE (doc_id * 3 + CAST(right(model, 1) AS BIGINT) * 7 + CAST(right(run, 1) AS BIGINT) * 5) % 10 = k
+    UNION ALL SELECT run, model, doc_id, path, 'extra' FROM (SELECT run, model, doc_id, replace(replace(t.fullkey, '"', ''), '$.', '') AS path FROM {maimed} m, json_tree(m.raw) t WHERE starts_with(CAST(t.key AS VARCHAR), 'x_')) x
+    UNION ALL SELECT run, model, doc_id, replace(path, 'x_', ''), 'missing' FROM (SELECT run, model, doc_id, replace(replace(t.fullkey, '"', ''), '$.', '') AS path FROM {maimed} m, json_tree(m.raw) t WHERE starts_with(CAST(t.key AS VARCHAR), 'x_')) y
+    UNION ALL SELECT run, model, doc_id, replace(replace(t.fullkey, '"', ''), '$.', ''), 'empty list' FROM {maimed} m, json_tree(m.raw) t
+      WHERE t.type = 'ARRAY' AND CAST(t.key AS VARCHAR) IN ('distribution', 'metadata') AND CAST(t.value AS VARCHAR) = '[]' AND NOT contains(t.fullkey, 'x_dataset')""",
 )
 def _(v):
-    return J.conformance(J.leaves(v("records")))
+    raw = F.col("raw")
+    for k, name in OWED.items():
+        raw = F.when(F.col("doc_id") % 6 == k, F.replace(F.col("raw"), F.lit(f'"{name}":'), F.lit(f'"x_{name}":'))).otherwise(raw)
+    return J.conformance(J.record_nodes(v("records").withColumn("raw", raw)))
 
 
 @case("j31_split_invalid", "SELECT run, model, doc_id, 'not valid JSON' AS reason FROM {records} WHERE NOT json_valid(raw)")

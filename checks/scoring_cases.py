@@ -13,18 +13,11 @@ from docstruct.operators import confidence as C
 from docstruct.operators import match as M
 from docstruct.operators import metrics as A
 from docstruct.operators import nest as N
-from docstruct.operators.ordered import chunks_for
 from docstruct.plans import scoring as P
 
 # ---- Spark side --------------------------------------------------------------------------
 
 
-def has_large(v: Views) -> bool:
-    """A block gives at most three items (itself, a filled question, a filled title), so the
-    conversation lengths alone tell whether any document is too long for one row."""
-    return chunks_for(v("conversations"), ["conv_id"], M.MAX_ITEMS_IN_ROW // 3) is not None
-
-
 def slots_at(v: Views, path: P.EvaluationPath):
     n = chunks(v)
     return P.structure(v("gold_blocks"), path, DOC, n), P.structure(v("pred_blocks"), path, chunks=n)
@@ -32,7 +25,7 @@ def slots_at(v: Views, path: P.EvaluationPath):
 
 def matches(v: Views, path: P.EvaluationPath = P.PATH_A):
     gold, pred = slots_at(v, path)
-    return P.match_run(gold, pred, path, has_large=has_large(v))
+    return P.match_run(gold, pred, path, long_docs=long(v))
 
 
 def conf(v: Views, path: P.EvaluationPath = P.PATH_A):
@@ -343,7 +336,7 @@ def _(v):
 
 @case("a9_evaluate_run", "SELECT *, total - correct AS errors, round(correct / total, 6) AS accuracy, concat(correct, '/', total) AS formula FROM {acc} WHERE doc_id NOT IN (1, 2)")
 def _(v):
-    return P.evaluate_run(*slots_at(v, P.PATH_A), P.PATH_A, exclude=[1, 2], has_large=has_large(v))[0]
+    return P.evaluate_run(*slots_at(v, P.PATH_A), P.PATH_A, exclude=[1, 2], long_docs=long(v))[0]
 
 
 @case(
@@ -481,7 +474,7 @@ def _(v):
     FROM (SELECT CAST(0.75 AS DOUBLE) AS threshold, * FROM {{micro_a}} UNION ALL SELECT CAST(1 AS DOUBLE), * FROM {{micro_a_full}}) m JOIN {{micro_a}} b ON b.tag = m.tag""",
 )
 def _(v):
-    return P.threshold_sweep(*slots_at(v, P.PATH_A), P.PATH_A, [0.75, 1.0], has_large=has_large(v))
+    return P.threshold_sweep(*slots_at(v, P.PATH_A), P.PATH_A, [0.75, 1.0], long_docs=long(v))
 
 
 @case(

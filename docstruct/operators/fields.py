@@ -1,8 +1,7 @@
 """Comparing nested JSON records field by field.
 
-Records are JSON text, one per row, parsed to ``VARIANT`` and taken apart one level per step
-with built-in array functions, so a record's whole tree is never handed to Python. A record and
-its reference travel down together in one row; list items are paired on the way.
+Records are JSON text, one per row. `trees` takes them apart into rows; a record and its reference
+are walked together, list items paired on the way, so judging needs no join of fields.
 """
 
 from __future__ import annotations
@@ -16,16 +15,12 @@ from docstruct.functions.text import (
     bare_path, containment, field_kind, is_empty_value, norm_date, norm_id, norm_text, tokens,
 )
 from docstruct.labels import CONTAINMENT_THRESHOLD
+from docstruct.operators.trees import list_keys, list_pairs, nodes, paired_leaves
 
 RECORD = ("run", "model", "doc_id")
 VERDICTS = ["Correct", "Hallucinated", "Missed"]
 OUTCOMES = ["Correct", "Mismatch", "Missed"]
 
-# Keys that may hold one object or a list of them.
-ONE_OR_MANY = ["contact_id", "contributor_id", "creator_id", "metadata_standard_id"]
-# What identifies a list item, in order of preference.
-ITEM_KEYS = ["title", "name", "identifier", "license_ref"]
-
 # ---- taking records apart ----------------------------------------------------------------
 
 
@@ -33,207 +28,61 @@ def _as_map(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def _as_list(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "array<variant>")
-
-
-def _as_text(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "string")
-
-
-def deepest(df: DataFrame, *raws: str) -> int:
-    """Levels of containers in the deepest JSON text of the columns *raws*: one aggregate over the
-    texts, of which one number reaches the driver."""
-    def depth(raw: str) -> Column:
-        bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"(?s)\\.", ""), r'"[^"]*+"', ""), r"[^\[\]{}]", "")
-        step = lambda acc, c: F.struct(
-            (acc["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(acc["most"], acc["now"] + 1).alias("most")
-        )
-        start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-        return F.aggregate(F.filter(F.split(bare, ""), lambda c: c != ""), start, step, lambda acc: acc["most"])
-
-    return df.agg(F.max(F.greatest(F.lit(0), *[depth(raw) for raw in raws]))).first()[0] or 0
-
-
-def item_keys(item: Column) -> Column:
-    """The normalised values that identify a list item, best first, the host's title last."""
-    paths = [f"$.{k}" for k in ITEM_KEYS] + ["$.host.title"]
-    scalar = F.when(_as_map(item).isNull() & _as_list(item).isNull(), _as_text(item))
-    values = F.array(*[F.try_variant_get(item, p, "string") for p in paths], scalar)
-    return F.transform(F.filter(values, lambda v: ~is_empty_value(v)), norm_text)
-
-
-def key_owners(ref_keys: Column) -> Column:
-    """Reference keys in item order with the item they stand for; of equal keys the first's."""
-    listed = F.flatten(F.transform(ref_keys, lambda ks, j: F.transform(ks, lambda k: F.struct(k.alias("k"), j.alias("j")))))
-    alone = F.map_from_entries(
-        F.transform(F.array_distinct(F.transform(listed, lambda e: e["k"])), lambda k: F.struct(k, F.get(F.filter(listed, lambda e: e["k"] == k), F.lit(0))["j"]))
-    )
-    return F.transform(F.map_entries(alone), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("j")))
-
-
-def pair_items(model_keys: Column, owner: Column, n_ref: Column) -> Column:
-    """The reference index of every model item, from the items' keys (array of array of
-    string), the reference's `key_owners` and its number of items.
-
-    In turn: an equal key; a key whose words lie in a reference key (containment 0.75); the same
-    position if free, else the first free slot, else a new index behind the reference's. Each
-    reference item is taken once, in model order. The lists are those of one record.
-    """
-    n_model = F.size(model_keys)
-    none = F.lit(-1)
-
-    def claim(taken_by: Column, i: Column, close: bool) -> Column:
-        """Index for model item *i* given what is claimed so far, -1 for none."""
-        def wanted(k: Column) -> Column:
-            hits = F.filter(
-                owner,
-                lambda e: ~F.array_contains(taken_by, e["j"])
-                & ((containment(tokens(k), tokens(e["k"])) >= CONTAINMENT_THRESHOLD) if close else (e["k"] == k)),
-            )
-            return F.coalesce(F.get(hits, F.lit(0))["j"], none)
-
-        found = F.filter(F.transform(F.get(model_keys, i), wanted), lambda j: j >= 0)
-        return F.coalesce(F.get(found, F.lit(0)), none)
-
-    every = F.when(n_model > 0, F.sequence(F.lit(0), n_model - 1)).otherwise(F.array().cast("array<int>"))
-    start = F.transform(every, lambda i: none)
-
-    def put(done: Column, i: Column, value: Column) -> Column:
-        return F.transform(done, lambda old, at: F.when(at == i, value).otherwise(old))
-
-    def keyed(close: bool):
-        return lambda done, i: F.when(F.get(done, i) >= 0, done).otherwise(put(done, i, claim(done, i, close)))
-
-    by_key = F.aggregate(every, start, keyed(False))
-    by_words = F.aggregate(every, by_key, keyed(True))
-
-    def placed(done: Column, i: Column) -> Column:
-        slots = F.when(n_ref > 0, F.sequence(F.lit(0), n_ref - 1)).otherwise(F.array().cast("array<int>"))
-        free = F.get(F.filter(slots, lambda j: ~F.array_contains(done, j)), F.lit(0))
-        behind = n_ref + F.size(F.filter(done, lambda j: j >= n_ref))
-        here = F.when(~F.array_contains(done, i), i)
-        return F.when(F.get(done, i) >= 0, done).otherwise(put(done, i, F.coalesce(here, free, behind)))
-
-    return F.aggregate(every, by_words, placed)
-
+def _spread_out(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Records evenly over ``spark.sql.shuffle.partitions`` tasks. Taking a record apart costs far
+    more than moving it, and a fixed number of partitions is not merged again by its bytes; the
+    keys name one record, so a document with many records is spread too."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), *keys)
 
-def _join_key(path: Column, key: Column) -> Column:
-    return F.when(path == "", key).otherwise(F.concat(path, F.lit("."), key))
 
+def record_nodes(records: DataFrame, raw: str = "raw", keys: Sequence[str] = RECORD) -> DataFrame:
+    """Every node of every record, containers included (see `trees.nodes`)."""
+    return nodes(_spread_out(records.select(*keys, raw), keys), raw, keys)
 
-def _step(df: DataFrame, keys: Sequence[str], paired: bool) -> DataFrame:
-    """One level down for every container, leaves pass through; empty containers vanish.
 
-    ``path`` follows the reference's indices, ``mpath`` the record's own. With *paired* the
-    reference node travels along in ``r``.
-    """
-    df = df.withColumns({"_m": _as_map(F.col("v")), "_l": _as_list(F.col("v"))})
-    if paired:
-        df = df.withColumns({"_rm": _as_map(F.col("r")), "_rl": F.coalesce(_as_list(F.col("r")), F.array().cast("array<variant>"))})
-        # Without a choice (no reference items, or one on each side) items keep their positions.
-        # Each step in its own projection, so the folds read columns instead of computing anew.
-        choice = (F.size("_rl") > 0) & (F.size("_l") + F.size("_rl") > 2)
-        df = df.withColumn("_pick", F.coalesce(choice & F.col("_l").isNotNull(), F.lit(False)))
-        df = df.withColumns({
-            "_mk": F.when(F.col("_pick"), F.transform("_l", item_keys)), "_rk": F.when(F.col("_pick"), F.transform("_rl", item_keys)),
-        })
-        df = df.withColumn("_own", F.when(F.col("_pick"), key_owners(F.col("_rk"))))
-        df = df.withColumn("_to", F.when(F.col("_pick"), pair_items(F.col("_mk"), F.col("_own"), F.size("_rl"))))
-    no_node = F.lit(None).cast("variant")
-
-    def member(e: Column) -> Column:
-        # One object where a list is allowed counts as a list of one.
-        wrap = e["key"].isin(ONE_OR_MANY) & _as_map(e["value"]).isNotNull()
-        tail = F.when(wrap, F.lit("[0]")).otherwise(F.lit(""))
-        parts = [
-            F.concat(_join_key(F.col("path"), e["key"]), tail).alias("path"),
-            F.concat(_join_key(F.col("mpath"), e["key"]), tail).alias("mpath"), e["value"].alias("v"),
-        ]
-        if paired:
-            twin = F.col("_rm")[e["key"]]
-            parts.append(F.when(wrap, F.coalesce(F.get(_as_list(twin), F.lit(0)), twin)).otherwise(twin).alias("r"))
-        return F.struct(*parts)
-
-    def item(x: Column, i: Column) -> Column:
-        j = F.coalesce(F.get(F.col("_to"), i), i) if paired else i
-        parts = [
-            F.concat(F.col("path"), F.lit("["), j.cast("string"), F.lit("]")).alias("path"),
-            F.concat(F.col("mpath"), F.lit("["), i.cast("string"), F.lit("]")).alias("mpath"), x.alias("v"),
-        ]
-        if paired:
-            parts.append(F.get(F.col("_rl"), j).alias("r"))
-        return F.struct(*parts)
-
-    here = [F.col("path"), F.col("mpath"), F.col("v")] + ([F.coalesce(F.col("r"), no_node).alias("r")] if paired else [])
-    children = (
-        F.when(F.col("_m").isNotNull(), F.transform(F.map_entries("_m"), member))
-        .when(F.col("_l").isNotNull(), F.transform("_l", item))
-        .otherwise(F.array(F.struct(*here)))
-    )
-    # The outer form: the inner one would make the optimizer test the children's size first, which
-    # computes them again. An empty container's row of nulls is dropped afterwards.
-    return df.select(*keys, F.inline_outer(children)).where(F.col("path").isNotNull())
+def leaves(records: DataFrame, raw: str = "raw", keys: Sequence[str] = RECORD) -> DataFrame:
+    """``(keys, path, value)`` of every scalar; J2 is applied on the way down. The root is an
+    object; rows that hold no valid JSON give nothing (see `split_invalid`)."""
+    return record_nodes(records, raw, keys).where("kind = 'leaf'").select(*keys, "path", "value")
 
 
-def _flatten(df: DataFrame, keys: Sequence[str], depth: int, paired: bool) -> DataFrame:
-    for _ in range(depth):
-        df = _step(df, keys, paired)
-    return df.select(*keys, "path", "mpath", _as_text(F.col("v")).alias("value"))
+def paired_fields(
+    records: DataFrame, references: DataFrame, raw: str = "raw", keys: Sequence[str] = RECORD, on: Sequence[str] = ("doc_id",)
+) -> DataFrame:
+    """The leaves of *records* ``(keys, raw)`` and of the document's reference ``(on, raw)``, met
+    field by field: ``path`` on the reference's indices, ``mpath`` as written (null where only the
+    reference has the field), ``value``, ``ref_value``. One walk of both; no join of leaves."""
+    ref = references.select(*on, F.col(raw).alias("_ref"))
+    both = records.select(*keys, F.col(raw).alias("_raw")).join(ref, on=list(on)).select(*keys, "_raw", "_ref")
+    return paired_leaves(_spread_out(both, keys), keys)
 
 
-def _spread_out(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Records evenly over ``spark.sql.shuffle.partitions`` tasks. Taking a record apart costs far
-    more than moving it, and a fixed number of partitions is not merged again by its bytes; the
-    keys name one record, so a document with many records is spread too."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), *keys)
+def aligned_leaves(
+    records: DataFrame, references: DataFrame, raw: str = "raw", keys: Sequence[str] = RECORD, on: Sequence[str] = ("doc_id",)
+) -> DataFrame:
+    """Leaves of *records* with ``path`` on the indices of the document's reference and
+    ``mpath`` as written."""
+    return paired_fields(records, references, raw, keys, on).where("mpath IS NOT NULL").drop("ref_value")
 
 
-def leaves(records: DataFrame, raw: str = "raw", keys: Sequence[str] = RECORD, depth: int | None = None) -> DataFrame:
-    """``(keys, path, value)`` of every scalar; J2 is applied on the way down. The root is an
-    object; rows that hold no valid JSON give nothing (see `split_invalid`). *depth*, the levels to
-    descend, is that of the deepest record unless the caller knows a bound."""
-    depth = deepest(records, raw) if depth is None else depth
-    records = _spread_out(records.select(*keys, raw), keys)
-    top = records.select(*keys, F.lit("").alias("path"), F.lit("").alias("mpath"), F.try_parse_json(F.col(raw)).alias("v"))
-    return _flatten(top.where(F.col("v").isNotNull()), keys, depth, paired=False).drop("mpath")
+def item_keys(records: DataFrame, at: str, raw: str = "raw", keys: Sequence[str] = RECORD) -> DataFrame:
+    """``(keys, item, item_keys)`` of the items of the list at the dotted path *at*."""
+    return list_keys(records, raw, keys, at)
 
 
-def aligned_leaves(
-    records: DataFrame, references: DataFrame, raw: str = "raw", keys: Sequence[str] = RECORD,
-    on: Sequence[str] = ("doc_id",), depth: int | None = None,
+def pair_items(
+    records: DataFrame, references: DataFrame, at: str, raw: str = "raw", keys: Sequence[str] = RECORD, on: Sequence[str] = ("doc_id",)
 ) -> DataFrame:
-    """Leaves of *records* ``(keys, raw)`` with ``path`` on the indices of the document's
-    reference ``(on, raw)`` and ``mpath`` as written; *depth* as in `leaves`."""
-    depth = deepest(records, raw) if depth is None else depth
-    ref = references.select(*on, F.try_parse_json(F.col(raw)).alias("r"))
-    both = records.select(*keys, F.lit("").alias("path"), F.lit("").alias("mpath"), F.try_parse_json(F.col(raw)).alias("v"))
-    both = both.where(F.col("v").isNotNull()).join(ref, on=list(on)).select(*keys, "path", "mpath", "v", "r")
-    return _flatten(_spread_out(both, keys), keys, depth, paired=True)
+    """``(keys, mapping)``, the reference index of every item of the record's list at *at*."""
+    ref = references.select(*on, F.col(raw).alias("_ref"))
+    return list_pairs(records.select(*keys, F.col(raw).alias("_raw")).join(ref, on=list(on)).select(*keys, "_raw", "_ref"), keys, at)
 
 
-def key_census(records: DataFrame, raw: str = "raw", pattern: str | None = None, depth: int | None = None) -> DataFrame:
+def key_census(records: DataFrame, raw: str = "raw", pattern: str | None = None) -> DataFrame:
     """How often each key occurs at any depth, containers included; *pattern* keeps the keys
-    that match it, whatever their case. *depth* as in `leaves`."""
-    depth = deepest(records, raw) if depth is None else depth
-    node = records.select(F.try_parse_json(F.col(raw)).alias("v"), F.lit(None).cast("string").alias("key"))
-    found = F.array().cast("array<string>")
-    # Keys seen on the way down ride along; each child starts with its own key only.
-    rows = node.withColumn("seen", found)
-    for _ in range(depth):
-        rows = rows.withColumns({"_m": _as_map(F.col("v")), "_l": _as_list(F.col("v"))})
-        children = (
-            F.when(F.col("_m").isNotNull(), F.transform(F.map_entries("_m"), lambda e: F.struct(e["value"].alias("v"), e["key"].alias("key"))))
-            .when(F.col("_l").isNotNull(), F.transform("_l", lambda x: F.struct(x.alias("v"), F.lit(None).cast("string").alias("key"))))
-        )
-        # The keys counted so far stay on the first child, or on the row itself when it has none.
-        carried = F.when(F.col("key").isNotNull(), F.array_append("seen", F.col("key"))).otherwise(F.col("seen"))
-        stay = F.array(F.struct(F.lit(None).cast("variant").alias("v"), F.lit(None).cast("string").alias("key"), carried.alias("seen")))
-        kids = F.transform(children, lambda c: F.struct(c["v"].alias("v"), c["key"].alias("key"), found.alias("seen")))
-        rows = rows.select(F.inline(F.concat(stay, F.coalesce(kids, F.array().cast("array<struct<v:variant,key:string,seen:array<string>>>")))))
-        rows = rows.where(F.col("v").isNotNull() | (F.size("seen") > 0) | F.col("key").isNotNull())
-    last = F.when(F.col("key").isNotNull(), F.array_append("seen", F.col("key"))).otherwise(F.col("seen"))
-    counted = rows.select(F.explode(last).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    that match it, whatever their case."""
+    found = nodes(records.select(raw), raw, ()).where("kind = 'object'")
+    counted = found.select(F.explode("names").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
     return counted if pattern is None else counted.where(F.col("key").rlike(f"(?i){pattern}"))
 
 
@@ -276,7 +125,7 @@ def verdict(path: Column, model: Column, ref: Column) -> Column:
     kind = field_kind(path)
     share = containment(tokens(model), tokens(ref))
     percent = F.concat(
-        F.lit("only "), F.bround(share * 100, 0).cast("int").cast("string"), F.lit("% of the words are in the reference")
+        F.lit("only "), F.bround(share * 100, 0).cast("int").cast("string"), F.lit("% of the model's words are in the reference")
     )
 
     def say(v: str, why: Column | str) -> Column:
@@ -302,20 +151,19 @@ JUDGED = ["field", "model_field", "model_value", "reference_value", "verdict", "
 
 
 def judge(
-    aligned: DataFrame, ref_leaves: DataFrame, scored: DataFrame, keys: Sequence[str] = RECORD, on: Sequence[str] = ("doc_id",)
+    records: DataFrame, references: DataFrame, raw: str = "raw", keys: Sequence[str] = RECORD, on: Sequence[str] = ("doc_id",)
 ) -> DataFrame:
     """A row per field the record wrote, and a Missed row per reference field that no
     Correct row covers. A wrong value therefore gives two rows.
 
-    *scored* lists the valid records. Their fields on both sides meet in one outer join; a
-    record's paths are unique, so each row of it decides both rows of its field.
+    A record's paths are unique, so each field that it shares with its reference decides both of its
+    rows by itself. Records that are no JSON object, or whose document has no reference, give none.
     """
-    ref = ref_leaves.select(*on, F.col("path").alias("field"), F.col("value").alias("reference_value"))
-    owed = scored.select(*keys).join(ref, on=list(on)).select(*keys, "field", "reference_value")
-    wrote = aligned.select(*keys, F.col("path").alias("field"), F.col("mpath").alias("model_field"), F.col("value").alias("model_value"))
-    both = wrote.join(owed, on=[*keys, "field"], how="full")
-    both = both.withColumn("_v", verdict(F.col("field"), F.col("model_value"), F.col("reference_value")))
+    both = paired_fields(records, references, raw, keys, on).withColumnsRenamed(
+        {"path": "field", "mpath": "model_field", "value": "model_value", "ref_value": "reference_value"}
+    )
     written = F.col("model_field").isNotNull()
+    both = both.withColumn("_v", F.when(written, verdict(F.col("field"), F.col("model_value"), F.col("reference_value"))))
     none = F.lit(None).cast("string")
 
     def row(field: Column, value: Column, v: Column, why: Column) -> Column:
@@ -603,22 +451,30 @@ def run_timings(runs: DataFrame, raw: str = "raw") -> DataFrame:
     )
 
 
-# Fields a record must have, by path without indices; allowed values of choices.
-REQUIRED = [
-    "dmp.title", "dmp.created", "dmp.modified", "dmp.language", "dmp.ethical_issues_exist",
-    "dmp.dmp_id.identifier", "dmp.dmp_id.type", "dmp.contact.name", "dmp.contact.mbox",
-]
-REQUIRED_IN_ITEM = {
-    "dmp.contact.contact_id": ["identifier", "type"],
-    "dmp.dataset": ["title", "description", "type", "personal_data", "sensitive_data", "dataset_id.identifier", "dataset_id.type"],
-    "dmp.dataset.distribution": ["title", "data_access"],
-    "dmp.dataset.distribution.license": ["license_ref", "start_date"],
-    "dmp.dataset.metadata": ["description", "language"],
-    "dmp.dataset.metadata.metadata_standard_id": ["identifier", "type"],
-    "dmp.project": ["title", "description"],
-    "dmp.project.funding": ["funder_id.identifier", "funder_id.type", "funding_status"],
+# The form. Per object (path without indices): what it must hold, what it may hold.
+FORM_OBJECTS = {
+    "": (["dmp"], []),
+    "dmp": (["title", "created", "modified", "language", "ethical_issues_exist", "dmp_id", "contact", "dataset"], ["description", "project"]),
+    "dmp.dmp_id": (["identifier", "type"], []),
+    "dmp.contact": (["name", "mbox", "contact_id"], []),
+    "dmp.contact.contact_id": (["identifier", "type"], []),
+    "dmp.dataset": (["title", "description", "type", "personal_data", "sensitive_data", "dataset_id", "distribution", "metadata"], []),
+    "dmp.dataset.dataset_id": (["identifier", "type"], []),
+    "dmp.dataset.distribution": (["title", "data_access", "license"], ["host"]),
+    "dmp.dataset.distribution.host": (["title"], ["url"]),
+    "dmp.dataset.distribution.license": (["license_ref", "start_date"], []),
+    "dmp.dataset.metadata": (["description", "language", "metadata_standard_id"], []),
+    "dmp.dataset.metadata.metadata_standard_id": (["identifier", "type"], []),
+    "dmp.project": (["title", "description"], ["funding"]),
+    "dmp.project.funding": (["funder_id", "funding_status"], []),
+    "dmp.project.funding.funder_id": (["identifier", "type"], []),
 }
-OPTIONAL = ["dmp.description", "dmp.dataset.distribution.host.title", "dmp.dataset.distribution.host.url"]
+# Paths that hold lists, those of them that need an item, and the choices of a field.
+FORM_LISTS = [
+    "dmp.contact.contact_id", "dmp.dataset", "dmp.dataset.distribution", "dmp.dataset.distribution.license", "dmp.dataset.metadata",
+    "dmp.dataset.metadata.metadata_standard_id", "dmp.project", "dmp.project.funding",
+]
+NOT_EMPTY = ["dmp.dataset", "dmp.dataset.distribution", "dmp.dataset.metadata"]
 CHOICES = {
     "dmp.ethical_issues_exist": ["yes", "no", "unknown"], "dmp.dataset.personal_data": ["yes", "no", "unknown"],
     "dmp.dataset.sensitive_data": ["yes", "no", "unknown"], "dmp.dataset.distribution.data_access": ["open", "shared", "closed"],
@@ -627,38 +483,40 @@ CHOICES = {
 
 
 def conformance(found: DataFrame, keys: Sequence[str] = RECORD) -> DataFrame:
-    """What is wrong with each record's leaves: ``missing``, ``not allowed value``, ``extra``.
+    """What is wrong with each record: ``(keys, path, problem)`` with the problems ``missing``
+    (a field or container that its object owes), ``extra`` (a member the form lacks, named once),
+    ``empty list``, ``wrong kind`` (a text, an object or a list in place of another of them) and
+    ``not allowed value``.
 
-    Required fields of list items are checked for every item that has any leaf. *found* holds
-    `leaves` rows; the rules above are constants, so they travel inside the plan.
+    *found* holds `record_nodes` rows. What an object owes and may hold is known from its own row,
+    so nothing is joined; the rules above are constants inside the plan.
     """
-    placed = found.withColumn("form_field", bare_path(F.col("path")))
-    allowed = [*REQUIRED, *OPTIONAL, *[f"{p}.{c}" for p, cs in REQUIRED_IN_ITEM.items() for c in cs]]
-    extra = placed.where(~F.col("form_field").isin(allowed)).select(*keys, "path", F.lit("extra").alias("problem"))
-    choice = F.lit(False)
-    for field, values in CHOICES.items():
-        choice = choice | ((F.col("form_field") == field) & ~F.coalesce(F.col("value").isin(values), F.lit(False)))
-    wrong = placed.where(choice).select(*keys, "path", F.lit("not allowed value").alias("problem"))
-
-    # Every list item seen (and the root), with the fields it owes; those found are struck off.
-    places = found.select(*keys, F.explode(_item_paths(F.col("path"))).alias("at")).select(*keys, "at").distinct()
-    owed = places.withColumn("owes", _owed_by(F.col("at"))).select(*keys, F.explode("owes").alias("path"))
-    missing = owed.join(found.select(*keys, "path"), on=[*keys, "path"], how="left_anti").withColumn("problem", F.lit("missing"))
-    return missing.unionByName(wrong).unionByName(extra)
-
-
-def _item_paths(path: Column) -> Column:
-    """The root ("") and every list item on the way to *path*."""
-    parts = F.split(path, r"(?<=\])")
-    ends = F.filter(F.transform(parts, lambda p, i: F.when(p.endswith("]"), i)), lambda i: i.isNotNull())
-    return F.concat(F.array(F.lit("")), F.transform(ends, lambda i: F.array_join(F.slice(parts, F.lit(1), i + 1), "")))
-
-
-def _owed_by(at: Column) -> Column:
-    out = F.when(at == "", F.array(*[F.lit(x) for x in REQUIRED]))
-    for item, names in REQUIRED_IN_ITEM.items():
-        out = out.when(bare_path(at) == item, F.transform(F.array(*[F.lit(x) for x in names]), lambda c: F.concat(at, F.lit("."), c)))
-    return F.coalesce(out, F.array().cast("array<string>"))
+    form = bare_path(F.col("path"))
+    texts = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    table = lambda pairs: F.create_map(*[c for k, v in pairs for c in (F.lit(k), v)])
+    owes = F.try_element_at(table([(k, texts(must)) for k, (must, _) in FORM_OBJECTS.items()]), F.col("form"))
+    holds = F.try_element_at(table([(k, texts(must + may)) for k, (must, may) in FORM_OBJECTS.items()]), F.col("form"))
+    choices = F.try_element_at(table([(k, texts(v)) for k, v in CHOICES.items()]), F.col("form"))
+    # A list and its items share a path without indices; the path itself ends in an index for items.
+    is_item = F.col("path").endswith("]")
+    due = (
+        F.when(F.col("form").isin(FORM_LISTS) & ~is_item, "list").when(F.col("form").isin(list(FORM_OBJECTS)), "object")
+        .when(F.col("form").isin([f"{k}.{c}" for k, (must, may) in FORM_OBJECTS.items() if k for c in must + may]) & ~is_item, "leaf")
+    )
+    child = lambda name: F.when(F.col("path") == "", name).otherwise(F.concat("path", F.lit("."), name))
+    problem = lambda path, what: F.struct(path.alias("path"), F.lit(what).alias("problem"))
+    none = F.array().cast("array<struct<path:string,problem:string>>")
+    wrong_kind = F.col("due").isNotNull() & (F.col("kind") != F.col("due"))
+    is_form_object = (F.col("kind") == "object") & (F.col("due") == "object")
+    found = found.withColumn("form", form).withColumn("due", due)
+    rows = F.concat(
+        F.when(is_form_object, F.transform(F.array_except(owes, F.col("names")), lambda n: problem(child(n), "missing"))).otherwise(none),
+        F.when(is_form_object, F.transform(F.array_except(F.col("names"), holds), lambda n: problem(child(n), "extra"))).otherwise(none),
+        F.when(wrong_kind, F.array(problem(F.col("path"), "wrong kind"))).otherwise(none),
+        F.when((F.col("kind") == "list") & (F.col("size") == 0) & F.col("form").isin(NOT_EMPTY) & ~is_item, F.array(problem(F.col("path"), "empty list"))).otherwise(none),
+        F.when((F.col("kind") == "leaf") & choices.isNotNull() & ~F.coalesce(F.array_contains(choices, F.col("value")), F.lit(False)), F.array(problem(F.col("path"), "not allowed value"))).otherwise(none),
+    )
+    return found.select(*keys, F.inline(rows))
 
 
 def judged_listing(judged: DataFrame) -> DataFrame:

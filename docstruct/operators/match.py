@@ -1,110 +1,71 @@
 """Matching items by token containment: best gold for a block, one-to-one claims, grounding.
 
-Containment of left in right is the share of left's distinct tokens that occur in right. A pair
-reaches threshold t only if at most ``n - ceil(t * n)`` of left's n tokens are missing, so among
-any ``n - ceil(t * n) + 1`` of them one is shared. Joining on just those few (the longest, or the
-rarest) finds every pair without listing all pairs of a group.
+Containment of left in right is the share of left's distinct tokens that occur in right. Pairs of
+token sets come from `set_join`; equal sets are compared once, however many rows bear them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docstruct.functions.text import containment, letters_and_digits, tokens
+from docstruct.functions.text import letters_and_digits
 from docstruct.labels import CONTAINMENT_THRESHOLD
-from docstruct.operators.ordered import chunks_for, scan
+from docstruct.operators.set_join import needed, set_pairs, token_sets, with_tokens
 from docstruct.session import cut_lineage
 
-# Documents with more items than this on a side are matched by joins, not in one row.
-MAX_ITEMS_IN_ROW = 400
-
 MATCH_COLUMNS = ["gold_ord", "gold_text", "gold_label", "pred_ord", "pred_text", "pred_label"]
 
 
-def with_tokens(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``toks``, the token set in sorted order, and ``n_toks``."""
-    return df.withColumn("toks", F.sort_array(tokens(F.col(text)))).withColumn("n_toks", F.size("toks"))
-
-
-def token_sets(df: DataFrame, on: Sequence[str], ord: str) -> DataFrame:
-    """Distinct non-empty token sets per *on*, with how many rows share each and the first of
-    them. Copies of a text are compared once, however many there are."""
-    return df.where("n_toks > 0").groupBy(*on, "toks").agg(
-        F.count("*").alias("n_rows"), F.min(ord).alias("first_ord")
-    )
-
-
-def _probe_length(n: Column, threshold: float) -> Column:
-    return (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")
-
-
-def set_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], threshold: float, rarest: bool = False) -> DataFrame:
-    """Pairs of distinct token sets ``(on..., ltoks, rtoks, score)`` with containment of left in
-    right >= *threshold* (> 0). *rarest* probes with each left set's rarest tokens by the counts
-    in *right*, for joins across documents; otherwise with its longest."""
-    left = left.select(*on, F.col("toks").alias("ltoks"))
-    right = right.select(*on, F.col("toks").alias("rtoks"))
-    n = _probe_length(F.size("ltoks"), threshold)
-    postings = right.select(*on, F.explode("rtoks").alias("tok"), "rtoks")
-    if rarest:
-        seen = right.select(F.explode("rtoks").alias("tok")).groupBy("tok").agg(F.count("*").alias("freq"))
-        ranked = left.select(*on, "ltoks", F.explode("ltoks").alias("tok")).join(seen, on="tok", how="left")
-        first = F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "tok"))), 1, n)
-        probes = ranked.groupBy(*on, "ltoks").agg(first.alias("probe")).select(*on, "ltoks", F.explode("probe.tok").alias("tok"))
-    else:
-        by_length = F.array_sort(F.transform("ltoks", lambda t: F.struct((-F.length(t)).alias("len"), t.alias("tok"))))
-        probes = left.select(*on, "ltoks", F.explode(F.slice(by_length, 1, n)).alias("x")).select(*on, "ltoks", "x.tok")
-    met = probes.join(postings, on=[*on, "tok"]).select(*on, "ltoks", "rtoks")
-    scored = met.withColumn("score", containment(F.col("ltoks"), F.col("rtoks"))).where(F.col("score") >= threshold)
-    return scored.distinct()
-
-
 def best_match(
-    left: DataFrame, right: DataFrame, on: Sequence[str], threshold: float, keep: Sequence[str] = ("label",)
+    left: DataFrame, right: DataFrame, on: Sequence[str], threshold: float | Column, keep: Sequence[str] = ("label",)
 ) -> DataFrame:
     """Every row of *left* with its best row of *right* on the same *on*: highest containment,
-    first ``ord`` on ties, null below *threshold*. Adds ``score, gold_ord`` and ``gold_<keep>``."""
+    first ``ord`` on ties, null below *threshold*. Adds ``toks, n_toks, set, score, gold_ord`` and
+    ``gold_<keep>``. *threshold* may be a column of *left*: the least number of shared tokens."""
     l, r = with_tokens(left), with_tokens(right)
-    pairs = set_pairs(token_sets(l, on, "ord"), token_sets(r, on, "ord"), on, threshold)
-    firsts = token_sets(r, on, "ord").select(*on, F.col("toks").alias("rtoks"), "first_ord")
-    best = pairs.join(firsts, on=[*on, "rtoks"]).groupBy(*on, "ltoks").agg(
-        F.max(F.struct("score", (-F.col("first_ord")).alias("neg"))).alias("b")
+    need = threshold if isinstance(threshold, Column) else needed(F.col("n_toks"), threshold)
+    first = F.min(F.struct("ord", *keep)).alias("first")
+    pairs = set_pairs(token_sets(l.withColumn("need", need), on, F.min("need").alias("need")), token_sets(r, on, first), on, keep=["first"])
+    best = pairs.groupBy(*on, F.col("lset").alias("set")).agg(
+        F.max_by(F.struct("score", "first"), F.struct("score", (-F.col("first.ord")).alias("neg"))).alias("b")
     )
-    gold = r.select(*on, F.col("ord").alias("gold_ord"), *[F.col(k).alias(f"gold_{k}") for k in keep])
-    chosen = best.select(*on, F.col("ltoks").alias("toks"), F.col("b.score").alias("score"), (-F.col("b.neg")).alias("gold_ord"))
-    return l.join(chosen.join(gold, on=[*on, "gold_ord"]), on=[*on, "toks"], how="left")
+    chosen = best.select(
+        *on, "set", F.col("b.score").alias("score"), F.col("b.first.ord").alias("gold_ord"), *[F.col(f"b.first.{k}").alias(f"gold_{k}") for k in keep]
+    )
+    return l.join(chosen, on=[*on, "set"], how="left")
 
 
 def best_label(blocks: DataFrame, gold: DataFrame, threshold: float = CONTAINMENT_THRESHOLD) -> DataFrame:
     """M3: ``gold_label`` for each block ``(tag, doc_id, ord, text, label)``, null below threshold."""
-    return best_match(blocks, gold, ["doc_id"], threshold).drop("toks")
+    return best_match(blocks, gold, ["doc_id"], threshold).drop("toks", "set")
 
 
 def true_label(items: DataFrame, gold: DataFrame, threshold: float = CONTAINMENT_THRESHOLD) -> DataFrame:
     """M7: as M3, but items of fewer than three tokens have no true label."""
     found = best_match(items, gold, ["doc_id"], threshold)
-    return found.withColumn("true_label", F.when(F.col("n_toks") >= 3, F.col("gold_label"))).drop("toks", "gold_label")
+    return found.withColumn("true_label", F.when(F.col("n_toks") >= 3, F.col("gold_label"))).drop("toks", "set", "gold_label")
 
 
 def true_label_strict(blocks: DataFrame, gold: DataFrame, threshold: float = CONTAINMENT_THRESHOLD, other: float = 0.9) -> DataFrame:
     """M8: M7, and null too when the block also holds (>= *other*) a different gold item of two
     tokens or more. A gold token set shared by several items always holds a different one."""
-    found = best_match(blocks, gold, ["doc_id"], threshold, keep=("label", "toks"))
-    sets = token_sets(with_tokens(gold), ["doc_id"], "ord").where(F.size("toks") >= 2)
-    held = set_pairs(sets, token_sets(with_tokens(blocks), ["doc_id"], "ord"), ["doc_id"], other)
-    held = held.join(sets.select("doc_id", F.col("toks").alias("ltoks"), "n_rows"), on=["doc_id", "ltoks"])
-    spans = held.groupBy("doc_id", F.col("rtoks").alias("toks")).agg(
-        F.min("ltoks").alias("low"), F.max("ltoks").alias("high"), F.max("n_rows").alias("most")
+    found = best_match(blocks, gold, ["doc_id"], threshold, keep=("label", "set"))
+    sets = token_sets(with_tokens(gold).where("n_toks >= 2"), ["doc_id"], F.count("*").alias("n_rows"))
+    sets = sets.withColumn("need", needed(F.col("n_toks"), other))
+    held = set_pairs(sets, token_sets(with_tokens(blocks), ["doc_id"]), ["doc_id"], keep=["n_rows"])
+    spans = held.groupBy("doc_id", F.col("rset").alias("set")).agg(
+        F.min("lset").alias("low"), F.max("lset").alias("high"), F.max("n_rows").alias("most")
     )
     # Some set differs from the best item's own if the smallest or the largest does.
-    two = (F.col("most") > 1) | (F.col("low") != F.col("gold_toks")) | (F.col("high") != F.col("gold_toks"))
+    two = (F.col("most") > 1) | (F.col("low") != F.col("gold_set")) | (F.col("high") != F.col("gold_set"))
     known = (F.col("n_toks") >= 3) & F.col("gold_label").isNotNull() & ~F.coalesce(two, F.lit(False))
-    return found.join(spans, on=["doc_id", "toks"], how="left").withColumn(
+    return found.join(spans, on=["doc_id", "set"], how="left").withColumn(
         "true_label", F.when(known, F.col("gold_label"))
-    ).drop("toks", "gold_toks", "low", "high", "most", "gold_label")
+    ).drop("toks", "set", "gold_set", "low", "high", "most", "gold_label")
 
 
 def block_accuracy(labeled: DataFrame, keys: Sequence[str] = ("tag",)) -> DataFrame:
@@ -120,7 +81,7 @@ def near_misses(pred: DataFrame, gold: DataFrame, low: float = 0.75, high: float
     """Predictions whose best containment lies in [low, high), with the words that cost them."""
     found = best_match(pred, gold, ["doc_id"], low, keep=("toks",)).where(F.col("score") < high)
     extra = F.array_join(F.array_sort(F.array_except("toks", "gold_toks")), ", ")
-    return found.withColumn("extra_words", extra).drop("toks", "gold_toks")
+    return found.withColumn("extra_words", extra).drop("toks", "set", "gold_toks")
 
 
 def near_miss_buckets(misses: DataFrame, keys: Sequence[str] = ("tag",)) -> DataFrame:
@@ -138,7 +99,7 @@ def closest(gold: DataFrame, pred: DataFrame, k: int = 3) -> DataFrame:
     """
     p, g = with_tokens(pred), with_tokens(gold)
     place = Window.partitionBy("tag", "doc_id").orderBy("ord")
-    copies = Window.partitionBy("tag", "doc_id", "toks").orderBy("ord")
+    copies = Window.partitionBy("tag", "doc_id", "set").orderBy("ord")
     few = p.withColumn("_c", F.row_number().over(copies)).where(F.col("_c") <= k).drop("_c")
     words = g.select("doc_id", F.col("ord").alias("gold_ord"), F.explode("toks").alias("tok"))
     sharing = few.select("tag", "doc_id", "ord", "n_toks", F.explode("toks").alias("tok")).join(words, on=["doc_id", "tok"])
@@ -157,17 +118,22 @@ def closest(gold: DataFrame, pred: DataFrame, k: int = 3) -> DataFrame:
 
 def swallowed(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Predictions that hold every word of a gold item, with the gold item they score best
-    against (of any score). Gold items without words are left out."""
+    against (of any score). Gold items without words are left out.
+
+    A prediction shares all words of an item that it holds, so its best item shares as many at least.
+    """
     g, p = with_tokens(gold), with_tokens(pred)
     on = ["doc_id"]
-    holds = set_pairs(token_sets(g, on, "ord"), token_sets(p, on, "ord"), on, 1.0)
-    inside = g.select("doc_id", F.col("ord").alias("gold_ord"), F.col("label").alias("gold_label"), F.col("toks").alias("ltoks"))
-    pairs = holds.join(inside, on=["doc_id", "ltoks"]).select("doc_id", F.col("rtoks").alias("toks"), "gold_ord", "gold_label")
-    best = best_match(pred, gold, on, 1e-6).select(
-        "tag", "doc_id", "ord", "toks", "label", "score",
+    holds = set_pairs(token_sets(g, on).withColumn("need", F.col("n_toks")), token_sets(p, on), on)
+    inside = g.select("doc_id", F.col("ord").alias("gold_ord"), F.col("label").alias("gold_label"), F.col("set").alias("lset"))
+    pairs = holds.join(inside, on=["doc_id", "lset"]).select("doc_id", F.col("rset").alias("set"), "gold_ord", "gold_label")
+    most = holds.groupBy("doc_id", F.col("rset").alias("set")).agg(F.max("shared").alias("held"))
+    some = p.join(most, on=["doc_id", "set"]).select(*pred.columns, "held")
+    best = best_match(some, gold, on, F.col("held")).select(
+        "tag", "doc_id", "ord", "set", "label", "score",
         F.col("gold_ord").alias("best_ord"), F.col("gold_label").alias("best_label"),
     )
-    return best.join(pairs, on=["doc_id", "toks"]).drop("toks")
+    return best.join(pairs, on=["doc_id", "set"]).drop("set")
 
 
 def heading_hits(pred: DataFrame, gold: DataFrame, label: str, threshold: float = CONTAINMENT_THRESHOLD) -> DataFrame:
@@ -184,10 +150,11 @@ def containment_join(left: DataFrame, right: DataFrame, threshold: float = CONTA
     The work is done on distinct token sets; ids come back by two equality joins at the end.
     """
     l, r = with_tokens(left), with_tokens(right)
-    pairs = set_pairs(token_sets(l, [], "id"), token_sets(r, [], "id"), [], threshold, rarest=True)
+    sets = token_sets(l, []).withColumn("need", needed(F.col("n_toks"), threshold))
+    pairs = set_pairs(sets, token_sets(r, []), [], rarest=True)
     return (
-        pairs.join(l.select(F.col("id").alias("left_id"), F.col("toks").alias("ltoks")), on="ltoks")
-        .join(r.select(F.col("id").alias("right_id"), F.col("toks").alias("rtoks")), on="rtoks")
+        pairs.join(l.select(F.col("id").alias("left_id"), F.col("set").alias("lset")), on="lset")
+        .join(r.select(F.col("id").alias("right_id"), F.col("set").alias("rset")), on="rset")
         .select("left_id", "right_id", "score")
     )
 
@@ -195,143 +162,89 @@ def containment_join(left: DataFrame, right: DataFrame, threshold: float = CONTA
 # ---- one-to-one claims -------------------------------------------------------------------
 
 
-def greedy_match(
-    gold: DataFrame, pred: DataFrame, threshold: float = CONTAINMENT_THRESHOLD, *,
-    docs: DataFrame | None = None, max_in_row: int | None = MAX_ITEMS_IN_ROW, has_large: bool | None = None,
-) -> DataFrame:
+def greedy_match(gold: DataFrame, pred: DataFrame, threshold: float = CONTAINMENT_THRESHOLD, *, docs: DataFrame | None = None) -> DataFrame:
     """M4-M6: gold items ``(doc_id, ord, text, label)`` in order each claim the best unclaimed
     prediction ``(tag, doc_id, ...)`` of every run; first on ties, at or above *threshold*.
 
     One row per gold item (pred side null = missed) and per unclaimed prediction (gold side
     null). Runs and documents scored are those in *docs* ``(tag, doc_id)``; by default those on
-    both sides. Small documents are claimed within one row; documents with more than
-    *max_in_row* items on a side by joins in rounds. *has_large* skips the check for such
-    documents when the caller knows the answer.
-    """
-    if has_large is None:
-        has_large = bool(
-            chunks_for(gold, ["doc_id"], max_in_row) or chunks_for(pred, ["tag", "doc_id"], max_in_row)
-        )
-    if not has_large:
-        return _claim_in_row(gold, pred, threshold, docs)
-    n_gold = gold.groupBy("doc_id").agg(F.count("*").alias("n"))
-    n_pred = pred.groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
-    large = n_gold.unionByName(n_pred.drop("tag")).where(F.col("n") > max_in_row).select("doc_id").distinct()
-    large = cut_lineage(large)
-    small = _claim_in_row(
-        gold.join(large, "doc_id", "left_anti"), pred.join(large, "doc_id", "left_anti"), threshold,
-        docs.join(large, "doc_id", "left_anti") if docs is not None else None,
-    )
-    big = _claim_in_rounds(
-        gold.join(large, "doc_id", "left_semi"), pred.join(large, "doc_id", "left_semi"), threshold,
-        docs.join(large, "doc_id", "left_semi") if docs is not None else None,
-    )
-    return small.unionByName(big)
-
-
-def _claim_in_row(gold: DataFrame, pred: DataFrame, threshold: float, docs: DataFrame | None) -> DataFrame:
-    item = F.struct("ord", "text", "label", tokens(F.col("text")).alias("toks"))
-    g = gold.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("gold"))
-    p = pred.groupBy("tag", "doc_id").agg(F.sort_array(F.collect_list(item)).alias("pred"))
-    if docs is None:
-        both = p.join(g, on="doc_id")
-    else:
-        none = F.array().cast(g.schema["gold"].dataType)
-        both = docs.select("tag", "doc_id").distinct().join(p, ["tag", "doc_id"], "left").join(g, "doc_id", "left")
-        both = both.withColumns({"gold": F.coalesce("gold", none), "pred": F.coalesce("pred", none)})
-
-    def best(claimed: Column, one: Column) -> Column:
-        scored = F.transform(
-            "pred", lambda x, i: F.struct(containment(x["toks"], one["toks"]).alias("s"), (-i).alias("neg"))
-        )
-        open_ = F.filter(scored, lambda x: (x["s"] >= threshold) & (x["s"] > 0) & ~F.array_contains(claimed, -x["neg"]))
-        return F.coalesce(-F.array_max(open_)["neg"], F.lit(-1))
-
-    claims = F.aggregate(
-        "gold", F.array().cast("array<int>"), lambda done, one: F.array_append(done, best(done, one))
-    )
-    # get() gives null for -1, which is how a missed item's prediction should read.
-    side = "struct<ord: bigint, text: string, label: string, toks: array<string>>"
-    hits = F.transform(
-        "gold", lambda one, i: F.struct(one.alias("g"), F.get(F.col("pred"), F.get(F.col("claims"), i)).alias("p"))
-    )
-    left = F.filter(
-        F.transform("pred", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda x: ~F.array_contains("claims", x["i"])
-    )
-    rest = F.transform(left, lambda x: F.struct(F.lit(None).cast(side).alias("g"), x["x"].alias("p")))
-    out = both.withColumn("claims", claims).select("tag", "doc_id", F.inline(F.concat(hits, rest)))
-    return out.select(
-        "tag", "doc_id", F.col("g.ord").alias("gold_ord"), F.col("g.text").alias("gold_text"), F.col("g.label").alias("gold_label"),
-        F.col("p.ord").alias("pred_ord"), F.col("p.text").alias("pred_text"), F.col("p.label").alias("pred_label"),
-    )
-
-
-def _claim_in_rounds(gold: DataFrame, pred: DataFrame, threshold: float, docs: DataFrame | None) -> DataFrame:
-    """The same claims, by joins, for documents too long for one row.
+    both sides.
 
-    Items with equal token sets form classes. Within a class the k-th open gold item takes the
-    k-th entry of the class's list of open predictions (best score, then order), as long as no
-    earlier open item of another class could want one of the entries up to there. All such items
-    are settled in one round; the earliest open item always is, so the rounds end. A prediction
-    class can lose at most as many rows as there are gold items that could want it, always its
-    first ones, so later copies are set aside at the start: nobody can claim them.
+    Both sides are computed once and kept (`cut_lineage`). Candidates are pairs of token sets, found
+    by joins. Who claims what follows from the order of the gold items alone, so it is a fold: sorted
+    rows of identifiers, without texts, pass through a task once, and only the open predictions of
+    the document at hand are held.
     """
     doc = ["tag", "doc_id"]
+    g = cut_lineage(with_tokens(gold.select("doc_id", "ord", "text", "label")))
+    p = cut_lineage(with_tokens(pred.select(*doc, "ord", "text", "label")))
     if docs is None:
-        docs = pred.select("tag", "doc_id").distinct().join(gold.select("doc_id").distinct(), "doc_id", "left_semi")
-    docs = cut_lineage(docs.select("tag", "doc_id").distinct())
-    g = cut_lineage(with_tokens(docs.join(gold, "doc_id").select(*doc, "ord", "text", "label")))
-    p = cut_lineage(with_tokens(docs.join(pred, doc).select(*doc, "ord", "text", "label")))
-
-    g_sets, p_sets = token_sets(g, doc, "ord"), token_sets(p, doc, "ord")
-    pairs = set_pairs(p_sets, g_sets, doc, threshold).select(*doc, F.col("rtoks").alias("gtoks"), F.col("ltoks").alias("ptoks"), "score")
-    pairs = cut_lineage(pairs)
-    wants = pairs.join(g_sets.select(*doc, F.col("toks").alias("gtoks"), "n_rows"), [*doc, "gtoks"])
-    most = wants.groupBy(*doc, F.col("ptoks").alias("toks")).agg(F.sum("n_rows").alias("most"))
-    spread = g.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
-    chunks = int(spread)
-    ranked = scan(p.select(*doc, "toks", "ord"), [*doc, "toks"], "ord", sums={"nth": F.lit(1)}, chunks=chunks)
-    open_p = cut_lineage(ranked.join(most, [*doc, "toks"]).where("nth <= most").select(*doc, F.col("toks").alias("ptoks"), F.col("ord").alias("p")))
-    open_g = cut_lineage(
-        g.select(*doc, F.col("toks").alias("gtoks"), F.col("ord").alias("g")).join(pairs.select(*doc, "gtoks").distinct(), [*doc, "gtoks"])
+        docs = p.select(*doc).distinct().join(g.select("doc_id").distinct(), "doc_id", "left_semi")
+    docs = docs.select(*doc).distinct()
+    p = p.join(docs, doc, "left_semi")
+    sets = token_sets(p, ["doc_id"]).withColumn("need", needed(F.col("n_toks"), threshold))
+    pairs = set_pairs(sets, token_sets(g, ["doc_id"]), ["doc_id"])
+    open_ = p.where("n_toks > 0").select(*doc, "ord", "set")
+    wishes = (
+        pairs.join(g.select("doc_id", F.col("ord").alias("gold_ord"), F.col("set").alias("rset")), ["doc_id", "rset"])
+        .join(open_.select(*doc, F.col("set").alias("lset")).distinct(), ["doc_id", "lset"])
     )
-
-    settled = None
-    while not open_g.isEmpty():
-        firsts = open_g.groupBy(*doc, "gtoks").agg(F.min("g").alias("first_g"))
-        rivals = pairs.join(firsts, [*doc, "gtoks"])
-        lead = rivals.groupBy(*doc, "ptoks").agg(F.min("first_g").alias("f1"), F.min_by("gtoks", "first_g").alias("k1"))
-        second = rivals.join(lead, [*doc, "ptoks"]).groupBy(*doc, "ptoks").agg(
-            F.first("f1").alias("f1"), F.first("k1").alias("k1"),
-            F.min(F.when(F.col("gtoks") != F.col("k1"), F.col("first_g"))).alias("f2"),
-        )
-        rival = F.when(F.col("gtoks") == F.col("k1"), F.col("f2")).otherwise(F.col("f1"))
-        listed = (
-            rivals.join(second, [*doc, "ptoks"]).withColumn("rival", rival).join(open_p, [*doc, "ptoks"])
-            .select(*doc, "gtoks", "p", (-F.col("score")).alias("neg"), "rival")
-        )
-        listed = scan(
-            listed, [*doc, "gtoks"], ["neg", "p"], chunks=chunks,
-            sums={"nth": F.lit(1)}, mins={"first_rival": F.col("rival")},
-        )
-        waiting = scan(open_g, [*doc, "gtoks"], "g", chunks=chunks, sums={"nth": F.lit(1)})
-        # Without an entry of that number the item, and all later ones of its class, are missed.
-        offered = waiting.join(listed.select(*doc, "gtoks", "nth", "p", "first_rival"), [*doc, "gtoks", "nth"])
-        sure = F.col("first_rival").isNull() | (F.col("first_rival") > F.col("g"))
-        offered = cut_lineage(offered.select(*doc, "gtoks", "g", "p", sure.alias("sure")))
-        now = offered.where("sure").select(*doc, "g", "p")
-        settled = now if settled is None else settled.unionByName(now)
-        open_g = cut_lineage(offered.where("not sure").select(*doc, "gtoks", "g"))
-        open_p = cut_lineage(open_p.join(now.select(*doc, "p"), [*doc, "p"], "left_anti").select(*doc, "ptoks", "p"))
-
-    if settled is None:
-        settled = open_g.select(*doc, "g", F.col("g").alias("p"))
-    gold_side = g.select(*doc, F.col("ord").alias("gold_ord"), F.col("text").alias("gold_text"), F.col("label").alias("gold_label"))
-    pred_side = p.select(*doc, F.col("ord").alias("pred_ord"), F.col("text").alias("pred_text"), F.col("label").alias("pred_label"))
-    claims = settled.select(*doc, F.col("g").alias("gold_ord"), F.col("p").alias("pred_ord"))
-    of_gold = gold_side.join(claims, [*doc, "gold_ord"], "left").join(pred_side, [*doc, "pred_ord"], "left")
-    loose = pred_side.join(claims.select(*doc, "pred_ord"), [*doc, "pred_ord"], "left_anti")
-    return of_gold.unionByName(loose, allowMissingColumns=True).select(*doc, *MATCH_COLUMNS)
+    nobody = F.lit(None).cast("bigint")
+    rows = open_.select(*doc, nobody.alias("gold_ord"), F.lit(0.0).alias("score"), F.col("ord").cast("bigint").alias("pred_ord"), "set").unionByName(
+        wishes.select(*doc, F.col("gold_ord").cast("bigint").alias("gold_ord"), "score", nobody.alias("pred_ord"), F.col("lset").alias("set"))
+    )
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    claims = (
+        rows.repartition(*doc).sortWithinPartitions(*doc, F.asc_nulls_first("gold_ord"), F.desc("score"), "pred_ord")
+        .mapInArrow(_claims, f"tag {kinds['tag']}, doc_id {kinds['doc_id']}, gold_ord bigint, pred_ord bigint")
+    )
+    gold_side = docs.join(g.select("doc_id", *[F.col(c).alias(f"gold_{c}") for c in ("ord", "text", "label")]), "doc_id")
+    pred_side = p.select(*doc, *[F.col(c).alias(f"pred_{c}") for c in ("ord", "text", "label")])
+    return gold_side.join(claims, [*doc, "gold_ord"], "left").join(pred_side, [*doc, "pred_ord"], "full").select(*doc, *MATCH_COLUMNS)
+
+
+def _claims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Claims of sorted rows: per document first its open predictions, then the wishes of each
+    gold item, best score first. Predictions of one set are claimed in their order."""
+    at: tuple | None = None
+    open_: dict[bytes, list[int]] = {}  # by set: open predictions, the next one last
+    gold, tied, best = None, [], None  # the gold item at hand, the sets it likes best
+    out: list[tuple] = []
+
+    def settle() -> None:
+        nonlocal gold
+        if gold is not None and tied:
+            chosen = min(tied, key=lambda s: open_[s][-1])
+            out.append((*at, gold, open_[chosen].pop()))
+        gold = None
+
+    for batch in batches:
+        columns = [batch.column(n).to_pylist() for n in ("tag", "doc_id", "gold_ord", "score", "pred_ord", "set")]
+        for tag, doc_id, wish, score, prediction, of in zip(*columns):
+            if at != (tag, doc_id):
+                settle()
+                at, open_, turned = (tag, doc_id), {}, False
+            if wish is None:
+                open_.setdefault(of, []).append(prediction)
+                continue
+            if not turned:  # predictions came in rising order
+                turned = True
+                for some in open_.values():
+                    some.reverse()
+            if wish != gold:
+                settle()
+                gold, tied, best = wish, [], None
+            if open_.get(of) and (best is None or score == best):
+                best = score
+                tied.append(of)
+        names = ["tag", "doc_id", "gold_ord", "pred_ord"]
+        done, out = out, []
+        columns = list(zip(*done)) if done else [(), (), (), ()]
+        types = [batch.schema.field("tag").type, batch.schema.field("doc_id").type, pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+    settle()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
 
 def missed(matches: DataFrame) -> DataFrame:

@@ -45,19 +45,19 @@ def convert_run(slots: DataFrame, long_docs: bool | None = None) -> tuple[DataFr
 
 def match_run(
     gold: DataFrame, pred: DataFrame, path: EvaluationPath, exclude: Sequence[int] = (), *,
-    docs: DataFrame | None = None, has_large: bool | None = None,
+    docs: DataFrame | None = None, long_docs: bool | None = None,
 ) -> DataFrame:
     """Match rows of gold slots ``(doc_id, ...)`` and predicted slots ``(tag, doc_id, ...)``.
 
     Documents without items on a side are left out (see `skipped_docs`), as are those in
     *exclude*; *docs* ``(tag, doc_id)`` names the scored ones where a document may be empty.
-    *has_large* is the caller's answer to whether some document is long.
+    *long_docs* is the caller's answer to whether some document is long (see `to_items`).
     """
     if exclude:
         gold, pred = (d.where(~F.col("doc_id").isin(list(exclude))) for d in (gold, pred))
-    gold_items = to_items(gold, path.dedup_question_title, ("doc_id",), has_large)
-    pred_items = to_items(pred, path.dedup_question_title, long_docs=has_large)
-    return greedy_match(gold_items, pred_items, path.threshold, docs=docs, has_large=has_large)
+    gold_items = to_items(gold, path.dedup_question_title, ("doc_id",), long_docs)
+    pred_items = to_items(pred, path.dedup_question_title, long_docs=long_docs)
+    return greedy_match(gold_items, pred_items, path.threshold, docs=docs)
 
 
 def skipped_docs(gold: DataFrame, pred: DataFrame) -> DataFrame:
@@ -70,21 +70,21 @@ def skipped_docs(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
 
 def evaluate_run(
-    gold: DataFrame, pred: DataFrame, path: EvaluationPath = PATH_A, exclude: Sequence[int] = (), has_large: bool | None = None
+    gold: DataFrame, pred: DataFrame, path: EvaluationPath = PATH_A, exclude: Sequence[int] = (), long_docs: bool | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(accuracy per document, confusion per document, error list). Empty tables when no
     gold document has a prediction."""
-    matches = match_run(gold, pred, path, exclude, has_large=has_large)
+    matches = match_run(gold, pred, path, exclude, long_docs=long_docs)
     conf = confusion(matches)
     return doc_accuracy(conf), conf, errors(matches)
 
 
-def threshold_sweep(gold: DataFrame, pred: DataFrame, path: EvaluationPath, thresholds: Sequence[float], has_large: bool | None = None) -> DataFrame:
+def threshold_sweep(gold: DataFrame, pred: DataFrame, path: EvaluationPath, thresholds: Sequence[float], long_docs: bool | None = None) -> DataFrame:
     """Micro scores at each threshold, and the change from the first."""
     out = None
     for t in thresholds:
         at = EvaluationPath(path.name, path.rules_applied, path.dedup_question_title, t)
-        rows = micro_prf(confusion(match_run(gold, pred, at, has_large=has_large))).withColumn("threshold", F.lit(t))
+        rows = micro_prf(confusion(match_run(gold, pred, at, long_docs=long_docs))).withColumn("threshold", F.lit(t))
         out = rows if out is None else out.unionByName(rows)
     base = F.col("threshold") == thresholds[0]
     first = out.groupBy("tag").agg(F.max(F.when(base, F.col("f1"))).alias("_f1"), F.max(F.when(base, F.col("tp"))).alias("_tp"))

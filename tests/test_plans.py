@@ -1,5 +1,8 @@
 """The physical plans the operators are meant to get."""
 
+import re
+
+from docstruct.operators import match as M
 from docstruct.operators import nest as N
 from docstruct.operators import quality as Q
 from docstruct.operators import rules as R
@@ -19,3 +22,13 @@ def test_structuring_takes_one_shuffle(spark):
 def test_losing_texts_are_dropped_before_the_shuffle(spark):
     rows = spark.range(10).selectExpr("id AS doc_id", "'e' AS extractor", "0 AS rank", "'fresh' AS source", "'text' AS text", "1 AS n_pages")
     assert "WindowGroupLimit" in plan(Q.choose_text(rows))
+
+
+def test_no_token_array_is_a_shuffle_key_or_in_a_posting(spark):
+    """Sets travel as identifiers; token arrays are fetched as values of surviving pairs."""
+    rows = spark.range(40).selectExpr("'r' AS tag", "id % 5 AS doc_id", "id AS ord", "concat('w', id % 3, ' x y') AS text", "'l' AS label", "id")
+    for df in (M.best_label(rows, rows.drop("tag")), M.containment_join(rows.select("id", "text"), rows.select("id", "text")), M.greedy_match(rows.drop("tag"), rows)):
+        text = plan(df)
+        keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
+        kept = re.findall(r"Generate posexplode\(.*\), \[([^\]]*)\], false, \[pos", text)
+        assert keys and kept and not [k for k in keys + kept if re.search(r"\b[lr]?toks#", k)]
