@@ -10,6 +10,7 @@ from checks.structure_cases import DOC
 from checks.views import EXPECTED, Views
 from docstruct.operators import fields as J
 from docstruct.operators import match as M
+from docstruct.plans import records as S
 
 MODELS = ["m1", "m2"]
 VERSIONS = ["v1", "v2"]
@@ -227,6 +228,11 @@ def _(v):
     return J.field_metrics(judged(v), J.n_reference_fields(ref_leaves(v)))
 
 
+@case("j14_score_records", f"SELECT *, correct + hallucinated AS written, {scores('n_ref - missed')} FROM {{metrics_in}}")
+def _(v):
+    return S.score_records(v("records"), v("references"))["per_record"]
+
+
 @case("j15_field_outcomes", "SELECT * FROM {outcomes}")
 def _(v):
     return outcomes(v)
@@ -264,6 +270,11 @@ def table(v: Views):
     return J.score_table(judged(v), ("run", "model"))
 
 
+@case("j18_score_records", "SELECT * FROM {table}")
+def _(v):
+    return S.score_records(v("records"), v("references"))["summary"]
+
+
 @case("j18_score_table", "SELECT * FROM {table}")
 def _(v):
     return table(v)

@@ -8,6 +8,7 @@ from checks.registry import case
 from checks.views import EXPECTED, Views
 from docstruct.functions import text as T
 from docstruct.operators import layout as L
+from docstruct.plans import texts as T
 
 # ---- expected values ---------------------------------------------------------------------
 
@@ -206,6 +207,32 @@ def _(v):
     return L.keep_title_header(v("layout_blocks")).select("doc_id", "block_no")
 
 
+# The whole block-extractor job: kept blocks, words in them, flags, lines, markers, one text.
+_L5 = f"CASE WHEN {at(ALNUM)} THEN (fontname <> body_font AND NOT {at(ITALIC)}) OR (fontname = body_font AND size > body_size + 0.5) ELSE {at(BOLD)} OR (fontname = body_font AND size > body_size + 0.5) END"
+EXPECTED["kept_blocks"] = """SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY round_even(t, 0), l, block_no) AS place FROM {keyed} k
+  WHERE NOT furniture OR (page_no = 1 AND kind = 'page_header' AND t < (SELECT min(t) FROM {keyed} b WHERE b.doc_id = k.doc_id AND b.page_no = 1 AND NOT b.furniture)
+    AND NOT EXISTS (SELECT 1 FROM {keyed} e WHERE e.doc_id = k.doc_id AND e.furniture AND e.page_no <> 1 AND e.key = k.key))"""
+EXPECTED["kept_words"] = f"""SELECT *, em OR (kind = 'section_header' AND NOT bool_or(em OR ital) OVER (PARTITION BY doc_id, page_no, block_no)) AS emph FROM (
+  SELECT w.*, b.block_no, b.kind, {_L5} AS em, {at(ITALIC)} AS ital, u.word_no IS NOT NULL AND NOT {at(URL, t='w.text')} AS under,
+    row_number() OVER (PARTITION BY w.doc_id, w.page_no, b.block_no, w.line_no ORDER BY w.x0, w.word_no) AS "at"
+  FROM {{words}} w JOIN {{profile}} USING (doc_id) JOIN (SELECT doc_id, page_no, block_no, kind, l, t, r, b FROM {{kept_blocks}}) b ON b.doc_id = w.doc_id AND b.page_no = w.page_no
+    AND w.x0 >= b.l - 1 AND w.x1 <= b.r + 1 AND w.top >= b.t - 1 AND w.bottom <= b.b + 1
+  LEFT JOIN (SELECT DISTINCT doc_id, word_no FROM {{link_words}}) u ON u.doc_id = w.doc_id AND u.word_no = w.word_no) x"""
+EXPECTED["kept_lines"] = f"""SELECT doc_id, page_no, block_no, line_no, replace(replace(replace(string_agg(piece, ' ' ORDER BY "at") || {_END}, '** **', ' '), '_ _', ' '), '++ ++', ' ') AS text FROM (
+  SELECT *, {_CLOSE} || {_OPEN} || text AS piece FROM {{kept_words}} WINDOW w AS (PARTITION BY doc_id, page_no, block_no, line_no ORDER BY "at")) x GROUP BY ALL"""
+
+
+@case(
+    "l21_block_text",
+    """SELECT doc_id, trim(regexp_replace(string_agg(text, chr(10) ORDER BY page_no, place), '[ \t]{{2,}}', ' ', 'g'), ' ' || chr(9) || chr(10)) AS text FROM (
+      SELECT k.doc_id, k.page_no, k.place, coalesce(m.text, trim(regexp_replace(k.text, '[ \t]{{2,}}', ' ', 'g'))) AS text FROM {kept_blocks} k
+      LEFT JOIN (SELECT doc_id, page_no, block_no, string_agg(text, chr(10) ORDER BY line_no) AS text FROM {kept_lines} GROUP BY ALL) m USING (doc_id, page_no, block_no)) x
+    WHERE text <> '' AND doc_id IN (SELECT doc_id FROM {words}) GROUP BY doc_id""",
+)
+def _(v):
+    return T.block_text(v("words"), v("layout_blocks"), v("links"))
+
+
 @case("l20_order_blocks", "SELECT doc_id, page_no, block_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY round_even(t, 0), l, block_no) AS place FROM {layout_blocks}")
 def _(v):
     return L.order_blocks(v("layout_blocks")).select("doc_id", "page_no", "block_no", "place")

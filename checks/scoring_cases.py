@@ -342,10 +342,12 @@ def _(v):
 @case(
     "a9_skipped_docs",
     "SELECT t.tag, g.doc_id FROM (SELECT DISTINCT doc_id FROM {gold_slots}) g, (SELECT DISTINCT tag FROM {pred_slots}) t "
-    "WHERE NOT EXISTS (SELECT 1 FROM {pred_slots} p WHERE p.tag = t.tag AND p.doc_id = g.doc_id)",
+    "WHERE NOT EXISTS (SELECT 1 FROM {pred_slots} p WHERE p.tag = t.tag AND p.doc_id = g.doc_id AND (p.doc_id + length(p.tag) + CAST(right(p.tag, 1) AS BIGINT)) % 7 <> 2)",
 )
 def _(v):
-    return P.skipped_docs(gold_slots(v), pred_slots(v))
+    """Some documents have no prediction in some runs."""
+    some = (F.col("doc_id") + F.length("tag") + F.substring("tag", -1, 1).cast("bigint")) % 7 != 2
+    return P.skipped_docs(gold_slots(v), pred_slots(v).where(some))
 
 
 EXPECTED["errors_a"] = """SELECT tag, doc_id, pred_ord, left(pred_text, 120) AS text, coalesce(gold_label, 'no_gold_match') AS true_label, pred_label FROM {matches_a}

@@ -11,7 +11,9 @@ from docstruct.operators import blocks as B
 from docstruct.operators import nest as N
 from docstruct.operators import rules as R
 from docstruct.operators.ordered import chunks_for
+from docstruct.plans import narratives as W
 from docstruct.plans import scoring as P
+from docstruct.sources import io as IO
 
 TAGS = ["run1", "run2", "run3"]
 DOC = ("doc_id",)
@@ -283,11 +285,18 @@ def _(v):
     return pred_slots(v).where("sec > 0").groupBy("tag", "doc_id", "sec").agg(F.max("q").alias("last_q"))
 
 
-@case("n1g_skipped_blocks", f"SELECT tag, count(*) AS n FROM {{pred_blocks}} WHERE trim(text) = '' OR label NOT IN ({FIVE}) GROUP BY ALL")
+@case(
+    "n1g_skipped_blocks",
+    f"""SELECT tag, CASE WHEN trim(coalesce(text, '')) = '' THEN 'blank text' ELSE 'unknown label' END AS reason, count(*) AS n FROM {{pred_blocks}}
+    WHERE trim(coalesce(text, '')) = '' OR label IS NULL OR label NOT IN ({FIVE}) GROUP BY ALL UNION ALL
+    SELECT tag, 'kept', count(*) FROM {{pred_blocks}} WHERE trim(text) <> '' AND label IN ({FIVE}) GROUP BY ALL""",
+)
 def _(v):
-    from docstruct.functions.text import is_blank
-
-    return v("pred_blocks").where(is_blank(F.col("text")) | ~F.col("label").isin(LABELS)).groupBy("tag").agg(F.count("*").alias("n"))
+    blocks = v("pred_blocks")
+    # What nesting keeps of one-block documents is what it does not skip.
+    single = blocks.withColumn("doc_id", F.concat_ws("/", "doc_id", "pos"))
+    kept = N.nest(single, chunks=None).groupBy("tag").agg(F.count_distinct("doc_id").alias("n")).select("tag", F.lit("kept").alias("reason"), "n")
+    return N.skipped_blocks(blocks).groupBy("tag", "reason").agg(F.count("*").alias("n")).unionByName(kept)
 
 
 @case(
@@ -312,12 +321,71 @@ def _(v):
     )
 
 
-@case("n1_structured_round_trip", _SLOTS + " UNION ALL SELECT tag, doc_id, CAST(sec AS BIGINT), CAST(q AS BIGINT), 'question.text', '' FROM {pred_questions} WHERE q > 0 AND question = '' "
-      "UNION ALL SELECT DISTINCT tag, doc_id, CAST(sec AS BIGINT), 0, 'section.title', '' FROM {pred_questions} WHERE sec_title = ''")
+_ROUND_TRIP = (
+    _SLOTS + " UNION ALL SELECT tag, doc_id, CAST(sec AS BIGINT), CAST(q AS BIGINT), 'question.text', '' FROM {pred_questions} WHERE q > 0 AND question = '' "
+    "UNION ALL SELECT DISTINCT tag, doc_id, CAST(sec AS BIGINT), 0, 'section.title', '' FROM {pred_questions} WHERE sec_title = ''"
+)
+
+
+@case("n1_structured_round_trip", _ROUND_TRIP)
 def _(v):
     return N.from_structured(N.to_structured(pred_slots(v)))
 
 
+# ---- stage files: the tables above as JSON texts, parsed again ---------------------------
+
+
+def block_files(v: Views):
+    """Block files of each run: a list, or for odd documents an object; some hold neither."""
+    block = F.struct("text", "label", "confidence", "page")
+    listed = v("pred_blocks").groupBy("tag", "doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", block.alias("b")))).alias("l"))
+    rows = listed.withColumn("blocks", F.transform("l", lambda x: x["b"]))
+    keep = {"ignoreNullFields": "false"}
+    text = F.when(F.col("doc_id") % 11 == 5, '{"note": 1}').when(F.col("doc_id") % 2 == 1, F.to_json(F.struct("blocks"), keep)).otherwise(F.to_json("blocks", keep))
+    return rows.select("tag", "doc_id", F.format_string("%s/%d.json", "tag", "doc_id").alias("file"), text.alias("raw"))
+
+
+@case("io1_parse_block_files", "SELECT tag, doc_id, row_number() OVER (PARTITION BY tag, doc_id ORDER BY pos) - 1 AS pos, coalesce(text, '') AS text, label, confidence, CAST(page AS BIGINT) AS page FROM {pred_blocks} WHERE doc_id % 11 <> 5")
+def _(v):
+    return IO.parse_block_files(block_files(v))[0]
+
+
+@case("io1_rejected_block_files", "SELECT DISTINCT tag, doc_id, concat(tag, '/', doc_id, '.json') AS file, 'no list of blocks' AS reason FROM {pred_blocks} WHERE doc_id % 11 = 5")
+def _(v):
+    return IO.parse_block_files(block_files(v))[1]
+
+
+def structured_files(trees):
+    text = F.when(F.col("doc_id") % 11 == 5, "[1]").when(F.col("doc_id") % 2 == 1, F.to_json(F.struct("narrative"))).otherwise(F.to_json("narrative"))
+    name = F.when(F.col("doc_id") % 5 == 1, F.format_string("s%d_v2.json", "doc_id")).otherwise(F.format_string("dmp_sample%d_new.json", "doc_id"))
+    return trees.select(*[c for c in trees.columns if c != "narrative"], name.alias("file"), text.alias("raw"))
+
+
+@case("io2_parse_structured_files", "SELECT * FROM (" + _ROUND_TRIP + ") z WHERE doc_id % 11 <> 5")
+def _(v):
+    return N.from_structured(IO.parse_structured_files(structured_files(N.to_structured(pred_slots(v))))[0])
+
+
+@case("io2_rejected_structured_files", "SELECT DISTINCT tag, doc_id, 'root is not an object' AS reason FROM {pred_slots} WHERE doc_id % 11 = 5")
+def _(v):
+    return IO.parse_structured_files(structured_files(N.to_structured(pred_slots(v))))[1].drop("file")
+
+
+@case(
+    "io3_parse_annotations",
+    "SELECT doc_id, coalesce(max(text) FILTER (slot = 'title'), '') AS title, count(DISTINCT sec) FILTER (sec > 0) AS n_sections FROM {gold_slots} WHERE doc_id % 5 <> 1 AND doc_id % 11 <> 5 GROUP BY doc_id",
+)
+def _(v):
+    files = structured_files(N.to_structured(gold_slots(v), DOC)).withColumns({"tag": F.lit("gold"), "doc_id": IO.doc_number(F.col("file"))})
+    template = F.col("narrative.template")
+    return IO.parse_annotations(files).select("doc_id", template["title"].alias("title"), F.size(template["section"]).alias("n_sections"))
+
+
+@case("io10_export_table", "SELECT tag, doc_id, ord, label, text FROM {pred_items_b}")
+def _(v):
+    return IO.export_table(R.apply_rules(pred_slots(v), long_docs=long(v)))
+
+
 # ---- rules -------------------------------------------------------------------------------
 
 
@@ -326,6 +394,20 @@ def _(v):
     return R.rule_hits(gold_slots(v), DOC, long(v))
 
 
+@case(
+    "io4_rule_actions",
+    """SELECT CAST(r."row" AS BIGINT) AS "row", source, target, count(x.sec) AS n FROM (VALUES
+      (3,'EENE','section.description','section.title'),(3,'EENE','section.description','question.text'),(5,'ENEE','section.title','question.text'),
+      (7,'ENNE','section.title','question.text'),(9,'NEEE','title','section.title'),(9,'NEEE','title','question.text'),
+      (11,'NENE','section.description','question.text'),(13,'NNEE','section.title','question.text'),(15,'NNNE','section.title','question.text')) r("row", state, source, target)
+    LEFT JOIN (SELECT *, """ + _STATE + """ AS state FROM {gold_questions} WHERE q > 0) x USING (state) GROUP BY ALL""",
+)
+def _(v):
+    """What each row of the table copies where, and how many questions it meets."""
+    actions = R.rules_df(v.spark).select("row", F.inline("actions"))
+    return R.rule_hits(gold_slots(v), DOC, long(v)).join(actions, "row").select("row", "source", "target", "n")
+
+
 @case("r1_state", f"SELECT tag, {_STATE} AS state, count(*) AS n FROM {{pred_questions}} WHERE q > 0 GROUP BY ALL")
 def _(v):
     q = N.to_questions(pred_slots(v), long_docs=long(v)).where("q > 0")
@@ -343,9 +425,18 @@ def _(v):
     return R.rule_hits(pred_slots(v), long_docs=long(v))
 
 
-@case("r4_convert_run", "SELECT tag, count(DISTINCT doc_id) AS n_docs FROM {pred_slots} GROUP BY ALL")
+@case(
+    "r4_convert_run",
+    "SELECT tag, (SELECT count(DISTINCT doc_id) FROM {pred_slots} s WHERE s.tag = f.tag) AS n_docs, count(*) FILTER (question <> '') AS n_questions, "
+    "count(*) FILTER (was <> question) AS n_filled FROM {pred_filled} f WHERE q > 0 GROUP BY tag",
+)
 def _(v):
-    return P.convert_run(pred_slots(v), long(v))[1]
+    slots = pred_slots(v)
+    filled, docs = P.convert_run(slots, long(v))
+    asked = lambda s, name: s.where("slot = 'question.text' AND text <> ''").select("tag", "doc_id", "sec", "q", F.col("text").alias(name))
+    both = asked(filled, "now").join(asked(slots, "was"), ["tag", "doc_id", "sec", "q"], "left")
+    counts = both.groupBy("tag").agg(F.count("*").alias("n_questions"), F.count_if(~F.col("now").eqNullSafe(F.col("was"))).alias("n_filled"))
+    return docs.join(counts, "tag")
 
 
 @case("r4_converted_items", "SELECT tag, doc_id, ord, text, label FROM {pred_items_b}")
@@ -353,6 +444,17 @@ def _(v):
     return N.to_items(P.convert_run(pred_slots(v), long(v))[0], dedup=False)
 
 
+EXPECTED["clean_slots"] = _NEST.replace("{keys}", "tag, doc_id").replace("{src}", "{clean}")
+
+
+@case("n1_narratives_from_answers", "SELECT tag, doc_id, CAST(sec AS BIGINT) AS sec, CAST(q AS BIGINT) AS q, slot, text FROM {clean_slots} WHERE doc_id % 11 <> 5 AND doc_id % 3 <> 0")
+def _(v):
+    """The whole job from raw answers, without the documents that are done; answers that hold no list drop out."""
+    answers = block_files(v).drop("file")
+    done = answers.where("doc_id % 3 = 0").select("tag", "doc_id")
+    return W.narratives(answers, done, chunks=chunks(v))["nested"]
+
+
 @case("r5_rule_diff", "SELECT tag, doc_id, CAST(sec AS BIGINT) AS sec, CAST(q AS BIGINT) AS q, was, question AS now, source AS filled_from FROM {pred_filled} WHERE q > 0 AND was <> question")
 def _(v):
     return R.rule_diff(pred_slots(v), long_docs=long(v))

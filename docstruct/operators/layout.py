@@ -6,8 +6,9 @@ come from small aggregates that are joined back.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -251,23 +252,28 @@ def lines_by_top(words: DataFrame) -> DataFrame:
 def lines_by_gap(words: DataFrame, keys: Sequence[str] = (*PAGE, "block_no"), tolerance: float = 2.0) -> DataFrame:
     """``line_no`` by distance from the first word of the line, then ``at`` along x0.
 
-    A line's anchor depends on all words before it, so the words of one block are folded in
-    order; a block is the unit an extractor draws a box around.
+    A line's anchor depends on all words before it: sorted words pass by once, and all that is kept of
+    them is the anchor and number of the line at hand. A word without height stays on the line.
     """
-    word = F.struct(F.bround("top", 0).alias("row"), F.col("x0").alias("left"), F.col("word_no").alias("no"), F.col("top").alias("top"))
-    ordered = words.groupBy(*keys).agg(F.sort_array(F.collect_list(word)).alias("w"))
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("line"), F.array().cast("array<struct<no: bigint, line: int>>").alias("out"))
-
-    def place(state: Column, x: Column) -> Column:
-        new = state["anchor"].isNull() | (F.abs(x["top"] - state["anchor"]) > tolerance)
-        line = F.when(new, state["line"] + 1).otherwise(state["line"])
-        anchor = F.when(new, x["top"]).otherwise(state["anchor"])
-        out = F.array_append(state["out"], F.struct(x["no"].cast("bigint").alias("no"), line.alias("line")))
-        return F.struct(anchor.alias("anchor"), line.alias("line"), out.alias("out"))
-
-    lines = ordered.select(*keys, F.inline(F.aggregate("w", start, place)["out"])).withColumnsRenamed({"no": "word_no", "line": "line_no"})
-    placed = words.join(lines, on=[*keys, "word_no"])
-    return placed.withColumn("at", F.row_number().over(Window.partitionBy(*keys, "line_no").orderBy("x0", "word_no")))
+    names = list(keys)
+    ordered = words.drop("line_no", "at").withColumn("_row", F.bround("top", 0)).repartition(*names).sortWithinPartitions(*names, "_row", "x0", "word_no").drop("_row")
+    at = [ordered.columns.index(k) for k in (*names, "top")]
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, anchor, line = None, None, 0
+        for batch in batches:
+            numbers = []
+            *own, tops = (batch.column(i).to_pylist() for i in at)
+            for here, top in zip(zip(*own), tops):
+                if here != block:
+                    block, anchor, line = here, None, 0
+                if anchor is None or (top is not None and abs(top - anchor) > tolerance):
+                    anchor, line = top, line + 1
+                numbers.append(line)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int32())], [*batch.schema.names, "line_no"])
+
+    lined = ordered.mapInArrow(numbered, f"{ordered._jdf.schema().toDDL()}, line_no int")
+    return lined.withColumn("at", F.row_number().over(Window.partitionBy(*names, "line_no").orderBy("x0", "word_no")))
 
 
 def dedup_consecutive(words: DataFrame, line: Sequence[str] = LINE) -> DataFrame:
@@ -366,10 +372,17 @@ def strip_page_edges(text: Column) -> Column:
     """Drop page numbers and blank lines from both ends of a page, not from its middle. Lines
     are tested one by one: no pattern runs over a page's edge as a whole, however long that is."""
     lines = F.split(text, LINE_BREAK)
-    inner = F.transform(lines, lambda x: ~x.rlike(EDGE_LINE))
-    first = F.array_position(inner, True)
-    last = F.size(lines) - F.array_position(F.reverse(inner), True) + 1
-    return F.when(first == 0, F.when(text.isNotNull(), "")).otherwise(strip(F.array_join(F.slice(lines, first.cast("int"), (last - first + 1).cast("int")), "\n")))
+
+    def first_inner(some: Column) -> Column:
+        # A page's edge is a line or two; all of its lines are tested only where the first eight are edge.
+        def found(xs: Column) -> Column:
+            return F.array_position(F.transform(xs, lambda x: ~x.rlike(EDGE_LINE)), True)
+
+        near = found(F.slice(some, 1, 8))
+        return F.when(near > 0, near).otherwise(found(some))
+
+    first, behind = first_inner(lines), first_inner(F.reverse(lines))
+    return F.when(first == 0, F.when(text.isNotNull(), "")).otherwise(strip(F.array_join(F.slice(lines, first.cast("int"), (F.size(lines) - behind - first + 2).cast("int")), "\n")))
 
 
 def join_pages(pages: DataFrame) -> DataFrame:

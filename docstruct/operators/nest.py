@@ -38,6 +38,16 @@ def order_key(sec: Column, q: Column, slot: Column) -> Column:
     return F.shiftleft(sec.cast("long"), 34) + q.cast("long") * 8 + slot_rank(slot)
 
 
+def skipped(text: Column, label: Column) -> Column:
+    """N1g: why nesting passes a block over, null if it does not."""
+    return F.when(is_blank(text), "blank text").when(~F.coalesce(label.isin(LABELS), F.lit(False)), "unknown label")
+
+
+def skipped_blocks(blocks: DataFrame) -> DataFrame:
+    """N1g: the blocks that `nest` passes over, with the reason."""
+    return blocks.withColumn("reason", skipped(F.col("text"), F.col("label"))).where("reason IS NOT NULL")
+
+
 def nest(blocks: DataFrame, keys: Sequence[str] = KEYS, chunks: int | str | None = "auto") -> DataFrame:
     """Slots of every document from its labeled blocks ``(keys..., pos, text, label)``.
 
@@ -45,9 +55,7 @@ def nest(blocks: DataFrame, keys: Sequence[str] = KEYS, chunks: int | str | None
     ``answer.text`` where the label key is absent). *chunks* says into how many chunks the rows
     are cut; "auto" cuts only when a document is longer than one task should scan.
     """
-    rows = blocks.select(*keys, "pos", strip("text").alias("text"), "label").where(
-        (F.col("text") != "") & F.col("label").isin(LABELS)
-    )
+    rows = blocks.select(*keys, "pos", strip("text").alias("text"), "label").where(skipped(F.col("text"), F.col("label")).isNull())
     if chunks == "auto":
         chunks = chunks_for(rows, keys)
 

@@ -21,33 +21,39 @@ def doc_number(path: Column) -> Column:
     return F.when(digits != "", digits.cast("bigint"))
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files as text, one row each; a stage file is one document's."""
+def stage_files(spark: SparkSession, path: str) -> DataFrame:
+    """Whole files as text ``(tag, doc_id, file, raw)``, one row each; a stage file is one document's."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
     where = F.col("_metadata.file_path")
     folder = F.element_at(F.split(where, "/"), -2)
     return files.select(F.url_decode(folder).alias("tag"), doc_number(where).alias("doc_id"), where.alias("file"), F.col("value").alias("raw"))
 
 
-def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """IO1: block files ``<tag>/<doc>.json`` (a list, or an object with ``blocks``) as rows with
-    their position. An absent label becomes ``answer.text``; a null one stays null."""
-    files = _files(spark, path)
+def parse_block_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """IO1: files ``(tag, doc_id, file, raw)`` that hold a list of blocks, or an object with ``blocks``,
+    as rows with their position; and the files that hold neither, with a reason. An absent label
+    becomes ``answer.text``; a null one stays null."""
     entry = "array<map<string,string>>"
     as_object = F.from_json("raw", "map<string,string>")["blocks"]
-    listed = F.when(F.ltrim("raw").startswith("["), F.col("raw")).otherwise(as_object)
-    rows = files.select("tag", "doc_id", F.posexplode(F.from_json(listed, entry)).alias("pos", "b"))
+    marked = files.withColumn("_b", F.from_json(F.when(F.ltrim("raw").startswith("["), F.col("raw")).otherwise(as_object), entry))
+    reason = F.when(F.try_parse_json("raw").isNull(), "not valid JSON").otherwise("no list of blocks")
+    bad = marked.where("_b IS NULL").select("tag", "doc_id", "file", reason.alias("reason"))
+    rows = marked.select("tag", "doc_id", F.posexplode("_b").alias("pos", "b"))
     return rows.select(
         "tag", "doc_id", "pos", F.coalesce(F.col("b")["text"], F.lit("")).alias("text"),
         F.when(F.map_contains_key("b", F.lit("label")), F.col("b")["label"]).otherwise(ANSWER).alias("label"),
         F.col("b")["confidence"].cast("double").alias("confidence"), F.expr("try_cast(b['page'] as int)").alias("page"),
-    )
+    ), bad
 
 
-def read_structured(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """IO2: nested documents, and the files whose root is no object (with a reason). *strict*
-    fails the job on the first such file instead."""
-    files = _files(spark, path)
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """IO1: block files ``<tag>/<doc>.json``; see `parse_block_files`."""
+    return parse_block_files(stage_files(spark, path))[0]
+
+
+def parse_structured_files(files: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """IO2: nested documents of files ``(tag, doc_id, file, raw)``, and the files whose root is no object
+    (with a reason). *strict* fails the job on the first such file instead."""
     root = F.try_parse_json("raw")
     is_object = F.try_variant_get(root, "$", "map<string,variant>").isNotNull()
     marked = files.withColumn("_ok", is_object)
@@ -61,15 +67,25 @@ def read_structured(spark: SparkSession, path: str, strict: bool = False) -> tup
     return good, bad
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """IO3: annotation files of one folder, document number from the name; others are dropped."""
-    good, _ = read_structured(spark, path)
+def read_structured(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """IO2: nested documents below *path*; see `parse_structured_files`."""
+    return parse_structured_files(stage_files(spark, path), strict)
+
+
+def parse_annotations(files: DataFrame) -> DataFrame:
+    """IO3: the annotation of every file that names a document number; others are dropped."""
+    good, _ = parse_structured_files(files)
     return good.where(F.col("doc_id").isNotNull()).select("doc_id", "narrative")
 
 
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """IO3: annotation files of one folder, document number from the name; see `parse_annotations`."""
+    return parse_annotations(stage_files(spark, path))
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Field records as raw JSON per document."""
-    return _files(spark, path).where(F.col("doc_id").isNotNull()).select("tag", "doc_id", "raw")
+    return stage_files(spark, path).where(F.col("doc_id").isNotNull()).select("tag", "doc_id", "raw")
 
 
 def write_stage(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -107,10 +123,15 @@ def fingerprint(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat(*parts), 256), 1, 12)
 
 
+def export_table(slots: DataFrame) -> DataFrame:
+    """IO10: what `export_items` writes: ``(tag, doc_id, ord, label, text)``."""
+    return to_label_text(slots)
+
+
 def export_items(slots: DataFrame, path: str, fmt: str = "csv", buckets: int = 64) -> None:
     """IO10: (doc_id, ord, label, text) tables in order, in place of a sheet per document. Folders are by
     tag and hash bucket of the document; only the folders of the tags and buckets written are replaced."""
-    rows = to_label_text(slots).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    rows = export_table(slots).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
     out = rows.repartition("tag", "bucket", F.floor(F.col("ord") / (1 << 44))).sortWithinPartitions("tag", "bucket", "doc_id", "ord")
     writer = out.write.partitionBy("tag", "bucket").option("partitionOverwriteMode", "dynamic").mode("overwrite").format(fmt)
     (writer.option("header", True) if fmt == "csv" else writer).save(path)

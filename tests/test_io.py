@@ -65,8 +65,10 @@ def test_only_new_files_are_processed(spark, tmp_path):
     for doc in (1, 2):
         spark.createDataFrame([("t", doc, 0, f"title {doc}", "title"), ("t", doc, 1, "a", "answer.text")], schema).coalesce(1).write.mode("append").parquet(source)
         incremental.run_available(incremental.read_new_blocks(spark, source, schema), out, mark).awaitTermination()
-    rows = spark.read.parquet(out)
+    rows = incremental.latest(spark, out)
     assert {(r.doc_id, r.text) for r in rows.where("slot = 'title'").collect()} == {(1, "title 1"), (2, "title 2")}
+    # The second batch wrote the document it touched and nothing else.
+    assert {(r.batch, r.doc_id) for r in spark.read.parquet(out).collect()} == {(0, 1), (1, 2)}
 
 
 def test_a_document_in_two_batches_comes_out_whole(spark, tmp_path):
@@ -79,8 +81,14 @@ def test_a_document_in_two_batches_comes_out_whole(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
     incremental.run_available(incremental.read_new_blocks(spark, source, schema, max_files=1), out, mark).awaitTermination()
     whole = apply_rules(N.nest(spark.createDataFrame(rows, schema)))
-    got = spark.read.parquet(out)
-    assert sorted(map(str, got.select(*whole.columns).collect())) == sorted(map(str, whole.collect()))
+    def same(folder=out):
+        got = incremental.latest(spark, folder)
+        return sorted(map(str, got.select(*whole.columns).collect())) == sorted(map(str, whole.collect()))
+
+    assert same()
+    assert {(r.batch, r.doc_id) for r in spark.read.parquet(out).collect()} == {(0, 1), (0, 2), (1, 1), (2, 1)}
+    incremental.compact(spark, out, out + "2")
+    assert same(out + "2") and {(r.batch, r.doc_id) for r in spark.read.parquet(out + "2").collect()} == {(2, 1), (2, 2)}
 
 
 def test_encoded_names_and_tags(spark, tmp_path):
