@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docstruct.functions.json_text import last_values
 from docstruct.functions.text import collapse, is_blank, strip
 from docstruct.labels import ANSWER, LABELS
 from docstruct.operators.ordered import chunks_for, scan
@@ -18,14 +19,15 @@ KEYS = ("tag", "doc_id")
 def parse_blocks_json(df: DataFrame, raw: str = "raw") -> DataFrame:
     """B1: add ``blocks`` (array of text, label) and ``reason`` (null when usable) from *raw*.
 
-    Takes a list, or the first value of an object that is a list, with or without a code fence. An
+    Takes a list, or the first value of an object that is a list, with or without a code fence; a
+    repeated key counts with its last value. An
     absent label becomes ``answer.text``; a null one stays null. Entries that are no objects are
     left out and their positions listed in ``bad_entries``; the others keep their order.
     """
     text = strip(F.col(raw))
     fenced = F.regexp_extract(text, r"(?s)^```(.*?)(?:```|$)", 1)
     body = F.when(text.startswith("```"), strip(F.regexp_replace(fenced, r"^json", ""))).otherwise(text)
-    df = df.withColumn("_body", body).withColumn("_value", F.try_parse_json("_body"))
+    df = df.withColumn("_body", last_values(body)).withColumn("_value", F.try_parse_json("_body"))
     members = F.try_variant_get("_value", "$", "map<string,variant>")
     listed = lambda v: F.try_variant_get(v, "$", "array<variant>")
     df = df.withColumns({"_members": members, "_own": listed(F.col("_value"))})

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docstruct.functions.json_text import last_values
 from docstruct.functions.text import (
     bare_path, containment, field_kind, is_empty_value, norm_date, norm_id, norm_text, tokens,
 )
@@ -87,8 +88,8 @@ def key_census(records: DataFrame, raw: str = "raw", pattern: str | None = None)
 
 
 def split_invalid(records: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
-    """(valid records, rows whose text is no JSON object, with a reason)."""
-    parsed = F.try_parse_json(F.col(raw))
+    """(valid records, rows whose text is no JSON object, with a reason). Repeated keys are no fault."""
+    parsed = F.try_parse_json(last_values(F.col(raw)))
     reason = F.when(parsed.isNull(), "not valid JSON").when(_as_map(parsed).isNull(), "not a JSON object")
     marked = records.withColumn("reason", reason)
     return marked.where(F.col("reason").isNull()).drop("reason"), marked.where(F.col("reason").isNotNull())

@@ -6,7 +6,7 @@ come from small aggregates that are joined back.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -25,17 +25,22 @@ LINE = ("doc_id", "page_no", "line_top")
 
 def body_profile(words: DataFrame) -> DataFrame:
     """L1: ``body_font`` and ``body_size`` per document: the most frequent over characters, the
-    one met first on ties. Faces and sizes are counted apart, with map-side sums."""
-    n = F.length("text")
-    place = F.struct("page_no", "word_no")
+    one met first on ties. Words are counted once, by face and size, with map-side sums; what comes
+    together per document are its distinct pairs of them."""
+    counted = words.groupBy("doc_id", F.col("fontname").alias("font"), F.round("size", 1).alias("size")).agg(
+        F.sum(F.length("text")).alias("n"), F.min(F.struct("page_no", "word_no")).alias("place")
+    )
+    faces = counted.groupBy("doc_id").agg(F.collect_list(F.struct("font", "size", "n", "place")).alias("faces"))
+
+    def top(field: str) -> Column:
+        def total(value: Column) -> Column:
+            of = F.filter("faces", lambda x: x[field].eqNullSafe(value))
+            n = F.aggregate(of, F.lit(0).cast("bigint"), lambda acc, x: acc + F.coalesce(x["n"], F.lit(0)))
+            return F.struct((-n).alias("neg"), F.array_min(F.transform(of, lambda x: x["place"])).alias("place"), value.alias("value"))
 
-    def top(column: Column, name: str) -> DataFrame:
-        counted = words.select("doc_id", column.alias(name), n.alias("n"), place.alias("place")).groupBy("doc_id", name).agg(
-            F.sum("n").alias("n"), F.min("place").alias("place")
-        )
-        return counted.groupBy("doc_id").agg(F.min_by(name, F.struct((-F.col("n")).alias("neg"), "place")).alias(name))
+        return F.array_min(F.transform(F.array_distinct(F.transform("faces", lambda x: x[field])), total))["value"]
 
-    return top(F.col("fontname"), "body_font").join(top(F.round("size", 1), "body_size"), on="doc_id")
+    return faces.select("doc_id", top("font").alias("body_font"), top("size").alias("body_size"))
 
 
 def is_emphasized(font: Column, size: Column, body_font: Column, body_size: Column) -> Column:
@@ -139,26 +144,36 @@ def chars_in_words(chars: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def underlined(words: DataFrame, rects: DataFrame) -> DataFrame:
-    """Add ``under``: a thin wide rectangle lies at the word's baseline; never for URLs.
+    """Add ``under``: a thin wide rectangle lies at the word's baseline; never for URLs."""
+    thin = rects.where((F.col("bottom") - F.col("top") <= 2.0) & (F.col("x1") - F.col("x0") > 5)).select(*PAGE, "x0", "x1", "top")
 
-    Rectangles are the few; words that meet one are found first and joined back by number.
-    """
-    thin = rects.where((F.col("bottom") - F.col("top") <= 2.0) & (F.col("x1") - F.col("x0") > 5)).select(
-        *PAGE, F.col("x0").alias("rx0"), F.col("x1").alias("rx1"), F.col("top").alias("rtop")
-    )
-    hit = (
-        F.col("rtop").between(F.col("bottom") - 4, F.col("bottom") + 3)
-        & (F.col("x1") > F.col("rx0") + 1) & (F.col("x0") < F.col("rx1") - 1)
-    )
-    able = words.where(~looks_like_url(F.col("text"))).select(*PAGE, "word_no", "x0", "x1", "bottom")
-    met = _meet(able, F.col("bottom"), thin, F.col("rtop") - 3, F.col("rtop") + 4, hit)
-    return _flag(words, met, "under")
+    def hit(r: Column) -> Column:
+        near = r["top"].between(F.col("bottom") - 4, F.col("bottom") + 3)
+        return near & (F.col("x1") > r["x0"] + 1) & (F.col("x0") < r["x1"] - 1)
+
+    return _flag(words, F.col("bottom"), thin, F.col("top") - 3, F.col("top") + 4, hit)
 
 
 def in_link(words: DataFrame, links: DataFrame) -> DataFrame:
     """Add ``under``: the word's centre lies in a link's box (1 pt around); never for URLs."""
-    met = _under_links(words.where(~looks_like_url(F.col("text"))), links)
-    return _flag(words, met, "under")
+    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
+
+    def hit(r: Column) -> Column:
+        return cx.between(r["x0"] - 1, r["x1"] + 1) & cy.between(r["top"] - 1, r["bottom"] + 1)
+
+    return _flag(words, cy, links.select(*PAGE, "x0", "x1", "top", "bottom"), F.col("top") - 1, F.col("bottom") + 1, hit)
+
+
+def _flag(words: DataFrame, at: Column, boxes: DataFrame, top: Column, bottom: Column, hit: Callable[[Column], Column]) -> DataFrame:
+    """Add ``under``: some box of the page is *hit* by the word, which is no URL. The boxes of a band
+    of the page meet its words as one list, so words are moved once and none comes twice."""
+    box = F.struct(*[c for c in boxes.columns if c not in PAGE])
+    near = boxes.select(*PAGE, F.explode(_bands(top, bottom)).alias("_band"), box.alias("_box")).groupBy(*PAGE, "_band").agg(
+        F.collect_list("_box").alias("_boxes")
+    )
+    met = words.withColumn("_band", F.floor(at / BAND)).join(near, [*PAGE, "_band"], "left")
+    under = ~looks_like_url(F.col("text")) & F.exists("_boxes", hit)
+    return met.withColumn("under", F.coalesce(under, F.lit(False))).drop("_band", "_boxes")
 
 
 def _under_links(words: DataFrame, links: DataFrame) -> DataFrame:
@@ -168,11 +183,6 @@ def _under_links(words: DataFrame, links: DataFrame) -> DataFrame:
     return _meet(words, cy, box, F.col("ltop") - 1, F.col("lbottom") + 1, inside)
 
 
-def _flag(words: DataFrame, met: DataFrame, name: str) -> DataFrame:
-    hits = met.select(*PAGE, "word_no").distinct().withColumn(name, F.lit(True))
-    return words.join(hits, on=[*PAGE, "word_no"], how="left").withColumn(name, F.coalesce(name, F.lit(False)))
-
-
 def text_under_links(words: DataFrame, links: DataFrame) -> DataFrame:
     """The words under each link, in word order; links over no word give an empty text."""
     met = _under_links(words, links)

@@ -236,12 +236,15 @@ def ungrounded_lines(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
         return F.regexp_extract_all(F.lower(text), F.lit("[a-z]{4,}"), F.lit(0))
 
     known = vocabulary.select("doc_id", long_words(F.col("text")).alias("known"))
-    both = docs.join(known, on="doc_id").select(
-        "doc_id", "text", F.array_except(long_words(F.col("text")), "known").alias("unknown")
+    lines = F.split("text", r"\r\n|\r|\n")
+    split = docs.select("doc_id", lines.alias("lines")).withColumn("words", F.transform("lines", long_words))
+    both = split.join(known, on="doc_id").select("doc_id", "lines", "words", F.array_except(F.flatten("words"), "known").alias("unknown"))
+    rows = both.select("doc_id", "unknown", F.posexplode(F.arrays_zip("lines", "words")).alias("line_no", "x")).select(
+        "doc_id", "line_no", "unknown", F.col("x.lines").alias("line"), F.col("x.words").alias("words")
     )
-    lines = both.select("doc_id", "unknown", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("line_no", "line"))
-    words = long_words(F.col("line"))
-    n_unknown = F.size(F.filter("words", lambda w: F.array_contains(F.col("unknown"), w)))
-    return lines.withColumn("words", words).select(
+    # The line's own unknown words first, through a hash; its words are then looked up in those few.
+    odd = rows.where(F.size("words") >= 4).withColumn("odd", F.array_intersect("words", "unknown"))
+    n_unknown = F.size(F.filter("words", lambda w: F.array_contains(F.col("odd"), w)))
+    return odd.select(
         "doc_id", "line_no", strip("line").alias("line"), F.size("words").alias("n_words"), n_unknown.alias("n_unknown")
-    ).where((F.col("n_words") >= 4) & (F.col("n_unknown") >= F.floor(F.col("n_words") / 2)))
+    ).where(F.col("n_unknown") >= F.floor(F.col("n_words") / 2))

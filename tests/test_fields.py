@@ -213,3 +213,11 @@ def test_merge_takes_objects_only(spark):
     got = {r.doc_id: (r.merged, r.reason) for r in J.merge_records(a, b).collect()}
     first, second = (None, "first record is not an object"), (None, "second record is not an object")
     assert got == {1: first, 2: first, 3: second, 4: ('{"a": 1, "n": 2}', None)}
+
+
+def test_invalid_records(spark):
+    raws = ['{"a": 1, "a": 2}', "[1]", "{", None, '{"a": {"b": 1, "b": [2]}}']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(raws)], "doc_id bigint, raw string")
+    good, bad = J.split_invalid(df)
+    assert sorted(r.doc_id for r in good.collect()) == [0, 4]
+    assert {r.doc_id: r.reason for r in bad.collect()} == {1: "not a JSON object", 2: "not valid JSON", 3: "not valid JSON"}

@@ -161,3 +161,16 @@ def test_bad_entries_cost_only_themselves(spark):
     got = parse_blocks_json(spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, raw string")).orderBy("i").collect()
     assert [[(b.text, b.label) for b in r.blocks] for r in got] == [[("a", "title")], [("a", "answer.text"), ("b", None)], [], []]
     assert [r.bad_entries for r in got] == [[], [1, 3], [], []] and [r.reason for r in got] == [None, None, "no list in the response", None]
+
+
+def test_repeated_keys_count_with_their_last_value(spark):
+    from docstruct.operators.blocks import parse_blocks_json
+
+    raws = [
+        '{"a": 1, "a": [{"text": "x", "text": "y", "label": "title"}]}', '```json\n[{"text": "a", "text": "é"}]\n```', '{"a": [], "a": 2}',
+        '[{"text": "a", "text": ]', '[{"text": NaN, "text": 1}]', None,
+    ]
+    got = parse_blocks_json(spark.createDataFrame([(i, x) for i, x in enumerate(raws)], "i int, raw string")).orderBy("i").collect()
+    assert [([tuple(b) for b in r.blocks], r.reason) for r in got] == [
+        ([("y", "title")], None), ([("é", "answer.text")], None), ([], "no list in the response"), ([], "not valid JSON"), ([], "not valid JSON"), ([], "empty response"),
+    ]
