@@ -40,6 +40,14 @@ def containment(left: Column, right: Column) -> Column:
     return F.when(F.size(left) > 0, shared / F.size(left)).otherwise(F.lit(0.0))
 
 
+def n_among(words: Column, some: Column) -> Column:
+    """How many of *words*, repeats included, are among *some*. Both are computed once: what they
+    share is found through a hash and carried along a fold, as a lambda would compute it per word."""
+    start = F.struct(F.lit(0).alias("n"), F.array_intersect(words, some).alias("met"))
+    step = lambda acc, w: F.struct((acc["n"] + F.array_contains(acc["met"], w).cast("int")).alias("n"), acc["met"].alias("met"))
+    return F.aggregate(words, start, step, lambda acc: acc["n"])
+
+
 def looks_like_url(c: Column) -> Column:
     """L9"""
     return F.lower(c).rlike(r"https?:|www\.")

@@ -81,6 +81,14 @@ def page_count(blocks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def _numbered_runs(blocks: DataFrame, keys: Sequence[str], chunks: int | str | None) -> DataFrame:
     if chunks == "auto":
         chunks = chunks_for(blocks, keys)
+    if chunks is not None:
+        # Identifiers and labels are scanned in chunks, the rest is joined back once.
+        slim = _run_numbers(blocks.select(*keys, "pos", "label"), keys, chunks).drop("label")
+        return blocks.join(slim, [*keys, "pos"])
+    return _run_numbers(blocks, keys, None)
+
+
+def _run_numbers(blocks: DataFrame, keys: Sequence[str], chunks: int | None) -> DataFrame:
     before = scan(
         blocks, keys, "pos", chunks=chunks, lags={"_prev": F.struct(F.col("label").alias("label"))}
     )

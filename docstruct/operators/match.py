@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docstruct.functions.text import letters_and_digits
+from docstruct.functions.text import letters_and_digits, n_among
 from docstruct.labels import CONTAINMENT_THRESHOLD
 from docstruct.operators.set_join import needed, set_pairs, token_sets, with_tokens
 from docstruct.session import cut_lineage
@@ -277,14 +277,13 @@ def grounding(values: DataFrame, docs: DataFrame) -> DataFrame:
     """Is each ``value`` found in its document's text? Adds ``grounding``.
 
     Found means: as a normalised substring, or at least 80% of its words of three or more
-    letters occur in the text. Words are looked up in the blank-padded normalised text, which
-    needs no per-document word list.
+    letters occur in the text. The text is taken into words once per value that is no substring
+    of it, and those of the value among them are picked out through a hash.
     """
     flat = docs.select("doc_id", letters_and_digits(F.col("text")).alias("flat"))
     v = letters_and_digits(F.col("value"))
     words = F.filter(F.split(v, " "), lambda w: F.length(w) > 2)
-    padded = F.concat(F.lit(" "), F.coalesce("flat", F.lit("")), F.lit(" "))
-    known = F.size(F.filter("words", lambda w: F.contains(padded, F.concat(F.lit(" "), w, F.lit(" ")))))
+    known = n_among(F.col("words"), F.split(F.coalesce("flat", F.lit("")), " "))
     verdict = (
         F.when(F.coalesce(F.trim("value"), F.lit("")) == "", "empty")
         .when(F.col("norm").isin(PLACEHOLDERS), "placeholder")

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from docstruct.functions.text import is_blank, strip
 from docstruct.labels import ANSWER, LABELS, QUESTION, SECTION_DESCRIPTION, SECTION_TITLE, TITLE
-from docstruct.operators.ordered import chunks_for, scan
+from docstruct.operators.ordered import CHUNK_ROWS, chunks_for, scan
+from docstruct.session import cut_lineage
 
 KEYS = ("tag", "doc_id")
 
@@ -53,12 +54,28 @@ def nest(blocks: DataFrame, keys: Sequence[str] = KEYS, chunks: int | str | None
 
     Blank texts are skipped and rows whose label is none of the five are dropped (readers put
     ``answer.text`` where the label key is absent). *chunks* says into how many chunks the rows
-    are cut; "auto" cuts only when a document is longer than one task should scan.
+    are cut; None cuts none. "auto" counts rows per document first (one small job) and cuts only the
+    documents that are longer than one task should scan; all others keep to one shuffle.
     """
     rows = blocks.select(*keys, "pos", strip("text").alias("text"), "label").where(skipped(F.col("text"), F.col("label")).isNull())
     if chunks == "auto":
         chunks = chunks_for(rows, keys)
+        if chunks is not None:
+            long = cut_lineage(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > CHUNK_ROWS).drop("_n"))
+            short, cut = rows.join(long, list(keys), "left_anti"), rows.join(long, list(keys), "left_semi")
+            return assemble(_placed(short, keys, None), keys).unionByName(assemble(_placed(cut, keys, chunks), keys))
+    return assemble(_placed(rows, keys, chunks), keys)
 
+
+def _placed(rows: DataFrame, keys: Sequence[str], chunks: int | None) -> DataFrame:
+    """Section, question and slot of every block. Only identifiers and labels are scanned in chunks;
+    the texts are joined back once."""
+    if chunks is not None:
+        return rows.select(*keys, "pos", "text").join(_scanned(rows.drop("text"), keys, chunks), [*keys, "pos"])
+    return _scanned(rows, keys, None)
+
+
+def _scanned(rows: DataFrame, keys: Sequence[str], chunks: int | None) -> DataFrame:
     # A title counts as the title when nothing came before it but titles, or no title did.
     is_title = F.col("label") == TITLE
     rows = scan(
@@ -97,12 +114,11 @@ def nest(blocks: DataFrame, keys: Sequence[str] = KEYS, chunks: int | str | None
     in_question = F.col("slot").isin(QUESTION, ANSWER)
     number = F.when(in_question, F.col("asked") - F.coalesce("at_open", "base", F.lit(0))).otherwise(0)
 
-    placed = rows.select(
-        *keys, "pos", "text", "slot",
+    return rows.select(
+        *keys, "pos", *[c for c in rows.columns if c == "text"], "slot",
         F.when(F.col("slot") == TITLE, 0).otherwise(F.col("sec")).cast("int").alias("sec"),
         number.cast("int").alias("q"),
     )
-    return assemble(placed, keys)
 
 
 def assemble(placed: DataFrame, keys: Sequence[str]) -> DataFrame:

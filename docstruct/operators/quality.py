@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docstruct.functions.text import is_blank, strip
+from docstruct.functions.text import is_blank, n_among, strip
 
 # Limits of the readability tests.
 MAX_RAW_CHARACTER_IDS = 10
@@ -242,9 +242,7 @@ def ungrounded_lines(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     rows = both.select("doc_id", "unknown", F.posexplode(F.arrays_zip("lines", "words")).alias("line_no", "x")).select(
         "doc_id", "line_no", "unknown", F.col("x.lines").alias("line"), F.col("x.words").alias("words")
     )
-    # The line's own unknown words first, through a hash; its words are then looked up in those few.
-    odd = rows.where(F.size("words") >= 4).withColumn("odd", F.array_intersect("words", "unknown"))
-    n_unknown = F.size(F.filter("words", lambda w: F.array_contains(F.col("odd"), w)))
-    return odd.select(
+    n_unknown = n_among(F.col("words"), F.col("unknown"))
+    return rows.where(F.size("words") >= 4).select(
         "doc_id", "line_no", strip("line").alias("line"), F.size("words").alias("n_words"), n_unknown.alias("n_unknown")
     ).where(F.col("n_unknown") >= F.floor(F.col("n_words") / 2))

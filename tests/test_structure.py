@@ -95,6 +95,21 @@ def test_random_documents_match_the_fold(spark, chunks):
     assert got == {d: fold(items) for d, items in docs.items() if fold(items)}
 
 
+def test_one_long_document_among_short_ones(spark, monkeypatch):
+    """Only the long one is cut; the others keep to one shuffle, and no checkpoint holds a text."""
+    from docstruct.operators import ordered
+
+    held = []
+    real = ordered.cut_lineage
+    monkeypatch.setattr(ordered, "cut_lineage", lambda df: held.append(df.columns) or real(df))
+    for module in (N, ordered):
+        monkeypatch.setattr(module, "CHUNK_ROWS", 30)
+    monkeypatch.setattr(N, "chunks_for", lambda df, keys: ordered.chunks_for(df, keys, 30))
+    docs = random_docs(25, 12, 5) | {99: [x for d in random_docs(20, 12, 6).values() for x in d]}
+    assert collected(N.nest(blocks(spark, docs))) == collected(N.nest(blocks(spark, docs), chunks=None))
+    assert held and not [c for c in held if "text" in c]
+
+
 @pytest.mark.parametrize("chunks", [None, 4])
 def test_join_runs(spark, chunks):
     docs = {1: [(Q, "a"), (Q, "b"), (A, "c"), (None, "d"), (None, "e"), (A, "f")], 2: [(A, "x")] * 9}
