@@ -2,8 +2,8 @@
 
 A confusion is a long table ``(keys..., true_label, pred_label, n)``; ``__missed__`` stands in
 the predicted column, ``__no_gold__`` in the true column. One pass over the match rows makes it,
-and every metric below works on that small table with conditional sums, so a metric never costs
-a second pass over the matches.
+and the metrics below work on that small table with conditional sums. Those that set two runs,
+paths or levels side by side (A14, A19, A24, A27, A30) read it twice.
 """
 
 from __future__ import annotations
