@@ -96,8 +96,7 @@ def test_double_array_holds_exactly_its_phrases():
     some = {k: np.unique(np.array([[rng.randrange(1, 30) for _ in range(k)] for _ in range(400)], np.uint64), axis=0) for k in (2, 3, 4)}
     trie, states = phrases.Trie.build(list(some.values()))
     ids = np.array([rng.randrange(0, 32) for _ in range(20_000)], np.uint64)
-    counts = np.zeros(len(trie.check), np.int64)
-    trie.count(ids, 4, counts)
+    counts = trie.count([ids], 4)
     for (k, found), state in zip(some.items(), states):
         seen = Counter(tuple(ids[i : i + k].tolist()) for i in range(len(ids) - k + 1))
         assert [seen[tuple(p.tolist())] for p in found] == counts[state].tolist()
