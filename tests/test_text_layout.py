@@ -1,7 +1,11 @@
 """Text quality, markers, layout and pages."""
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from checks.compare import rows_of
+from checks.views import TABLES
 from docstruct.functions import text as X
 from docstruct.operators import layout as L
 from docstruct.operators import quality as Q
@@ -79,3 +83,15 @@ def test_page_edges_of_any_length(spark):
     rows = [(edge + "text\n7\nmore" + "\n" + edge,), ("a\f3",), ("3 a",), (" \n4\n",), ("",), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(strip_page_edges(F.col("t"))).collect()]
     assert got == ["text\n7\nmore", "a", "a", "", "", None]
+
+
+def test_text_queries_find_their_functions(spark):
+    """Queries of `functions.text` beside one of `plans.texts`: both modules must be in reach."""
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    for name in ("l3_is_italic", "l9_looks_like_url", "l13_looks_doubled", "l21_block_text", "l25_markdown_to_marked"):
+        df = entry.queries()[name](spark, folder)
+        cur = con.execute(entry.oracle_sql()[name])
+        assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of([d[0] for d in cur.description], cur.fetchall()), name
