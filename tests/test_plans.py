@@ -2,6 +2,7 @@
 
 import re
 
+from docstruct.operators import fields as J
 from docstruct.operators import match as M
 from docstruct.operators import nest as N
 from docstruct.operators import quality as Q
@@ -32,3 +33,22 @@ def test_no_token_array_is_a_shuffle_key_or_in_a_posting(spark):
         keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
         kept = re.findall(r"Generate posexplode\(.*\), \[([^\]]*)\], false, \[pos", text)
         assert keys and kept and not [k for k in keys + kept if re.search(r"\b[lr]?toks#", k)]
+
+
+def test_references_and_texts_do_not_go_through_the_driver(spark):
+    """Texts that a query makes have guessed sizes; a guess must not turn a table per document into a broadcast."""
+    refs = spark.range(10).selectExpr("id AS doc_id", "concat('{\"a\": \"', id, '\"}') AS raw")
+    recs = refs.selectExpr("'r' AS run", "'m' AS model", "doc_id", "raw")
+    judged, ref_leaves = J.judge(recs, refs), J.leaves(refs, keys=("doc_id",))
+    for df in (
+        judged, J.aligned_leaves(recs, refs), J.pair_items(recs, refs, "a"), J.field_metrics(judged, J.n_reference_fields(ref_leaves)),
+        J.field_wide(J.field_outcomes(judged), judged, ["m"]), M.grounding(J.leaves(recs), refs.withColumnRenamed("raw", "text")),
+    ):
+        assert "Broadcast" not in plan(df)
+
+
+def test_records_of_one_partition_are_parsed_in_many(spark):
+    recs = spark.range(100, numPartitions=1).selectExpr("id AS doc_id", "concat('{\"a\": [{\"b\": ', id, '}, {\"a\": null}]}') AS raw")
+    for df in (*J.split_invalid(recs), J.key_census(recs)):
+        assert "REPARTITION_BY_NUM" in plan(df)
+    assert {(r.key, r.n) for r in J.key_census(recs).collect()} == {("a", 200), ("b", 100)}
