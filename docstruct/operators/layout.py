@@ -254,8 +254,11 @@ def order_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def lines_by_top(words: DataFrame) -> DataFrame:
-    """``line_top`` (rounded to 0.1) groups words into lines, ``at`` counts along x0."""
-    lined = words.withColumn("line_top", F.round("top", 1))
+    """``line_top`` (rounded to 0.1) groups words into lines, ``at`` counts along x0.
+
+    Words dealt by document may have been spread by the size of its text, of which they are many times
+    as much; dealt by page, what a task sorts follows from their own size."""
+    lined = words.withColumn("line_top", F.round("top", 1)).repartition(*PAGE)
     return lined.withColumn("at", F.row_number().over(Window.partitionBy(*LINE).orderBy("x0", "word_no")))
 
 

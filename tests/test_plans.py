@@ -3,6 +3,7 @@
 import re
 
 from docstruct.operators import fields as J
+from docstruct.operators import layout as L
 from docstruct.operators import match as M
 from docstruct.operators import nest as N
 from docstruct.operators import quality as Q
@@ -53,3 +54,9 @@ def test_records_of_one_partition_are_parsed_in_many(spark):
         text = plan(df)
         assert "REPARTITION_BY_NUM" in text and "parse" not in text[text.index("REPARTITION_BY_NUM"):]
     assert {(r.key, r.n) for r in J.key_census(recs).collect()} == {("a", 200), ("b", 100)}
+
+
+def test_words_dealt_by_document_are_dealt_by_page_before_lines_are_sorted(spark):
+    words = spark.range(20).selectExpr("id % 3 AS doc_id", "id % 2 AS page_no", "id AS word_no", "'w' AS text", "double(id) AS top", "double(id) AS x0").repartition("doc_id")
+    text = plan(L.line_affected(L.dedup_consecutive(L.lines_by_top(words))))
+    assert re.findall(r"Exchange hashpartitioning\((\w+)#\d+L?, (\w+)#", text) == [("doc_id", "page_no")]
