@@ -25,11 +25,15 @@ LINE = ("doc_id", "page_no", "line_top")
 
 def body_profile(words: DataFrame) -> DataFrame:
     """L1: ``body_font`` and ``body_size`` per document: the most frequent over characters, the
-    one met first on ties. Words are counted once, by face and size, with map-side sums; what comes
-    together per document are its distinct pairs of them."""
-    counted = words.groupBy("doc_id", F.col("fontname").alias("font"), F.round("size", 1).alias("size")).agg(
-        F.sum(F.length("text")).alias("n"), F.min(F.struct("page_no", "word_no")).alias("place")
+    one met first on ties. Words are counted once, by page, face and size, with map-side sums; what comes
+    together per document are its distinct pairs of face and size.
+
+    The first word of a page is a plain number, so words are counted through a hash; the least pair of page
+    and word would have all words sorted first."""
+    of_page = words.groupBy("doc_id", "page_no", F.col("fontname").alias("font"), F.round("size", 1).alias("size")).agg(
+        F.sum(F.length("text")).alias("n"), F.min("word_no").alias("word_no")
     )
+    counted = of_page.groupBy("doc_id", "font", "size").agg(F.sum("n").alias("n"), F.min(F.struct("page_no", "word_no")).alias("place"))
     faces = counted.groupBy("doc_id").agg(F.collect_list(F.struct("font", "size", "n", "place")).alias("faces"))
 
     def top(field: str) -> Column:
@@ -57,10 +61,16 @@ def char_emphasis(word_text: Column) -> Column:
     ).otherwise(names_bold(F.col("fontname")) | bigger)
 
 
+def _with_profile(words: DataFrame, profile: DataFrame) -> DataFrame:
+    """Words beside their document's profile. A profile is one short row per document: a task holds those of
+    its documents in a hash table and its words pass by unsorted."""
+    return words.join(profile.hint("shuffle_hash"), on="doc_id")
+
+
 def word_emphasis(chars: DataFrame, words: DataFrame, profile: DataFrame) -> DataFrame:
     """L4: words with ``emph`` and ``ital`` by majority of their characters (L6); a word without
     characters has neither."""
-    inside = chars_in_words(chars, words).join(profile, on="doc_id")
+    inside = _with_profile(chars_in_words(chars, words), profile)
     word_text = F.col("word_text")
     per_char = inside.select("doc_id", "page_no", "word_no", char_emphasis(word_text).cast("int").alias("e"), is_italic(F.col("fontname")).cast("int").alias("i"))
     votes = per_char.groupBy("doc_id", "page_no", "word_no").agg((F.avg("e") > 0.5).alias("emph"), (F.avg("i") > 0.5).alias("ital"))
@@ -72,7 +82,7 @@ def word_emphasis(chars: DataFrame, words: DataFrame, profile: DataFrame) -> Dat
 
 def word_flags_plain(words: DataFrame, profile: DataFrame) -> DataFrame:
     """L2-L4 where every word has one face and size, so all its characters vote alike."""
-    return words.join(profile, on="doc_id").withColumns(
+    return _with_profile(words, profile).withColumns(
         {"emph": char_emphasis(F.col("text")), "ital": is_italic(F.col("fontname"))}
     ).drop("body_font", "body_size")
 
@@ -83,7 +93,7 @@ def word_flags(words: DataFrame, profile: DataFrame) -> DataFrame:
     emph = F.when(
         has_alnum(F.col("text")), ((F.col("fontname") != F.col("body_font")) & ~is_italic(F.col("fontname"))) | bigger
     ).otherwise(names_bold(F.col("fontname")) | bigger)
-    return words.join(profile, on="doc_id").withColumns({"emph": emph, "ital": is_italic(F.col("fontname"))}).drop(
+    return _with_profile(words, profile).withColumns({"emph": emph, "ital": is_italic(F.col("fontname"))}).drop(
         "body_font", "body_size"
     )
 
@@ -164,23 +174,39 @@ def in_link(words: DataFrame, links: DataFrame) -> DataFrame:
     return _flag(words, cy, links.select(*PAGE, "x0", "x1", "top", "bottom"), F.col("top") - 1, F.col("bottom") + 1, hit)
 
 
-def _flag(words: DataFrame, at: Column, boxes: DataFrame, top: Column, bottom: Column, hit: Callable[[Column], Column]) -> DataFrame:
-    """Add ``under``: some box of the page is *hit* by the word, which is no URL. The boxes of a band
-    of the page meet its words as one list, so words are moved once and none comes twice."""
+def _beside_boxes(words: DataFrame, at: Column, boxes: DataFrame, top: Column, bottom: Column) -> DataFrame:
+    """Every word, with ``_boxes``: a list of those of its page's *boxes* (spanning *top* to *bottom*) that reach
+    the band it lies in, null without any. Boxes are few beside words: a page's are one row, a map by band, kept
+    in a hash table that words pass by unsorted; words are dealt by page, once for all that is done by page."""
     box = F.struct(*[c for c in boxes.columns if c not in PAGE])
-    near = boxes.select(*PAGE, F.explode(_bands(top, bottom)).alias("_band"), box.alias("_box")).groupBy(*PAGE, "_band").agg(
-        F.collect_list("_box").alias("_boxes")
+    banded = boxes.select(*PAGE, F.explode(_bands(top, bottom)).alias("_band"), box.alias("_box"))
+    near = banded.groupBy(*PAGE, "_band").agg(F.collect_list("_box").alias("_boxes")).groupBy(*PAGE).agg(
+        F.map_from_entries(F.collect_list(F.struct("_band", "_boxes"))).alias("_near")
     )
-    met = words.withColumn("_band", F.floor(at / BAND)).join(near, [*PAGE, "_band"], "left")
+    met = words.join(near.hint("shuffle_hash"), list(PAGE), "left")
+    return met.withColumn("_boxes", F.try_element_at("_near", F.floor(at / BAND))).drop("_near")
+
+
+def _flag(words: DataFrame, at: Column, boxes: DataFrame, top: Column, bottom: Column, hit: Callable[[Column], Column]) -> DataFrame:
+    """Add ``under``: some box of the page is *hit* by the word, which is no URL."""
     under = ~looks_like_url(F.col("text")) & F.exists("_boxes", hit)
-    return met.withColumn("under", F.coalesce(under, F.lit(False))).drop("_band", "_boxes")
+    return _beside_boxes(words, at, boxes, top, bottom).withColumn("under", F.coalesce(under, F.lit(False))).drop("_boxes")
+
+
+def _inside(words: DataFrame, at: Column, boxes: DataFrame, top: Column, bottom: Column, holds: Callable[[Column], Column], keep: Sequence[str]) -> DataFrame:
+    """Pairs of words and those boxes of their page that *holds* says of, with the columns *keep* of the box.
+    A word lies in one band, so no pair comes twice."""
+    met = _beside_boxes(words, at, boxes, top, bottom).withColumn("_box", F.explode(F.filter("_boxes", holds)))
+    return met.withColumns({c: F.col(f"_box.{c}") for c in keep}).drop("_boxes", "_box")
 
 
 def _under_links(words: DataFrame, links: DataFrame) -> DataFrame:
-    box = links.select(*PAGE, "link_no", *[F.col(c).alias(f"l{c}") for c in ("x0", "x1", "top", "bottom")])
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
-    inside = cx.between(F.col("lx0") - 1, F.col("lx1") + 1) & cy.between(F.col("ltop") - 1, F.col("lbottom") + 1)
-    return _meet(words, cy, box, F.col("ltop") - 1, F.col("lbottom") + 1, inside)
+
+    def holds(r: Column) -> Column:
+        return cx.between(r["x0"] - 1, r["x1"] + 1) & cy.between(r["top"] - 1, r["bottom"] + 1)
+
+    return _inside(words, cy, links.select(*PAGE, "link_no", "x0", "x1", "top", "bottom"), F.col("top") - 1, F.col("bottom") + 1, holds, ["link_no"])
 
 
 def text_under_links(words: DataFrame, links: DataFrame) -> DataFrame:
@@ -194,12 +220,14 @@ def text_under_links(words: DataFrame, links: DataFrame) -> DataFrame:
 
 def words_in_blocks(words: DataFrame, blocks: DataFrame) -> DataFrame:
     """Words with the block whose box holds them (1 pt around); a word may lie in several."""
+    def holds(r: Column) -> Column:
+        return (
+            (F.col("x0") >= r["l"] - 1) & (F.col("x1") <= r["r"] + 1)
+            & (F.col("top") >= r["t"] - 1) & (F.col("bottom") <= r["b"] + 1)
+        )
+
     box = blocks.select(*PAGE, "block_no", "kind", "l", "t", "r", "b")
-    inside = (
-        (F.col("x0") >= F.col("l") - 1) & (F.col("x1") <= F.col("r") + 1)
-        & (F.col("top") >= F.col("t") - 1) & (F.col("bottom") <= F.col("b") + 1)
-    )
-    return _meet(words, F.col("top"), box, F.col("t") - 1, F.col("b") + 1, inside).drop("l", "t", "r", "b")
+    return _inside(words, F.col("top"), box, F.col("t") - 1, F.col("b") + 1, holds, ["block_no", "kind"])
 
 
 def block_texts(words: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ def block_lines(words: DataFrame, blocks: DataFrame, links: DataFrame) -> DataFr
     """Marked lines ``(doc_id, page_no, block_no, line_no, text)`` of the words inside each block: flags
     by face, size and link, lines by gap, a heading that its faces do not show marked whole (L5, L8,
     L11, L16-L18)."""
-    flagged = L.in_link(L.word_flags(words, L.body_profile(words)), links)
+    flags = L.word_flags(words, L.body_profile(words)).select(*L.PAGE, "word_no", "text", "x0", "x1", "top", "bottom", "emph", "ital")
+    flagged = L.in_link(flags, links)
     lined = L.lines_by_gap(L.words_in_blocks(flagged, blocks), BLOCK)
     return L.render_lines(L.heading_override(lined, BLOCK), (*BLOCK, "line_no"))
 

@@ -73,3 +73,28 @@ def test_sides_of_a_judged_field_are_constants(spark):
         ("title", "x", "Hallucinated", "only 0% of the model's words are in the reference"), ("title", None, "Missed", ""),
         ("language", "eng", "Correct", ""), ("note", "null", "Correct", "both empty"),
     }
+
+
+def test_words_are_dealt_by_page_once_and_meet_profile_and_boxes_unsorted(spark):
+    words = spark.range(40).selectExpr(
+        "id % 3 AS doc_id", "id % 2 AS page_no", "id AS word_no", "concat('w', id) AS text", "'F' AS fontname", "double(10) AS size",
+        "double(id) AS x0", "double(id + 1) AS x1", "double(id) AS top", "double(id + 9) AS bottom",
+    ).repartition("doc_id")
+    rects = spark.range(9).selectExpr("id % 3 AS doc_id", "id % 2 AS page_no", "0D AS x0", "90D AS x1", "double(id) AS top", "double(id + 1) AS bottom").repartition("doc_id")
+    blocks = spark.range(6).selectExpr("id % 3 AS doc_id", "id % 2 AS page_no", "id AS block_no", "'text' AS kind", "0D AS l", "0D AS t", "90D AS r", "90D AS b").repartition("doc_id")
+    profile = L.body_profile(words)
+    counted = plan(profile)
+    assert re.search(r"HashAggregate\(keys=\[doc_id#\d+L, page_no#\d+L, [^\]]*\], functions=\[(partial_)?sum", counted.replace("knownfloatingpointnormalized", "k"))
+    flagged = L.word_flags_plain(words, profile)
+    for df in (L.lines_by_top(L.underlined(flagged, rects)), L.heading_override(L.words_in_blocks(flagged, blocks))):
+        text = plan(df)
+        assert "SortMergeJoin" not in text and "ShuffledHashJoin" in text
+        assert len(re.findall(r"Exchange hashpartitioning\(doc_id#\d+L, page_no#\d+L, \d+\)", text)) <= 2  # words, and the lists of boxes
+        assert not re.findall(r"Exchange hashpartitioning\([^)]*_band", text)
+
+
+def test_a_word_meets_each_box_of_its_page_once(spark):
+    words = spark.createDataFrame([(1, 1, 1, 10.0, 20.0, 15.0, 25.0), (1, 1, 2, 10.0, 20.0, 40.0, 50.0), (1, 2, 3, 10.0, 20.0, 15.0, 25.0)], "doc_id int, page_no int, word_no int, x0 double, x1 double, top double, bottom double")
+    blocks = spark.createDataFrame([(1, 1, 7, "a", 0.0, 0.0, 90.0, 90.0), (1, 1, 8, "b", 0.0, 30.0, 90.0, 90.0), (1, 2, 9, "c", 0.0, 60.0, 90.0, 90.0)], "doc_id int, page_no int, block_no int, kind string, l double, t double, r double, b double")
+    met = sorted((r.word_no, r.block_no, r.kind) for r in L.words_in_blocks(words, blocks).collect())
+    assert met == [(1, 7, "a"), (2, 7, "a"), (2, 8, "b")]
