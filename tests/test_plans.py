@@ -98,3 +98,18 @@ def test_a_word_meets_each_box_of_its_page_once(spark):
     blocks = spark.createDataFrame([(1, 1, 7, "a", 0.0, 0.0, 90.0, 90.0), (1, 1, 8, "b", 0.0, 30.0, 90.0, 90.0), (1, 2, 9, "c", 0.0, 60.0, 90.0, 90.0)], "doc_id int, page_no int, block_no int, kind string, l double, t double, r double, b double")
     met = sorted((r.word_no, r.block_no, r.kind) for r in L.words_in_blocks(words, blocks).collect())
     assert met == [(1, 7, "a"), (2, 7, "a"), (2, 8, "b")]
+
+
+def test_characters_meet_the_words_around_them_only(spark):
+    """A line of n words: compared by line, each of its characters meets all n words."""
+    n = 400
+    words = spark.range(n).selectExpr("1L AS doc_id", "1 AS page_no", "id AS word_no", "'ab' AS text", "double(id * 40) AS x0", "double(id * 40 + 30) AS x1", "0D AS top", "10D AS bottom")
+    chars = words.selectExpr("doc_id", "page_no", "word_no AS of_word", "explode(array(0, 1)) AS k", "x0", "x1", "top", "bottom").selectExpr(
+        "doc_id", "page_no", "of_word", "'a' AS text", "x0 + k * 15 AS x0", "x0 + k * 15 + 15 AS x1", "top", "bottom"
+    )
+    # Edges the wrong way round: over the words 1 to 3, whose boxes both edges pass.
+    odd = spark.sql("SELECT 1L AS doc_id, 1 AS page_no, -1L AS of_word, 'x' AS text, 130D AS x0, 60D AS x1, 0D AS top, 10D AS bottom")
+    met = L.chars_in_words(chars.unionByName(odd), words)
+    assert sorted((r.of_word, r.word_no) for r in met.collect()) == sorted([(-1, 1), (-1, 2), (-1, 3)] + 2 * [(i, i) for i in range(n)])
+    text = plan(met)
+    assert "ShuffledHashJoin" in text and "Broadcast" not in text and "_column" in re.search("ShuffledHashJoin.*", text)[0]
