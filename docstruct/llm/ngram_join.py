@@ -27,7 +27,7 @@ from docstruct.llm.store import written
 
 RARE = 64
 BITS = 16  # longs of a bitmap
-BLOCK = 4096  # sets of a block of a frequent tile
+BLOCK = 4096  # sets of a block of a frequent tile, and open sets of a part
 NEAR, TILE = 4, 1000  # neighbours and typical sets tried first in a frequent tile; rows of the parts it is cut into for that
 
 SETS = f"id bigint, n int, k1 bigint, k2 bigint, tokens array<bigint>, bands array<struct<band:int,{','.join(f'b{i}:bigint' for i in range(BITS))}>>"
@@ -82,7 +82,6 @@ def _links(docs: DataFrame, sets: DataFrame, classes: DataFrame, words: int, num
     # most frequent shingles and copies). That joins a family of near copies around its original, so
     # that the full comparison afterwards needs no pair within what is joined already.
     wide = often.where(F.col("pos") < prefix).select("token", "id", "c").join(card, "id")
-    bits = F.struct(*[F.col(f"b{i}") for i in range(BITS)]).alias("bits")
     banded = wide.select("token", "c", "id", "n", "open", (F.col("hot") / F.col("indexed")).alias("typical"), "m", F.explode("bands.band").alias("band"))
     tile = Window.partitionBy("token", "band", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / TILE)))
     along = tile.orderBy("n", "id")
@@ -96,20 +95,33 @@ def _links(docs: DataFrame, sets: DataFrame, classes: DataFrame, words: int, num
     # The set whose index reaches less far shares all of its indexed shingles but those it may lack.
     least = [F.col(f"indexed_{s}") - F.col(f"hot_{s}") - (F.col(f"n_{s}") - _overlap(num, den)) for s in "ab"]
     near = near.where((F.col("c") >= F.least(*least)) | (F.col("c").isNull() & (F.col("open_a") | F.col("open_b"))))
-    near = near.select("a", "b", "n_a", "n_b", F.explode("bands_a").alias("x"), F.col("bands_b"))
-    near = near.select("a", "b", "n_a", "n_b", "x", F.explode("bands_b").alias("y")).where("x.band = y.band")
-    links = written(_exact(docs, near.where(_bound(num, den)).select("a", "b"), words, num, den), "ngram-links")
+    # A pair lies in one or two bands; both lists stay in its row.
+    fits = F.exists("bands_a", lambda x: F.exists("bands_b", lambda y: (x["band"] == y["band"]) & _bound(x, y, num, den)))
+    links = written(_exact(docs, near.where(fits).select("a", "b"), words, num, den), "ngram-links")
 
-    # Each large tile is cut into blocks; a task compares two of them as matrices of bitmaps.
+    # What is left has an open set on one side and two components. Tiles without are done; of the others each set
+    # stands in one block, and the open ones, in parts, pass by all blocks. A task compares a part with a block as
+    # matrices of bitmaps; only then do the bitmaps travel.
     mine = often.where(F.col("pos") < prefix).groupBy("id").agg(F.collect_list("token").alias("mine"))
     roots = components(links).select(F.col("node").alias("id"), "root")
-    known = mine.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    wide = wide.select("token", "id", "n", "open", blocks.alias("blocks"), F.inline("bands")).select("token", "band", "id", "n", "open", "blocks", bits)
-    wide = wide.join(known, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    wide = wide.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
-    far = wide.groupBy("token", "band", "i", "j").applyInArrow(_tile(num, den), "a bigint, b bigint")
+    slim = often.where(F.col("pos") < prefix).select("token", "id").join(card.select("id", "n", "open", F.explode("bands.band").alias("band")), "id")
+    slim = written(slim.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "ngram-slim")
+    tiles = slim.groupBy("token", "band").agg(
+        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if("open") / BLOCK).cast("int").alias("parts"),
+        F.min("root").alias("low"), F.max("root").alias("high"),
+    ).where("parts > 0 AND low < high").drop("low", "high")
+    dealt = slim.join(tiles, ["token", "band"]).withColumns(
+        {"own": F.pmod(F.xxhash64("id"), "blocks").cast("int"), "part": F.pmod(F.xxhash64(F.lit(1), "id"), "parts").cast("int")}
+    )
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda i, j, probe: F.struct(i.alias("i"), j.alias("j"), F.lit(probe).alias("probe"))
+    stands = F.transform(upto("parts"), lambda j: place(F.col("own"), j, False))
+    passes = F.when(F.col("open"), F.transform(upto("blocks"), lambda i: place(i, F.col("part"), True)))
+    bits = F.struct(*[F.col(f"b{i}") for i in range(BITS)]).alias("bits")
+    maps = card.select("id", F.inline("bands")).select("id", "band", bits)
+    dealt = dealt.join(maps, ["id", "band"]).join(mine, "id").withColumn("at", F.explode(F.concat(stands, F.coalesce(passes, F.array()))))
+    dealt = dealt.select("token", "band", "at.*", "id", "n", "root", "open", "mine", "bits")
+    far = dealt.groupBy("token", "band", "i", "j").applyInArrow(_tile(num, den), "a bigint, b bigint")
     return links.union(_exact(docs, far, words, num, den))
 
 
@@ -133,32 +145,31 @@ def _sizes(num: int, den: int) -> Column:
     return F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
 
 
-def _bound(num: int, den: int) -> Column:
+def _bound(x: Column, y: Column, num: int, den: int) -> Column:
     """Whether the bitmaps x and y leave room for a link."""
-    differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(BITS)), F.lit(0))
+    differ = sum((F.bit_count(x[f"b{i}"].bitwiseXOR(y[f"b{i}"])) for i in range(BITS)), F.lit(0))
     return (F.col("n_a") + F.col("n_b") - differ) >= 2 * _overlap(num, den)
 
 
 def _tile(num: int, den: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        token, _, i, j = (k.as_py() for k in key)
+        token = key[0].as_py()
         rows = rows.sort_by([("n", "ascending"), ("id", "ascending")]).combine_chunks()
-        ids, n, root, own = (rows.column(c).to_numpy().astype(np.int64) for c in ("id", "n", "root", "own"))
-        is_open = rows.column("open").to_numpy()
+        ids, n, root = (rows.column(c).to_numpy().astype(np.int64) for c in ("id", "n", "root"))
+        is_open, probe = (rows.column(c).to_numpy() for c in ("open", "probe"))
         bits = np.stack([x.to_numpy() for x in rows.column("bits").combine_chunks().flatten()], 1).view(np.uint64)
         earlier = [frozenset(t for t in x if t < token) for x in rows.column("mine").to_pylist()]
         found: list[tuple[int, int]] = []
-        chosen = np.flatnonzero(is_open)
+        chosen, standing = np.flatnonzero(probe), np.flatnonzero(~probe)
+        sizes = n[standing]
         for start in range(0, len(chosen), 128):
             left = chosen[start : start + 128]
-            low, high = np.searchsorted(n, -(-n[left[0]] * num // den), "left"), np.searchsorted(n, n[left[-1]] * den // num, "right")
-            right = np.arange(low, high)
+            low, high = np.searchsorted(sizes, -(-n[left[0]] * num // den), "left"), np.searchsorted(sizes, n[left[-1]] * den // num, "right")
+            right = standing[low:high]
             total = n[left][:, None] + n[right][None, :]
             room = total - 2 * -(-total * num // (num + den))
             fit = (root[left][:, None] != root[right][None, :]) & (np.minimum(n[left][:, None], n[right]) * den >= np.maximum(n[left][:, None], n[right]) * num)
             fit &= ~is_open[right][None, :] | (ids[left][:, None] < ids[right][None, :])
-            if i != j:
-                fit &= own[left][:, None] != own[right][None, :]
             if not fit.any():
                 continue
             differ = np.zeros(total.shape, np.int64)

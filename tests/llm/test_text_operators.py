@@ -73,6 +73,19 @@ def test_ngram_components(spark, k, num, den, rare):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, k, num, den)
 
 
+def test_ngram_tiles_copy_open_sets_only(spark, monkeypatch):
+    """With blocks of 3 sets every frequent tile has many blocks: what passes by all of them are the open sets."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    plans, exact = [], ngram_join._exact
+    monkeypatch.setattr(ngram_join, "_exact", lambda docs, pairs, *a: plans.append(pairs._jdf.queryExecution().optimizedPlan().toString()) or exact(docs, pairs, *a))
+    rows = near_docs()
+    got = ngram_join.ngram_components(frame(spark, rows), words=3, num=9, den=10, rare=1).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 3, 9, 10)
+    near, far = plans
+    assert "explode(bands_" not in near  # no row per pair of bands
+    assert re.search(r"Generate explode\(concat\(.*CASE WHEN open", far)
+
+
 def test_ngram_edges(spark):
     rows = [(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (9, None)]
     got = sorted(ngram_join.ngram_components(frame(spark, rows), words=3).collect(), key=str)
