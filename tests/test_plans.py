@@ -113,3 +113,14 @@ def test_characters_meet_the_words_around_them_only(spark):
     assert sorted((r.of_word, r.word_no) for r in met.collect()) == sorted([(-1, 1), (-1, 2), (-1, 3)] + 2 * [(i, i) for i in range(n)])
     text = plan(met)
     assert "ShuffledHashJoin" in text and "Broadcast" not in text and "_column" in re.search("ShuffledHashJoin.*", text)[0]
+
+
+def test_grounding_is_reported_in_one_pass(spark):
+    """Counts and examples read the grounded values once; examples are the first by document, then path."""
+    values = spark.sql("SELECT 'r' AS run, 'm' AS model, id % 50 AS doc_id, concat('p', id % 4) AS path, concat('zzz', id) AS value FROM range(200)").dropDuplicates(["doc_id", "path"])
+    texts = spark.range(50).selectExpr("id AS doc_id", "'a text' AS text")
+    report = M.grounding_report(M.grounding(values.where("doc_id <> 0 OR path = 'p2'"), texts))
+    assert plan(report).count("SortMergeJoin") == 1
+    row = report.first()
+    assert (row.samples, row.invented, row.grounded, row.share_grounded) == (50, 99, 0, 0.0)
+    assert [e.split(" = ")[0] for e in row.examples.split("; ")] == ["0 p2", "1 p1", "1 p3"]
