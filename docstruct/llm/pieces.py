@@ -13,13 +13,14 @@ With `dropout` 0 the ids are those of the SentencePiece library.
 
 from __future__ import annotations
 
-import gc
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ LITERAL = "\ud800"  # stands for a U+2581 of the text itself
 MASK = 0xFFFFFFFF
 CACHED = 300_000  # units that a task remembers
 SHORT = 24  # characters of units that are merged many at a time
-CHUNK_CHARS = 1 << 20
+CHUNK_BYTES = 1 << 19
 NEVER = np.iinfo(np.int32).max
 
 
@@ -102,13 +103,20 @@ class Pieces:
         return np.where(hit, self.order[at], NEVER), self.made[at]
 
     def merge_many(self, units: list[str], keys: list[int] | np.ndarray, limit: int, traced: bool = False) -> tuple[list[tuple[int, ...]], list[list[int]]]:
-        """`merge` of many units of one length, a step of all agendas at a time; and with *traced* the
-        candidates of each, as the part of their hash that has no key."""
+        """`merge` of many units of one length; and with *traced* the candidates of each, as the part of
+        their hash that has no key."""
+        found = self.merge_arrays(units, keys, limit, traced)
+        ids, traces = ([x.tolist() for x in np.split(flat, sizes.cumsum()[:-1])] for flat, sizes in (found[:2], found[2:]))
+        return [tuple(x) for x in ids], traces if traced else []
+
+    def merge_arrays(self, units: list[str], keys: list[int] | np.ndarray, limit: int, traced: bool = False) -> tuple[np.ndarray, ...]:
+        """As `merge_many`, a step of all agendas at a time: ids and how many each unit has, candidates and
+        how many each unit has."""
         n, length = len(units), len(units[0])
         flat = self.of_char[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
         symbols, key = flat.reshape(n, length).astype(np.int64), np.asarray(keys, np.int64)
         met: list[tuple[np.ndarray, np.ndarray]] = []
-        after = np.tile(np.arange(1, length + 1), (n, 1))
+        after = np.tile(np.arange(1, length + 1, dtype=np.int32), (n, 1))
         before = after - 2
         alive = np.ones((n, length), bool)
         rank, made = np.full((n, length), NEVER, np.int32), np.zeros((n, length), np.int64)  # of the pair that begins here
@@ -141,18 +149,12 @@ class Pieces:
             inner = k >= 0
             x, y, z = r[inner], k[inner], i[inner]
             rank[x, y], made[x, y] = self._pairs(symbols[x, y], symbols[x, z])
-        ids = symbols[alive]
-        ends = np.cumsum(alive.sum(1)).tolist()
-        listed = ids.tolist()
-        out = [tuple(listed[a:b]) for a, b in zip([0, *ends], ends)]
-        for i in np.flatnonzero((alive & (symbols < 0)).any(1)).tolist():
-            places = np.flatnonzero(alive[i]).tolist()
-            out[i] = tuple(x for s, a in zip(out[i], places) for x in ([s] if s >= 0 else self._as_bytes(units[i][a])))
-        traces: list[list[int]] = [[] for _ in units] if traced else []
-        for r, c in met:
-            for x, y in zip(r.tolist(), c.tolist()):
-                traces[x].append(y)
-        return out, traces
+        ids, sizes = symbols[alive].astype(np.int32), alive.sum(1)
+        if (ids < 0).any():
+            lists = [[x for a in np.flatnonzero(alive[i]).tolist() for x in ([symbols[i, a]] if symbols[i, a] >= 0 else self._as_bytes(units[i][a]))] for i in range(n)]
+            ids, sizes = np.array([x for ids in lists for x in ids], np.int32), np.array([len(ids) for ids in lists], np.int64)
+        who, what = (np.concatenate(x) for x in zip(*met)) if met else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return ids, sizes, what[who.argsort(kind="stable")].astype(np.uint32), np.bincount(who, minlength=n)
 
     def _as_bytes(self, character: str) -> list[int]:
         raw = SPACE.encode() if character == LITERAL else character.encode("utf-8", "surrogateescape")
@@ -208,52 +210,87 @@ class Pieces:
         return b"".join([table[i] for i in ids])[1:]
 
 
+class Lists:
+    """Lists of numbers, one behind the other in one array."""
+
+    def __init__(self, kind):
+        self.flat, self.size = np.empty(1 << 16, kind), 0
+        self.starts, self.sizes, self.n = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        n, size = self.n + len(sizes), self.size + len(flat)
+        if size > len(self.flat):
+            self.flat = np.resize(self.flat, size * 5 // 4)
+        if n > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, n * 5 // 4), np.resize(self.sizes, n * 5 // 4)
+        self.flat[self.size : size], self.sizes[self.n : n] = flat, sizes
+        self.starts[self.n : n] = self.size + sizes.cumsum() - sizes
+        self.n, self.size = n, size
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all members of lists that begin at *starts*."""
+    ends = sizes.cumsum()
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 class Encoder:
     variants = 1  # what is remembered of a unit has no skips in it
 
     def __init__(self, pieces: Pieces, dropout: float, seed: int, cached: int = CACHED):
         self.pieces, self.seed, self.cached = pieces, seed, cached
         self.limit = int(dropout * (MASK + 1))
-        self.known: list[dict[str, tuple[tuple[int, ...], tuple[int, ...]]]] = [{}]  # ids without skips, candidates
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}  # of the unit in the lists
+        self.ids, self.candidates = Lists(np.int32), Lists(np.uint32)  # without skips
+
+    @property
+    def known(self) -> list[dict[str, tuple[tuple[int, ...], tuple[int, ...]]]]:
+        """What is remembered, by variant: ids without skips and candidates of each unit."""
+        return [{u: tuple(tuple(x.flat[x.starts[i] : x.starts[i] + x.sizes[i]].tolist()) for x in (self.ids, self.candidates)) for u, i in self.number.items()}]
 
     def encode(self, texts: list[str], documents: list[int]) -> list[list[int]]:
+        ids, sizes = self.encode_arrays(texts, documents)
+        ends = sizes.cumsum().tolist()
+        return [ids[a:b].tolist() for a, b in zip([0, *ends], ends)]
+
+    def encode_arrays(self, texts: list[str], documents: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts and how many each has."""
         per_text = [self.pieces.unit.findall(self.pieces.escaped(t)) for t in texts]
+        n_units = np.array([len(us) for us in per_text], np.int64)
+        keys = np.concatenate([self._keys(d, len(us)) for d, us in zip(documents, per_text)]) if self.limit and texts else None
         flat = [u for us in per_text for u in us]
+        del per_text
         if not flat:
-            return [[] for _ in texts]
-        if len(self.known[0]) >= self.cached:
-            self.known[0].clear()
-        known = self.known[0]
-        number: dict[str, int] = {}
-        which = np.array([number.setdefault(u, len(number)) for u in flat], np.int64)
+            return np.zeros(0, np.int32), n_units
+        if len(self.number) >= self.cached or self.ids.size >= 16 * self.cached:
+            self._forget()
+        number = self.number
         # Longer units are too rare and too large to keep, and hardly ever without a skip.
-        longer = {u for u in number if len(u) > SHORT} if self.limit else set()
-        self._learn({(0, u) for u in number if u not in known and u not in longer})
-        lists = [() if u in longer else known[u][0] for u in number]
-        at = which  # where in lists the ids of each occurrence are
+        self._learn([(0, u) for u in dict.fromkeys(flat) if u not in number and not (self.limit and len(u) > SHORT)])
+        which = np.fromiter(map(number.get, flat, repeat(-1)), np.int64, len(flat))
+        sizes = np.where(which >= 0, self.ids.sizes[which], 0)
+        again: list[tuple[np.ndarray, np.ndarray]] = []
         if self.limit:
-            keys = np.concatenate([self._keys(d, len(us)) for d, us in zip(documents, per_text)])
-            traces = [() if u in longer else known[u][1] for u in number]
-            at = which.copy()
-            again: dict[int, list[int]] = {}
-            for o in self._skipping(which, keys, traces, np.array([u in longer for u in number])).tolist():
-                again.setdefault(len(flat[o]), []).append(o)
-            for length, some in again.items():
-                at[some] = np.arange(len(lists), len(lists) + len(some))
-                if 1 < length <= SHORT and len(some) > 8 and self.pieces.whole:
-                    for start in range(0, len(some), 8192):
-                        part = some[start : start + 8192]
-                        lists += self.pieces.merge_many([flat[o] for o in part], keys[part], self.limit)[0]
-                else:
-                    lists += [self.pieces.merge(flat[o], int(keys[o]), self.limit) for o in some]
-        for u in number:
-            if len(u) > SHORT:
-                known.pop(u, None)
-        out, places, start = [], at.tolist(), 0
-        for us in per_text:
-            out.append([i for x in places[start : start + len(us)] for i in lists[x]])
-            start += len(us)
-        return out
+            some = self._skipping(which, keys)
+            for part, ids, n, _, _ in self._merged([flat[o] for o in some.tolist()], keys[some], self.limit):
+                again.append((some[part], ids))
+                sizes[some[part]] = n
+            which[some] = -1
+        else:
+            for u in [u for u in dict.fromkeys(flat) if len(u) > SHORT]:
+                del number[u]
+        ends = sizes.cumsum()
+        starts, out = ends - sizes, np.empty(ends[-1], np.int32)
+        plain = np.flatnonzero(which >= 0)
+        out[_places(starts[plain], sizes[plain])] = self.ids.flat[_places(self.ids.starts[which[plain]], sizes[plain])]
+        for part, ids in again:
+            out[_places(starts[part], sizes[part])] = ids
+        last = n_units.cumsum()
+        upto = np.concatenate(([0], ends))
+        return out, upto[last] - upto[last - n_units]
 
     def _keys(self, document: int, n: int) -> np.ndarray:
         """A key of 32 bits for each unit of a document."""
@@ -261,47 +298,55 @@ class Encoder:
             start = np.array([(document * 0x9E3779B97F4A7C15 + self.seed * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF], np.uint64)
             return (mix(start + np.arange(n, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)).astype(np.int64)
 
-    def _skipping(self, which: np.ndarray, keys: np.ndarray, traces: list[tuple[int, ...]], always: np.ndarray) -> np.ndarray:
-        """The occurrences that skip a candidate of their unit's trace, and those of units *always*."""
-        sizes = np.array([len(t) for t in traces], np.int64)
-        table = np.zeros((len(traces), max(int(sizes.max()), 1)), np.int64)
-        table[np.arange(table.shape[1]) < sizes[:, None]] = np.array([c for t in traces for c in t], np.int64)
-        skips = always[which]
-        some = np.arange(len(which))
-        for step in range(table.shape[1]):
-            some = some[sizes[which[some]] > step]
-            skips[some] |= _hash(keys[some], table[which[some], step]) < self.limit
+    def _skipping(self, which: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The occurrences that skip a candidate of their unit, and those of units that are not kept."""
+        skips = which < 0
+        kept = np.flatnonzero(~skips)
+        sizes = self.candidates.sizes[which[kept]]
+        met = self.candidates.flat[_places(self.candidates.starts[which[kept]], sizes)].astype(np.int64)
+        of = np.repeat(kept, sizes)
+        skips[of[_hash(keys[of], met) < self.limit]] = True
         return np.flatnonzero(skips)
 
-    def _learn(self, missing: set[tuple[int, str]]) -> None:
-        known = self.known[0]
-        by_length: dict[int, list[str]] = {}
-        for _, u in missing:
-            by_length.setdefault(len(u), []).append(u)
-        for length, some in by_length.items():
-            if 1 < length <= SHORT and len(some) > 8 and self.pieces.whole:
+    def _learn(self, missing: Iterable[tuple[int, str]]) -> None:
+        units = [u for _, u in missing]
+        for part, ids, sizes, met, n_met in self._merged(units, np.zeros(len(units), np.int64), 0, traced=True):
+            self.number.update(zip([units[i] for i in part.tolist()], range(self.ids.n, self.ids.n + len(part))))
+            self.ids.add(ids, sizes)
+            self.candidates.add(met, n_met)
+
+    def _merged(self, units: list[str], keys: np.ndarray, limit: int, traced: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+        """Units of one length at a time: their places in *units*, and what `Pieces.merge_arrays` gives."""
+        if not units:
+            return
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        order = lengths.argsort(kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+            if 1 < lengths[some[0]] <= SHORT and len(some) > 8 and self.pieces.whole:
                 for start in range(0, len(some), 8192):
                     part = some[start : start + 8192]
-                    for u, ids, trace in zip(part, *self.pieces.merge_many(part, [0] * len(part), 0, traced=True)):
-                        known[u] = ids, tuple(trace)
+                    yield part, *self.pieces.merge_arrays([units[i] for i in part.tolist()], keys[part], limit, traced)
             else:
-                for u in some:
-                    trace: list[int] = []
-                    known[u] = self.pieces.merge(u, 0, 0, trace), tuple(trace)
+                traces: list[list[int]] = [[] for _ in some]
+                lists = [self.pieces.merge(units[i], int(keys[i]), limit, t if traced else None) for i, t in zip(some.tolist(), traces)]
+                flat = [np.array([x for one in those for x in one], kind) for those, kind in ((lists, np.int32), (traces, np.uint32))]
+                yield some, flat[0], np.array([len(x) for x in lists], np.int64), flat[1], np.array([len(x) for x in traces], np.int64)
 
 
 def encode(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1, seed: int = 1, model: str = MODEL,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1, seed: int = 1, model: str = MODEL, decoded: str | None = None,
 ) -> DataFrame:
-    """*docs* with further columns n_tokens and token_ids (array<int>).
+    """*docs* with further columns n_tokens and token_ids (array<int>), and on demand *decoded*, the text
+    that the ids give (as `decode` would, without a second pass).
 
     The ids depend on the text, the identifier (null counts as 0), *seed* and *dropout* only, not on how rows are dealt out. A null or empty text has no ids. Rows that repeat an
     identifier and text get the same ids. An empty table gives an empty result. Columns of *docs*
     that bear the names of the new ones are replaced.
     """
-    docs = docs.drop("n_tokens", "token_ids")
-    schema = f"{docs._jdf.schema().toDDL()}{', ' if docs.columns else ''}n_tokens bigint, token_ids array<int>"
-    return docs.mapInArrow(_encoded(docs.columns.index(id_col), docs.columns.index(text_col), dropout, seed, model), schema)
+    docs = docs.drop("n_tokens", "token_ids", *([decoded] if decoded else []))
+    schema = f"{docs._jdf.schema().toDDL()}{', ' if docs.columns else ''}n_tokens bigint, token_ids array<int>{f', `{decoded}` binary' if decoded else ''}"
+    out = docs.mapInArrow(_encoded(docs.columns.index(id_col), docs.columns.index(text_col), dropout, seed, model, decoded), schema)
+    return out.withColumn(decoded, F.col(decoded).cast("string")) if decoded else out
 
 
 def decode(encoded: DataFrame, ids_col: str = "token_ids", out_col: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -310,26 +355,25 @@ def decode(encoded: DataFrame, ids_col: str = "token_ids", out_col: str = "decod
     return rows.mapInArrow(_decoded(rows.columns.index(ids_col), model, out_col), f"{rows._jdf.schema().toDDL()}, `{out_col}` binary").withColumn(out_col, F.col(out_col).cast("string"))
 
 
-def _encoded(id_at: int, text_at: int, dropout: float, seed: int, model: str):
+def _encoded(id_at: int, text_at: int, dropout: float, seed: int, model: str, decoded: str | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Pieces(model), dropout, seed)
-        gc.disable()  # millions of small tuples, none of them in a cycle
+        pieces = Pieces(model)
+        encoder = Encoder(pieces, dropout, seed)
         for batch in batches:
-            names = [*batch.schema.names, "n_tokens", "token_ids"]
-            texts = [(x.as_py() or b"").decode("utf-8", "surrogateescape") for x in batch.column(text_at).cast(pa.binary())]
-            documents = [d or 0 for d in batch.column(id_at).to_pylist()]
+            names = [*batch.schema.names, "n_tokens", "token_ids", *([decoded] if decoded else [])]
+            column = batch.column(text_at).cast(pa.binary())
+            upto = np.concatenate(([0], pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()))
             start = 0
-            while start < len(texts):
-                end, size = start, 0
-                while end < len(texts) and (size == 0 or size + len(texts[end]) <= CHUNK_CHARS):
-                    size += len(texts[end])
-                    end += 1
-                found = [np.array(x, np.int32) for x in encoder.encode(texts[start:end], documents[start:end])]
-                lengths = np.array([len(x) for x in found], np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], lengths.cumsum())), pa.int32()), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([*batch.slice(start, end - start).columns, pa.array(lengths), lists], names)
+            while start < len(batch):
+                end = max(start + 1, int(np.searchsorted(upto, upto[start] + CHUNK_BYTES, "right")) - 1)
+                texts = [(x or b"").decode("utf-8", "surrogateescape") for x in column.slice(start, end - start).to_pylist()]
+                ids, lengths = encoder.encode_arrays(texts, [d or 0 for d in batch.column(id_at).slice(start, end - start).to_pylist()])
+                ends = np.concatenate(([0], lengths.cumsum()))
+                more = [pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))]
+                if decoded:
+                    more.append(pa.array([pieces.decode(ids[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, end - start).columns, *more], names)
                 start = end
-        gc.enable()
 
     return run
 

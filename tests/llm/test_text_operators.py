@@ -338,6 +338,24 @@ def test_pieces_skip_by_occurrence():
             assert model.merge_many(some, keys, chance)[0] == [model.merge(u, k, chance) for u, k in zip(some, keys)]
 
 
+def test_pieces_hold_little_per_unit(spark):
+    import tracemalloc
+
+    encoder = pieces.Encoder(pieces.Pieces(pieces.MODEL), 0.1, 1)
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("aeinrstlo") for _ in range(8)) for _ in range(4000)) for _ in range(5)]
+    tracemalloc.start()
+    want = encoder.encode(texts, [1, 2, 3, 4, 5])
+    held = tracemalloc.get_traced_memory()[0] - sum(8 * len(x) for x in want)
+    tracemalloc.stop()
+    n = len(encoder.known[0])
+    assert n > 19_000 and held < 500 * n  # as tuples: 672 bytes a unit
+    both = [(i, t) for i, t in enumerate(["a  b ", "", None, "日本 ▁ ü" * 3])]
+    out = pieces.encode(frame(spark, both), dropout=0.3, decoded="back").collect()
+    assert [r.back for r in out] == [t or "" for _, t in both]
+    assert [r.token_ids for r in out] == [r.token_ids for r in pieces.encode(frame(spark, both), dropout=0.3).collect()]
+
+
 def test_pieces_without_dropout_are_the_library_s():
     import sentencepiece
 
