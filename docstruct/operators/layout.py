@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -313,27 +315,67 @@ def lines_by_gap(words: DataFrame, keys: Sequence[str] = (*PAGE, "block_no"), to
     """``line_no`` by distance from the first word of the line, then ``at`` along x0.
 
     A line's anchor depends on all words before it: sorted words pass by once, and all that is kept of
-    them is the anchor and number of the line at hand. A word without height stays on the line.
+    them is the line at hand, whose words are counted along x0 when it ends. A word without height stays
+    on the line.
     """
     names = list(keys)
     ordered = words.drop("line_no", "at").withColumn("_row", F.bround("top", 0)).repartition(*names).sortWithinPartitions(*names, "_row", "x0", "word_no").drop("_row")
-    at = [ordered.columns.index(k) for k in (*names, "top")]
+    own, (top, x0, word) = ([ordered.columns.index(k) for k in ks] for ks in (names, ("top", "x0", "word_no")))
+
+    def counted(held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """Whole lines with their numbers and the places of their words."""
+        rows = pa.Table.from_batches([h[0] for h in held]).combine_chunks().to_batches()[0]
+        number, begins = (np.concatenate([h[i] for h in held]) for i in (1, 2))
+        starts = np.flatnonzero(begins)
+        sizes = np.diff(np.append(starts, len(begins)))
+        x = rows.column(x0).cast(pa.float64(), safe=False)
+        rank = pc.rank(rows.column(word), sort_keys="ascending", null_placement="at_start", tiebreaker="dense")
+        value, known = pc.fill_null(x, 0.0).to_numpy(zero_copy_only=False), pc.is_valid(x).to_numpy(zero_copy_only=False)
+        place = np.empty(len(begins), np.int32)
+        place[np.lexsort((rank.to_numpy(zero_copy_only=False), value, known, begins.cumsum()))] = np.arange(len(begins)) - np.repeat(starts, sizes) + 1
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(number, pa.int32()), pa.array(place, pa.int32())], [*rows.schema.names, "line_no", "at"])
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, anchor, line = None, None, 0
+        held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []  # of the line at hand
         for batch in batches:
-            numbers = []
-            *own, tops = (batch.column(i).to_pylist() for i in at)
-            for here, top in zip(zip(*own), tops):
-                if here != block:
-                    block, anchor, line = here, None, 0
-                if anchor is None or (top is not None and abs(top - anchor) > tolerance):
-                    anchor, line = top, line + 1
-                numbers.append(line)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int32())], [*batch.schema.names, "line_no"])
-
-    lined = ordered.mapInArrow(numbered, f"{ordered._jdf.schema().toDDL()}, line_no int")
-    return lined.withColumn("at", F.row_number().over(Window.partitionBy(*names, "line_no").orderBy("x0", "word_no")))
+            if not len(batch):
+                continue
+            fresh = _differs(batch, own)
+            fresh[0] = block != [batch.column(i)[0].as_py() for i in own]
+            block = [batch.column(i)[-1].as_py() for i in own]
+            number, begins = [], []
+            for new, height in zip(fresh.tolist(), batch.column(top).to_pylist()):
+                if new:
+                    anchor, line = None, 0
+                begin = anchor is None or (height is not None and abs(height - anchor) > tolerance)
+                if begin:
+                    anchor, line = height, line + 1
+                number.append(line)
+                begins.append(begin)
+            rows = batch, np.array(number, np.int32), np.array(begins, bool)
+            if not rows[2].any():
+                held.append(rows)
+                continue
+            last = len(batch) - 1 - int(rows[2][::-1].argmax())
+            before = tuple(x[:last] for x in rows)
+            if held or last:
+                yield counted([*held, before] if last else held)
+            held = [tuple(x[last:] for x in rows)]
+        if held:
+            yield counted(held)
+
+    return ordered.mapInArrow(numbered, f"{ordered._jdf.schema().toDDL()}, line_no int, at int")
+
+
+def _differs(batch: pa.RecordBatch, columns: Sequence[int]) -> np.ndarray:
+    """Which rows differ from the one before in one of *columns*; the first one does not. Nulls are equal."""
+    out = np.zeros(len(batch), bool)
+    for i in columns:
+        here, before = batch.column(i)[1:], batch.column(i)[:-1]
+        other = pc.fill_null(pc.not_equal(here, before), pc.xor(pc.is_null(here), pc.is_null(before)))
+        out[1:] |= other.to_numpy(zero_copy_only=False)
+    return out
 
 
 def dedup_consecutive(words: DataFrame, line: Sequence[str] = LINE) -> DataFrame:

@@ -1,6 +1,7 @@
 """Text quality, markers, layout and pages."""
 
 import duckdb
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -59,6 +60,28 @@ def test_lines_by_gap_anchor_on_the_first_word(spark):
     assert [r.line_no for r in L.lines_by_gap(words).orderBy("word_no").collect()] == [1, 1, 2, 2, 2]
 
 
+def test_lines_by_gap_deal_words_once(spark):
+    nan = float("nan")
+    rows = [(d, p, b, i, x, t) for d in (1, None) for p in (1, 2) for b in (0, 1) for i, (x, t) in enumerate(
+        [(30.0, 10.0), (None, 10.2), (20.0, 11.4), (20.0, 10.6), (5.0, 40.0), (nan, 40.0), (1.0, None), (9.0, 41.0), (2.0, 60.0)]
+    )]
+    words = spark.createDataFrame(rows, "doc_id int, page_no int, block_no int, word_no int, x0 double, top double")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = spark.conf.get(name)
+    spark.conf.set(name, 4)  # lines reach over batches
+    try:
+        lined = L.lines_by_gap(words)
+        got = {tuple(r)[:4]: (r.line_no, r.at) for r in lined.collect()}
+        again = lined.drop("at").withColumn("at", F.row_number().over(Window.partitionBy("doc_id", "page_no", "block_no", "line_no").orderBy("x0", "word_no")))
+        assert got == {tuple(r)[:4]: (r.line_no, r.at) for r in again.collect()} and len(got) == len(rows)
+        assert [got[(None, 2, 1, i)] for i in range(9)] == [(2, 4), (2, 1), (2, 2), (2, 3), (3, 1), (3, 3), (1, 1), (3, 2), (4, 1)]
+    finally:
+        spark.conf.set(name, given)
+    plan = lined._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan  # which deals and sorts all words a second time
+    assert L.lines_by_gap(words.limit(0)).count() == 0
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, 1, "Page 1\n\nfirst and\n1 of 3\n"), (1, 2, "then 5\n7\nmore.\n\n"), (1, 3, "3\n \n"), (1, 4, "lower again")], "doc_id int, page_no int, text string")
     assert L.join_pages(pages).first().text == "first and then 5\n7\nmore.\n\nlower again"
